@@ -129,6 +129,13 @@ def copies(rated: DataFrame, aims: DataFrame, cells: int = CELLS) -> DataFrame:
     return _same_source(edges.select("source", "edge"), closing, "left")
 
 
+def _copies() -> Column:
+    """Copies of a rated row that has met its source's decisions; a document without words has one from a rate of one half."""
+    taken = (F.col("xi") <= F.col("edge")) | F.coalesce(F.col("doc_id") == F.col("closing"), F.lit(False))
+    more = F.when(F.col("size") > 0, (F.col("part") > 0) & taken).otherwise(F.col("part") > 0.5)
+    return F.col("whole") + F.when(more, 1).otherwise(0)
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, length_shift: float = 0.0) -> DataFrame:
     """doc_id, source, size, source_size, target, rate and copies of every document."""
     sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
@@ -136,6 +143,15 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST
     aims = cut(targets(sources, weights, most))
     rated = cut(rates(sizes, balance(sizes, aims, length_shift), most))
     decided = _same_source(_same_source(rated, copies(rated, aims)), aims)
-    more = (F.col("part") > 0) & (F.col("size") > 0) & ((F.col("xi") <= F.col("edge")) | F.col("doc_id").eqNullSafe(F.col("closing")) & F.col("closing").isNotNull())
-    empty = (F.col("size") == 0) & (F.col("part") > 0.5)
-    return decided.select("doc_id", "source", "size", "source_size", "target", "rate", (F.col("whole") + F.when(more | empty, 1).otherwise(0)).alias("copies"))
+    return decided.select("doc_id", "source", "size", "source_size", "target", "rate", _copies().alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, length_shift: float = 0.0) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Texts meet only the small tables of sources."""
+    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    aims = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    solved = balance(sizes, aims, length_shift)
+    decisions = cut(copies(cut(rates(sizes, solved, most)), aims))
+    rows = docs.select(F.struct(*map(F.col, docs.columns)).alias("row"), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
+    decided = _same_source(rates(rows, solved, most), decisions, "left").withColumn("copies", _copies())
+    return decided.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Rule i sets bit 1 << i where its condition over the measurements holds.
 RULES: dict[str, str] = {
@@ -35,7 +36,6 @@ POLICIES: dict[str, tuple[str, ...]] = {
 CURRENT = "v1"
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-_SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -83,12 +83,19 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [measure(t.as_py()) for t in batch.column(1)]
-        columns = [batch.column(0).cast(pa.int64())]
-        columns += [pa.array([f[i] for f in found], pa.int64()) for i in range(len(MEASURES))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *MEASURES])
+def _measured(docs: DataFrame) -> DataFrame:
+    """All columns of docs and a struct __ledger with the measurements of column text."""
+    at = docs.columns.index("text")
+    fields = [pa.field(m, pa.int64()) for m in MEASURES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(t.as_py()) for t in batch.column(at)]
+            column = pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(len(fields))], fields=fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "__ledger"])
+
+    schema = StructType([*docs.schema.fields, StructField("__ledger", StructType([StructField(m, LongType()) for m in MEASURES]))])
+    return docs.mapInArrow(run, schema)
 
 
 def mask(policy: str, without: str | None = None) -> int:
@@ -98,18 +105,28 @@ def mask(policy: str, without: str | None = None) -> int:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and failures: one bit for each rule of RULES that fails."""
-    measured = docs.select("doc_id", "text").mapInArrow(_measures, _SCHEMA)
+    measured = _measured(docs.select("doc_id", "text")).select("doc_id", "__ledger.*")
+    return measured.withColumn("failures", _failures())
+
+
+def _failures() -> Column:
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     failures = bits[0]
     for bit in bits[1:]:
         failures = failures.bitwiseOR(bit)
-    return measured.withColumn("failures", failures.cast("long"))
+    return failures.cast("long")
 
 
 def accepted(failures: Column, policy: str = CURRENT) -> Column:
     return failures.bitwiseAND(F.lit(mask(policy))) == 0
 
 
+def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The rows of docs that the policy accepts, with their own columns."""
+    judged = _measured(docs).select(F.struct(*map(F.col, docs.columns)).alias("row"), "__ledger.*")
+    return judged.where(accepted(_failures(), policy)).select("row.*")
+
+
 def ablations(entries: DataFrame) -> DataFrame:
     """For each policy and each of its rules: documents kept, and those that only this rule rejects.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from distloom.llm import mixing, packing, quality, simhash
+from distloom.llm import licenses, mixing, packing, pii, quality, simhash, spotsigs, toolcalls
 from distloom.llm.common import documents, small_batches
 
 
@@ -25,6 +25,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.accepted(F.col("failures")).alias("kept"), "n_lines", "failures")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.likeness(documents(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -36,12 +44,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = documents(spark, sf_dir)
+    return pii.detect(docs, pii.train(docs))
+
+
+def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.calls_of_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return toolcalls.link(calls, results, toolcalls.SCHEMAS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_quality": op2_quality,
+        "op3_licenses": op3_licenses,
+        "op5_spotsigs": op5_spotsigs,
         "op6_mixing": op6_mixing,
         "op7_simhash": op7_simhash,
+        "op8_pii": op8_pii,
+        "op10_toolcalls": op10_toolcalls,
     }
 
 

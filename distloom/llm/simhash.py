@@ -181,3 +181,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group. Rows that repeat a doc_id are one document and stay once."""
+    found = cut(near_duplicates(docs).select("doc_id", "component_id"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    repeated = bool(kept.groupBy("kept_id").count().where("count > 1").limit(1).count())
+    stay = docs.join(kept.distinct() if repeated else kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    return stay.dropDuplicates(["doc_id"]) if repeated else stay
