@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from distloom.llm import licenses, mixing, packing, pii, quality, simhash, spotsigs, toolcalls
+from distloom.llm import licenses, mixing, packing, pii, quality, simhash, spotsigs, suffixarrays, suffixtrees, toolcalls
 from distloom.llm.common import documents, small_batches
 
 
@@ -29,6 +29,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op4_suffixtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffixtrees.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.likeness(documents(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -50,6 +55,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.train(docs))
 
 
+def op9_suffixarrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffixarrays.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.calls_of_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return toolcalls.link(calls, results, toolcalls.SCHEMAS)
@@ -60,10 +70,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_quality": op2_quality,
         "op3_licenses": op3_licenses,
+        "op4_suffixtrees": op4_suffixtrees,
         "op5_spotsigs": op5_spotsigs,
         "op6_mixing": op6_mixing,
         "op7_simhash": op7_simhash,
         "op8_pii": op8_pii,
+        "op9_suffixarrays": op9_suffixarrays,
         "op10_toolcalls": op10_toolcalls,
     }
 
