@@ -29,6 +29,8 @@ SEED = 42
 SHINGLE = 3
 BITS = 3
 _CHUNK = 1 << 16
+#: Posting lists below this are searched pair by pair.
+SHORT_LIST = 1 << 16
 
 #: Masks of five bytes out of eight.
 MASKS = [sum(0xFF << (8 * p) for p in five) for five in combinations(range(8), 5)]
@@ -72,7 +74,7 @@ def list_edges(members: np.ndarray, mask: int) -> tuple[list[np.ndarray], list[n
     """For one posting list (sorted, distinct): edges from the root of each connected part to its other members."""
     roots, others = [], []
     rest = members
-    if len(members) < 1 << 16:
+    if len(members) < SHORT_LIST:
         while len(rest) > 1:
             root, rest, queue = rest[0], rest[1:], [rest[0]]
             while queue and len(rest):
