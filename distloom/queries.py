@@ -11,9 +11,10 @@ from distloom.functions import columns as C
 from distloom.operators import catalog, unpack
 from distloom.plans import recipes
 from distloom.plans.index import Index, build_index, scan_summary
+from distloom.plans.stored import stored
 
 MASK = "*.sw.*"
-QUERY = "al"
+QUERY = "AR"
 
 
 def part_index(spark: SparkSession, sf_dir: str) -> Index:
@@ -71,16 +72,16 @@ _LISTED = ["dist", "product", "dir", "seq", "kind", "display_name", "size", "pac
 
 def list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of every directory."""
-    return catalog.listing(part_index(spark, sf_dir).entries).select(*_LISTED)
+    return catalog.listing(stored(part_index(spark, sf_dir).entries)).select(*_LISTED)
 
 
 def list_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing under a mask and a name filter."""
-    return catalog.listing(part_index(spark, sf_dir).entries, MASK, QUERY).select(*_LISTED)
+    return catalog.listing(stored(part_index(spark, sf_dir).entries), MASK, QUERY).select(*_LISTED)
 
 
 def list_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.listing_counts(catalog.listing(part_index(spark, sf_dir).entries))
+    return catalog.listing_counts(catalog.listing(stored(part_index(spark, sf_dir).entries)))
 
 
 def mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,17 +89,17 @@ def mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every seventh line and every directory named after `anodized` select."""
-    entries = part_index(spark, sf_dir).entries
+    """What every seventh line and every directory named after `small` select."""
+    entries = stored(part_index(spark, sf_dir).entries)
     own = entries.where("line_no % 7 = 0").select("dist", "product", F.lit("entry").alias("kind"), F.col("full_path").alias("path"), "line_no")
-    folders = catalog.known_dirs(entries).where(F.col("path").endswith("anodized"))
+    folders = catalog.known_dirs(entries).where(F.col("path").endswith("small"))
     rows = folders.select("dist", "product", F.lit("directory").alias("kind"), "path", F.lit(None).cast("int").alias("line_no"))
     return catalog.select_rows(entries, own.unionByName(rows)).select("dist", "product", "line_no")
 
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree usr/standard of every product, under a mask."""
-    entries = part_index(spark, sf_dir).entries
+    entries = stored(part_index(spark, sf_dir).entries)
     folders = entries.select("dist", "product", F.lit("usr/standard").alias("path")).distinct()
     return catalog.select_trees(entries, folders, MASK).select("dist", "product", "line_no")
 
@@ -110,10 +111,10 @@ def path_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    records = recipes.document_records(spark, sf_dir)
-    images = recipes.document_images(records)
+    records = stored(recipes.document_records(spark, sf_dir))
+    images = stored(recipes.document_images(records))
     entries = build_index(recipes.document_lines(records), images.select("dist", "rel_path")).entries
-    return unpack.requests(entries), images
+    return stored(unpack.requests(entries)), images
 
 
 def resolved_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,15 +133,15 @@ def unpack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unpack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U8, W3, W4, A6 over the part index without images: directories, links and clashes; files miss their image."""
-    asked = unpack.requests(part_index(spark, sf_dir).entries)
+    asked = stored(unpack.requests(stored(part_index(spark, sf_dir).entries)))
     none = spark.createDataFrame([], "dist string, rel_path string, uri string")
-    done = unpack.with_clashes(unpack.unpack(asked, none))
+    done = unpack.with_clashes(stored(unpack.unpack(asked, none)))
     return unpack.summary(unpack.outcomes(asked, done, unpack.Options(continue_on_error=False)))
 
 
 def unpack_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: the first five errors of each product of the part index without images."""
-    asked = unpack.requests(part_index(spark, sf_dir).entries)
+    asked = stored(unpack.requests(stored(part_index(spark, sf_dir).entries)))
     none = spark.createDataFrame([], "dist string, rel_path string, uri string")
     return unpack.first_errors(unpack.outcomes(asked, unpack.unpack(asked, none)))
 
@@ -209,16 +210,16 @@ SELECT dist, product, line_no::INT AS line_no, concat(product, '.', image) AS su
     "paths": f"""WITH {_PAGES}
 SELECT page_id, array_to_string(a, '/') AS full_path, array_to_string(o, '/') AS out_path, array_to_string(a[:-2], '/') AS parent_path, a[-1] AS base_name,
        array_to_string(list_transform(range(1, len(a)), lambda k: array_to_string(a[:k], '/')), '|') AS ancestors, array_to_string(list_concat(a[:-3], ['x', 'y']), '/') AS link FROM n""",
-    "masked_entries": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no, subgroup, base_name FROM e WHERE {_MASKED} AND contains(lower(base_name), '{QUERY}')""",
+    "masked_entries": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no, subgroup, base_name FROM e WHERE {_MASKED} AND contains(lower(base_name), '{QUERY.lower()}')""",
     "directories": f"""WITH {_PART} SELECT DISTINCT dist, product, path FROM (
 SELECT dist, product, array_to_string(string_split(full_path, '/')[:k], '/') AS path FROM e, range(1, 40) r(k) WHERE k < len(string_split(full_path, '/'))
 UNION ALL SELECT dist, product, full_path FROM e WHERE ftype = 'd')""",
     "list_all": _listing("true", "true"),
-    "list_filtered": _listing(_MASKED, "contains(lower({x}), '" + QUERY + "')"),
+    "list_filtered": _listing(_MASKED, "contains(lower({x}), '" + QUERY.lower() + "')"),
     "list_counts": f"""SELECT dist, product, dir, count(*) AS n_rows FROM ({_listing("true", "true")}) GROUP BY ALL""",
     "mask_counts": f"""WITH {_PART} SELECT dist, product, count(*) AS n_entries FROM e WHERE {_MASKED} GROUP BY ALL""",
     "selection": f"""WITH {_PART} SELECT DISTINCT dist, product, line_no::INT AS line_no FROM e
-WHERE line_no % 7 = 0 OR regexp_matches(full_path, 'anodized/') OR (ftype = 'd' AND ends_with(full_path, 'anodized'))""",
+WHERE line_no % 7 = 0 OR regexp_matches(full_path, 'small/') OR (ftype = 'd' AND ends_with(full_path, 'small'))""",
     "trees": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no FROM e WHERE {_MASKED} AND (full_path = 'usr/standard' OR starts_with(full_path, 'usr/standard/'))""",
     "path_export": f"""WITH {_PAGES} SELECT min(page_id) AS position, concat('/', array_to_string(a[:-2], '/')) AS path FROM n WHERE len(a) > 1 GROUP BY 2""",
     "resolved_offsets": f"""WITH d AS (SELECT doc_id, floor(doc_id / {recipes.IMAGE_DOCS})::BIGINT AS part, concat('docs/', coalesce(lang, 'xx'), '/', doc_id, '.txt') AS fname FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') <> '')
