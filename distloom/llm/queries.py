@@ -103,5 +103,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def _op3_sql() -> str:
+    """The licence scan in SQL: lists of words, the places of each template's key phrase, and its coverage there."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    columns, shares = [], []
+    templates = [*licenses.BASE, *licenses.NOTICES]
+    for i, t in enumerate(templates):
+        at = lambda k, w: f"coalesce(CASE WHEN s + {k} > 0 THEN ws[s + {k}] = '{w}' END, false)"
+        key = range(t.key_at, t.key_at + len(t.key.split()))
+        test = " AND ".join(at(k, t.words[k]) for k in key)
+        columns.append(f"list_filter(range({1 - t.key_at}, len(ws) + 1), lambda s: {test}) AS p{i}")
+        share = " + ".join(f"CASE WHEN {at(k, w)} THEN 1 ELSE 0 END" for k, w in enumerate(t.words))
+        shares.append(f"coalesce(list_max(list_transform(p{i}, lambda s: ({share}) / {len(t.words)}::DOUBLE)), 0) AS c{i}")
+    labels = lambda cases: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL))), ',')"
+    base = " || ".join(f"p{i}" for i in range(len(licenses.BASE)))
+    base_cases = [f"CASE WHEN len(p{i}) > 0 THEN '{t.label}' END" for i, t in enumerate(licenses.BASE)]
+    cases = [f"CASE WHEN c{i} >= {licenses.COVERAGE} THEN '{t.label}' END" for i, t in enumerate(templates)]
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, {", ".join(columns)} FROM w),
+c AS (SELECT *, {", ".join(shares)} FROM p)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len({base})::BIGINT AS n_base, (list_min({base}) - 1)::BIGINT AS first_word, (list_max({base}) - 1)::BIGINT AS last_word,
+       {labels(base_cases)} AS base_labels, {labels(cases)} AS labels, greatest({", ".join(f"c{i}" for i in range(len(templates)))})::DOUBLE AS score FROM c
+"""
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+m AS (SELECT w, min(doc_id) AS least FROM g GROUP BY w),
+r AS (SELECT DISTINCT doc_id, i + k AS j FROM g JOIN m USING (w), range(0, 13) x(k) WHERE least < doc_id),
+gone AS (SELECT doc_id, list(j) AS js FROM r GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(js, i), false)), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH RECURSIVE a AS (SELECT conv_id, turn, text, floor((turn - 1) / 2)::BIGINT AS k FROM conversations WHERE role = 'assistant'),
+p AS (SELECT a.*, CASE WHEN k > 0 THEN floor((k - 1) / 2)::BIGINT * 2 + 1 END AS parent FROM a),
+q AS (SELECT p.*, o.turn IS NOT NULL AS known FROM p LEFT JOIN a AS o ON o.conv_id = p.conv_id AND o.turn = p.parent),
+lv AS (SELECT conv_id, turn, 0 AS level FROM q WHERE NOT known
+       UNION ALL SELECT q.conv_id, q.turn, lv.level + 1 FROM q JOIN lv ON lv.conv_id = q.conv_id AND lv.turn = q.parent),
+r AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n, min_by(text, turn) AS content, min(turn) AS at FROM conversations WHERE role = 'user' GROUP BY ALL),
+f AS (SELECT coalesce(q.conv_id, r.conv_id) AS conv_id, coalesce(q.turn, r.turn) AS id, coalesce(q.turn, r.at) AS turn, q.turn IS NOT NULL AS called, q.* EXCLUDE (conv_id, turn), r.n, r.content
+      FROM q FULL JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn)
+SELECT f.conv_id, concat('call_', f.conv_id, '_', id) AS call_id, f.turn, lv.level::INT AS level,
+       CASE WHEN called THEN ['search', 'translate', 'lookup'][k % 3 + 1] END AS name,
+       CASE WHEN NOT called THEN 'no_call' ELSE array_to_string(list_filter([
+         CASE WHEN id % 7 = 3 THEN 'invalid_json' END, CASE WHEN id % 7 <> 3 AND text IS NULL THEN 'missing:query' END, CASE WHEN id % 7 <> 3 AND id % 5 = 1 THEN 'type:limit' END,
+         CASE WHEN parent IS NOT NULL AND NOT known THEN 'missing_dependency' END, CASE WHEN n IS NULL THEN 'no_result' WHEN n > 1 THEN 'several_results' END], lambda x: x IS NOT NULL), ',') END AS problems,
+       coalesce(n, 0) AS n_results,
+       concat('{"arguments":', CASE WHEN NOT called OR id % 7 = 3 THEN 'null' ELSE concat('{"limit":', CASE WHEN id % 5 = 1 THEN concat('"', id, '"') ELSE id::VARCHAR END, CASE WHEN text IS NULL THEN '' ELSE concat(',"query":', to_json(text)) END, '}') END,
+              ',"call_id":', to_json(concat('call_', f.conv_id, '_', id)), ',"name":', CASE WHEN called THEN concat('"', ['search', 'translate', 'lookup'][k % 3 + 1], '"') ELSE 'null' END,
+              ',"result":', coalesce(to_json(content)::VARCHAR, 'null'), '}') AS message
+FROM f LEFT JOIN lv ON called AND lv.conv_id = f.conv_id AND lv.turn = f.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL}
+    return {"op2_quality": OP2_SQL, "op3_licenses": _op3_sql(), "op4_suffixtrees": OP4_SQL, "op10_toolcalls": OP10_SQL}
