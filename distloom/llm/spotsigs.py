@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from distloom.llm.common import ascii_lower, words_between
+from distloom.llm.common import ascii_lower, cut, words_between
 
 COMMON = 100
 CHAIN = 2
@@ -128,7 +128,7 @@ def likeness(docs: DataFrame, buckets: int, common: list[str] | None = None) ->
 def classes(docs: DataFrame, common: list[str] | None = None) -> DataFrame:
     """(doc_id, class_id, signatures): documents of equal sets share the smallest doc_id as class_id."""
     common = common_words(docs) if common is None else common
-    signed = with_signatures(docs.select("doc_id", "text"), "text", "signatures", common).withColumn("print", digest("signatures"))
+    signed = cut(with_signatures(docs.select("doc_id", "text"), "text", "signatures", common).withColumn("print", digest("signatures")).select("doc_id", "signatures", "print"))
     least = signed.groupBy("print").agg(F.min("doc_id").alias("class_id"))
     return signed.join(least, "print").select("doc_id", "class_id", "signatures")
 
@@ -140,7 +140,7 @@ def similar_pairs(classed: DataFrame, threshold: float = 0.8) -> DataFrame:
     its own or the next one. Its n - ceil(threshold * n) + 1 rarest signatures are its postings there; two sets
     that meet the threshold share one of them.
     """
-    reps = classed.where(F.col("doc_id") == F.col("class_id")).dropDuplicates(["class_id"]).select("class_id", "signatures")
+    reps = cut(classed.where(F.col("doc_id") == F.col("class_id")).dropDuplicates(["class_id"]).select("class_id", "signatures"))
     flat = reps.select("class_id", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
     rarity = flat.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ordered = flat.join(rarity, "s").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
