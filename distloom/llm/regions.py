@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +55,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
     """Hashes of all runs of `gram` codes (random 64-bit numbers that stand for words or bytes)."""
     up, down = _POWERS.upto(len(codes))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * up, dtype=np.uint64)])
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(codes * up, out=sums[1:])
     n = len(codes) - gram + 1
     return mixed((sums[gram:] - sums[:-gram]) * down[:n])
 
@@ -91,52 +91,118 @@ class Regions:
     content: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    units: Any  # what windows are cut from: words or bytes
+    data: bytes
+    size: int  # words or bytes that windows are cut from
+    starts: np.ndarray | None = None  # of words
+    ends: np.ndarray | None = None
 
+    def units(self, first: int, last: int) -> bytes:
+        """Units first to last, that included: bytes, or words joined by one space."""
+        if self.starts is None:
+            return self.data[first : last + 1]
+        return b" ".join(self.data[self.starts[first] : self.ends[last]].split())
 
-NONE = Regions(*[np.zeros(0, np.int64)] * 4, units=())
 
 Cutter = Callable[[str], Regions]
 
+_EMPTY = np.zeros(0, np.int64)
+_BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-def byte_regions(window: int, gram: int) -> Cutter:
-    table = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
 
+def byte_regions(window: int, gram: int) -> Cutter:
     def regions(text: str) -> Regions:
         data = text.encode("utf-8", "surrogatepass")
         if len(data) < window:
-            return Regions(NONE.anchor, NONE.content, NONE.first, NONE.last, data)
-        hashes = gram_hashes(table[np.frombuffer(data, dtype=np.uint8)], gram)
+            return Regions(_EMPTY, _EMPTY, _EMPTY, _EMPTY, data, len(data))
+        hashes = gram_hashes(_BYTES[np.frombuffer(data, dtype=np.uint8)], gram)
         anchor, first, last = anchors(hashes, window - gram + 1)
         view = memoryview(data)
         content = np.array([xxhash.xxh3_64_intdigest(view[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], dtype=np.uint64)
-        return Regions(anchor.view(np.int64), content.view(np.int64), first, last, data)
+        return Regions(anchor.view(np.int64), content.view(np.int64), first, last, data, len(data))
 
     return regions
 
 
-def word_regions(window: int, gram: int) -> Cutter:
-    codes: dict[bytes, int] = {}
+def _range_hashes(codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs codes[first:end]."""
+    up, down = _POWERS.upto(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(codes * up[:-1], out=sums[1:])
+    return mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
 
+
+def word_regions(window: int, gram: int) -> Cutter:
     def regions(text: str) -> Regions:
-        words = text.encode("utf-8", "surrogatepass").split()
-        if len(words) < window:
-            return Regions(NONE.anchor, NONE.content, NONE.first, NONE.last, words)
-        if len(codes) > 500_000:
-            codes.clear()
-        for w in set(words).difference(codes):
-            codes[w] = xxhash.xxh3_64_intdigest(w)
-        numbers = np.array(list(map(codes.__getitem__, words)), dtype=np.uint64)
-        anchor, first, last = anchors(gram_hashes(numbers, gram), window - gram + 1)
-        up, down = _POWERS.upto(len(numbers) + 1)
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(numbers * up[:-1], dtype=np.uint64)])
-        content = mixed((sums[last + window] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-        return Regions(anchor.view(np.int64), content.view(np.int64), first, last, words)
+        data = text.encode("utf-8", "surrogatepass")
+        raw = np.frombuffer(data, dtype=np.uint8)
+        edge = np.ones(len(raw) + 2, dtype=bool)
+        edge[1:-1] = _IS_SPACE[raw]
+        turn = np.flatnonzero(edge[1:] != edge[:-1])
+        starts, ends = turn[::2], turn[1::2]
+        n = len(starts)
+        if n < window:
+            return Regions(_EMPTY, _EMPTY, _EMPTY, _EMPTY, data, n, starts, ends)
+        codes = _range_hashes(_BYTES[raw], starts, ends)
+        anchor, first, last = anchors(gram_hashes(codes, gram), window - gram + 1)
+        content = _range_hashes(codes, first, last + window)
+        return Regions(anchor.view(np.int64), content.view(np.int64), first, last, data, n, starts, ends)
 
     return regions
 
 
-ROW = "key long, anchor long, region long, n long"
+#: Bytes of short texts whose words are hashed together.
+_TOGETHER = 1 << 20
+
+
+def _word_rows(keys: np.ndarray, texts: list[str], window: int, gram: int) -> list[tuple]:
+    """(key, anchor, region) arrays of many short texts at once: what word_regions gives for each."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b"\n".join(data) + b"\n", dtype=np.uint8)
+    edge = np.ones(len(raw) + 1, dtype=bool)
+    edge[1:] = _IS_SPACE[raw]
+    turn = np.flatnonzero(edge[1:] != edge[:-1])
+    starts, ends = turn[::2], turn[1::2]
+    if len(starts) < window:
+        return []
+    owner = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), starts, "right")
+    codes = _range_hashes(_BYTES[raw], starts, ends)
+    grams = gram_hashes(codes, gram)
+    packed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    place = (sliding_least(packed, window - gram + 1) & _PLACE).astype(np.int64)
+    whole = owner[: len(place)] == owner[window - 1 :]  # windows within one text
+    new = np.flatnonzero((place[1:] != place[:-1]) | (whole[1:] != whole[:-1])) + 1
+    first, last = np.concatenate([[0], new]), np.concatenate([new, [len(place)]]) - 1
+    first, last = first[whole[first]], last[whole[first]]
+    content = _range_hashes(codes, first, last + window)
+    return [(keys[owner[first]], grams[place[first]].view(np.int64), content.view(np.int64))]
+
+
+def word_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key, anchor, region) for docs (key, text): a row for each region of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = word_regions(window, gram)
+        for batch in batches:
+            parts, texts, keys, size = [], [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                if len(text) > _TOGETHER // 4:
+                    r = alone(text)
+                    parts.append((np.full(len(r.anchor), key), r.anchor, r.content))
+                    continue
+                texts.append(text)
+                keys.append(key)
+                size += len(text)
+                if size > _TOGETHER // 2:
+                    parts += _word_rows(np.array(keys), texts, window, gram)
+                    texts, keys, size = [], [], 0
+            if texts:
+                parts += _word_rows(np.array(keys), texts, window, gram)
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["key", "anchor", "region"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, anchor long, region long")
 
 
 def region_rows(docs: DataFrame, cutter: Callable[[], Cutter]) -> DataFrame:
@@ -154,14 +220,14 @@ def region_rows(docs: DataFrame, cutter: Callable[[], Cutter]) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["key", "anchor", "region", "n"])
 
-    return docs.select("key", "text").mapInArrow(run, ROW)
+    return docs.select("key", "text").mapInArrow(run, "key long, anchor long, region long, n long")
 
 
-def shared_rows(docs: DataFrame, cutter: Callable[[], Cutter]) -> DataFrame:
-    """The rows of region_rows whose anchor stands twice or more in the corpus, written out."""
-    rows = region_rows(docs, cutter)
-    again = rows.groupBy("anchor").agg(F.sum("n").alias("seen")).where("seen > 1").select("anchor")
-    return cut(rows.join(again, "anchor", "left_semi").select("key", "anchor", "region", "n"))
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """The rows of region_rows or word_rows whose anchor stands twice or more in the corpus, written out."""
+    seen = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+    again = rows.groupBy("anchor").agg(seen.alias("seen")).where("seen > 1").select("anchor")
+    return cut(rows.join(again, "anchor", "left_semi").select(*rows.columns))
 
 
 def region_texts(docs: DataFrame, wanted: DataFrame, cutter: Callable[[], Cutter], window: int) -> DataFrame:
@@ -176,9 +242,8 @@ def region_texts(docs: DataFrame, wanted: DataFrame, cutter: Callable[[], Cutter
                 r, want = regions(text.as_py() or ""), np.array(want.as_py(), dtype=np.int64)
                 content, at = np.unique(r.content, return_index=True)
                 for i in at[np.isin(content, want)]:
-                    units = r.units[r.first[i] : r.last[i] + window]
                     names.append(r.content[i])
-                    contents.append(units if isinstance(units, bytes) else b" ".join(units))
+                    contents.append(r.units(r.first[i], r.last[i] + window - 1))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(contents, pa.binary())], names=["region", "units"])
 
     found = docs.join(lists, "key").select("text", "regions").mapInArrow(run, "region long, units binary")
@@ -193,7 +258,7 @@ def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 def covered(r: Regions, marks: list[dict] | None, window: int) -> np.ndarray:
     """Which units of the text the marked windows cover. Windows count from their region's first; null means all of them."""
-    steps = np.zeros(len(r.units) + 1, dtype=np.int64)
+    steps = np.zeros(r.size + 1, dtype=np.int64)
     if marks:
         by = {m["region"]: m["windows"] for m in marks}
         for i in np.flatnonzero(np.isin(r.content, np.array(list(by), dtype=np.int64))):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from distloom.llm.common import cut
-from distloom.llm.regions import byte_regions, covered, groups, region_texts, shared_rows, with_marks
+from distloom.llm.regions import byte_regions, covered, groups, region_rows, region_texts, shared_rows, with_marks
 
 WINDOW = 200
 GRAM = 32
@@ -147,7 +147,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(key, region, windows) for docs (key, text): the windows of each region that stand twice or more in the corpus."""
     cutter = lambda: byte_regions(window, gram)
-    rows = shared_rows(docs, cutter)
+    rows = shared_rows(region_rows(docs, cutter))
     distinct = cut(rows.groupBy("anchor", "region").agg(F.sum("n").alias("n"), F.min("key").alias("rep")))
     mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1")
     parts = F.ceil(F.col("m") / F.lit(float(shard))).cast("int")
@@ -180,9 +180,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int =
                 if mark:
                     r = cutter(text)
                     gone = covered(r, mark, window)
-                    kept = np.frombuffer(r.units, dtype=np.uint8)[~gone].tobytes()
+                    kept = np.frombuffer(r.data, dtype=np.uint8)[~gone].tobytes()
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                    rows.append((len(r.units), len(r.units) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+                    rows.append((r.size, r.size - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
                 else:
                     kept = text.encode("utf-8", "surrogatepass")
                     rows.append((len(kept), 0, 0, hashlib.sha256(kept).hexdigest(), kept))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from distloom.llm.common import cut
-from distloom.llm.regions import covered, groups, region_texts, shared_rows, with_marks, word_regions
+from distloom.llm.regions import covered, groups, region_texts, shared_rows, with_marks, word_regions, word_rows
 
 WINDOW = 13
 GRAM = 4
@@ -52,8 +53,9 @@ def _subtrees(window: int):
         for table in groups(batches, _CHUNK):
             anchor, region, first = (table.column(c).to_numpy() for c in ("anchor", "region", "d0"))
             texts = [u.split(b" ") for u in table.column("units").to_pylist()]
-            numbers: dict[bytes, int] = {}
-            codes = np.array([numbers.setdefault(w, len(numbers) + 1) for t in texts for w in t], dtype=np.uint32)
+            words = list(chain.from_iterable(texts))
+            first_at: dict[bytes, int] = {}
+            codes = np.array(list(map(first_at.setdefault, words, range(1, len(words) + 1))), dtype=np.uint32)
             lengths = np.array([len(t) for t in texts])
             counts = lengths - window + 1
             owner = np.repeat(np.arange(len(texts)), counts)
@@ -93,7 +95,7 @@ def _windows(window: int):
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(key, region, windows) for docs (key, text): the windows of each region that start in a document with a smaller key."""
     cutter = lambda: word_regions(window, gram)
-    rows = shared_rows(docs, cutter)
+    rows = shared_rows(word_rows(docs, window, gram))
     distinct = cut(rows.groupBy("anchor", "region").agg(F.min("key").alias("d0"), F.max("key").alias("d1")))
     mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("d0").alias("least"), F.max("d0").alias("most")).where("most > least")
     open_regions = cut(distinct.join(mixed, "anchor").select("anchor", "region", "d0", "m"))
@@ -121,14 +123,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int =
             counts, removed, hashes, texts = [], [], [], []
             for text, mark in zip(batch.column(1), batch.column(2), strict=True):
                 text, mark = text.as_py() or "", mark.as_py()
+                words = text.encode("utf-8", "surrogatepass").split()
+                counts.append(len(words))
                 if mark:
-                    r = cutter(text)
-                    gone = covered(r, mark, window)
-                    words = [r.units[i] for i in np.flatnonzero(~gone)]
-                    counts.append(len(r.units))
-                else:
-                    words = text.encode("utf-8", "surrogatepass").split()
-                    counts.append(len(words))
+                    gone = covered(cutter(text), mark, window)
+                    words = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 kept = b" ".join(words)
                 removed.append(counts[-1] - len(words))
                 hashes.append(hashlib.sha256(kept).hexdigest())
