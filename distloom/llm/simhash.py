@@ -190,5 +190,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = cut(near_duplicates(docs).select("doc_id", "component_id"))
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     repeated = bool(kept.groupBy("kept_id").count().where("count > 1").limit(1).count())
-    stay = docs.join(kept.distinct() if repeated else kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    kept = (kept.distinct() if repeated else kept).hint("merge")  # as many rows as documents: never a broadcast
+    stay = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
     return stay.dropDuplicates(["doc_id"]) if repeated else stay
