@@ -58,6 +58,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
     return levelled.select("source", "source_size", "weight", F.least(F.lit(most) * F.col("source_size"), F.col("level") * F.col("weight")).cast("double").alias("target"))
 
 
+#: Tables of one row a source are broadcast up to this many rows, and shuffled beyond it.
+BROADCAST_SOURCES = 100_000
+
+
+def _hinted(sources: DataFrame) -> DataFrame:
+    """The table of one row a source, marked for broadcast if its row count allows that."""
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return F.broadcast(sources) if few else sources
+
+
 def _same_source(a: DataFrame, b: DataFrame, kind: str = "inner") -> DataFrame:
     b = b.withColumnRenamed("source", "source_b")
     return a.join(b, a.source.eqNullSafe(b.source_b), kind).drop("source_b")
@@ -68,7 +78,7 @@ def balance(sizes: DataFrame, aims: DataFrame, length_shift: float = 0.0) -> Dat
     z = F.log(F.col("size").cast("double"))
     counted = sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.withColumn("words", (F.col("size") * F.col("n")).cast("double"))
-    means = counted.groupBy("source").agg((F.sum(F.col("words") * z) / F.sum("words")).alias("mean_z"))
+    means = _hinted(counted.groupBy("source").agg((F.sum(F.col("words") * z) / F.sum("words")).alias("mean_z")))
     counted = cut(_same_source(counted, means).withColumn("z", z - F.col("mean_z")).select("source", "words", "z", "mean_z"))
     start = counted.groupBy("source").agg(F.first("mean_z").alias("mean_z"))
     state = cut(_same_source(start, aims.where("target > 0").select("source", "target")).select("source", "mean_z", "target", F.lit(0.0).alias("level"), F.lit(0.0).alias("tilt"), F.lit(1.0).alias("gap")))
@@ -89,7 +99,8 @@ def balance(sizes: DataFrame, aims: DataFrame, length_shift: float = 0.0) -> Dat
         if worst is None or worst < TOLERANCE:
             break
     discard(counted)
-    return state.select("source", "mean_z", "level", "tilt")
+    # Sums of doubles depend on their order in the last digits; rounded, reruns decide alike.
+    return state.select("source", *[F.round(c, 9).alias(c) for c in ("mean_z", "level", "tilt")])
 
 
 def rates(sizes: DataFrame, solved: DataFrame, most: float = MOST) -> DataFrame:
@@ -114,7 +125,7 @@ def copies(rated: DataFrame, aims: DataFrame, cells: int = CELLS) -> DataFrame:
     filled = _same_source(filled.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))), due)
     crossing = filled.where("before <= due AND before + words > due").select("source", "cell", "before", "due")
     inside = crossing.withColumnsRenamed({"source": "source_b", "cell": "cell_b"})
-    inside = open_rows.join(inside, open_rows.source.eqNullSafe(inside.source_b) & (open_rows.cell == inside.cell_b)).drop("source_b", "cell_b")
+    inside = open_rows.join(_hinted(inside), open_rows.source.eqNullSafe(inside.source_b) & (open_rows.cell == inside.cell_b)).drop("source_b", "cell_b")
     order = Window.partitionBy("source", "cell").orderBy("xi").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("reached", F.col("before") + F.sum("size").over(order))
     within = inside.groupBy("source").agg(F.max(F.when(F.col("reached") <= F.col("due"), F.col("xi"))).alias("edge_in"), F.max(F.when(F.col("reached") <= F.col("due"), F.col("reached"))).alias("reached"))
@@ -124,7 +135,7 @@ def copies(rated: DataFrame, aims: DataFrame, cells: int = CELLS) -> DataFrame:
     edge = F.when(F.col("cell").isNull(), F.when(F.col("due") > 0, F.lit(float("inf"))).otherwise(F.lit(-1.0))).otherwise(F.coalesce("edge_in", F.least(start / (1 - start), F.lit(1e300)) * (1 - 1e-12)))
     missing = F.when(F.col("cell").isNull(), 0.0).otherwise(F.col("due") - F.coalesce("reached", "before"))
     edges = cut(edges.select("source", edge.alias("edge"), missing.alias("missing")))
-    spare = _same_source(open_rows, edges).where("xi > edge AND abs(size - missing) < missing")
+    spare = _same_source(open_rows, _hinted(edges)).where("xi > edge AND abs(size - missing) < missing")
     closing = spare.groupBy("source").agg(F.min_by("doc_id", F.struct(F.abs(F.col("size") - F.col("missing")), F.col("xi"))).alias("closing"))
     return _same_source(edges.select("source", "edge"), closing, "left")
 
@@ -141,8 +152,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST
     sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = cut(targets(sources, weights, most))
-    rated = cut(rates(sizes, balance(sizes, aims, length_shift), most))
-    decided = _same_source(_same_source(rated, copies(rated, aims)), aims)
+    rated = cut(rates(sizes, _hinted(balance(sizes, aims, length_shift)), most))
+    decided = _same_source(_same_source(rated, _hinted(cut(copies(rated, aims)))), _hinted(aims))
     return decided.select("doc_id", "source", "size", "source_size", "target", "rate", _copies().alias("copies"))
 
 
@@ -150,8 +161,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     """The rows of docs, each as often as the mix takes it. Texts meet only the small tables of sources."""
     sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     aims = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    solved = balance(sizes, aims, length_shift)
-    decisions = cut(copies(cut(rates(sizes, solved, most)), aims))
+    solved = _hinted(balance(sizes, aims, length_shift))
+    decisions = _hinted(cut(copies(cut(rates(sizes, solved, most)), aims)))
     rows = docs.select(F.struct(*map(F.col, docs.columns)).alias("row"), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
     decided = _same_source(rates(rows, solved, most), decisions, "left").withColumn("copies", _copies())
     return decided.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
