@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from distloom.llm import mixing, packing, pii, quality, simhash
+from distloom.llm import mixing, near_copies, packing, pii, quality
 from distloom.llm.common import cut, documents, small_batches
 
 
@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the document with the smallest doc_id, once."""
+    """Keeps of each group of near copies (five words, 0.8) the document with the smallest doc_id, once."""
     small_batches(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,26 @@ def ascii_lower(text: Column) -> Column:
 def words_between(text: Column, separators: str) -> Column:
     """The array of words of a text, split at runs of the class `separators`; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{separators}]+"), lambda w: w != "")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def stay(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of docs that are the least of their group, once; grouped holds doc_id, text_key and root of every row.
+
+    A row is told by doc_id and text, so rows of one id, or without one, are decided each for itself. Null ids
+    come last; rows that repeat both are one document.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    rows = grouped.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("least"))
+    rows = rows.select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key"))
+    kept = cut(rows)
+    same = grouped.doc_id.eqNullSafe(kept.kept_id) & (grouped.text_key == kept.kept_key)
+    often = grouped.join(kept.hint("merge"), same, "left_semi").groupBy("doc_id", "text_key").count().where("count > 1")
+    repeated = bool(often.limit(1).count())
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    same = keyed.doc_id.eqNullSafe(kept.kept_id) & (keyed["__key"] == kept.kept_key)
+    found = keyed.join(kept.hint("merge"), same, "left_semi")  # as many rows as documents: never a broadcast
+    return (found.dropDuplicates(["doc_id", "__key"]) if repeated else found).drop("__key")
