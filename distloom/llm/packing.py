@@ -10,13 +10,16 @@ The ids come from the byte-level BPE of `vocabulary`. The pieces are written to
 merge, so a lost executor never makes two halves of the job disagree.
 
 Edge cases: a null or empty text is the end token alone. Repeated rows are separate documents (their pieces
-carry the same doc_id). Special-token strings in a text are ordinary text. An empty table gives no pieces.
+carry the same doc_id). The string of an added token (`added`) has that token's id, wherever it stands; without
+`added` it is ordinary text. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import math
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -42,13 +45,39 @@ _NAMES = [c.split()[0] for c in PIECE.split(", ")]
 _TYPES = [pa.int64()] * len(_NAMES)
 
 
-def encoder(vocabulary: str, pattern: str):
-    """text -> token ids, from a file of ranks (`base64 rank` lines) and the pattern that splits words."""
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """String and id of the added tokens in a tokenizer's JSON file."""
+    with open(tokenizer, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"added token {t['content']!r} does not match its string alone")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def encoder(vocabulary: str, pattern: str, added: dict[str, int] | None = None):
+    """text -> token ids, from a file of ranks (`base64 rank` lines) and the pattern that splits words.
+
+    The strings of `added` cut a text, the longest where several begin; what lies between is encoded for itself.
+    """
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ordinary = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return ordinary
+    places = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        if not any(t in text for t in added):
+            return ordinary(text)
+        ids: list[int] = []
+        for i, part in enumerate(places.split(text)):
+            ids += [added[part]] if i % 2 else ordinary(part)
+        return ids
+
+    return encode
 
 
 def _crc(ids: array) -> int:
@@ -87,9 +116,9 @@ class OpenWindows:
         return done
 
 
-def _packer(vocabulary: str, pattern: str, size: int, most: int):
+def _packer(vocabulary: str, pattern: str, size: int, most: int, added: dict[str, int] | None):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern)
+        encode = encoder(vocabulary, pattern, added)
         windows = OpenWindows(size, most, TaskContext.get().partitionId() << 32)
         for batch in batches:
             done: list[tuple] = []
@@ -136,9 +165,9 @@ def _merger(size: int):
     return merge
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = WINDOW, most_open: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = WINDOW, most_open: int = OPEN, added: dict[str, int] | None = None) -> DataFrame:
     """Pieces of documents in sequences of at most `size` tokens: see PIECE. `start` counts the document's ids before the piece."""
-    placed = cut(docs.select("doc_id", "text").mapInArrow(_packer(vocabulary, pattern, size, most_open), f"{PIECE}, ids binary"))
+    placed = cut(docs.select("doc_id", "text").mapInArrow(_packer(vocabulary, pattern, size, most_open, added), f"{PIECE}, ids binary"))
     open_pieces = placed.where("ids IS NOT NULL")
     tokens = open_pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, math.ceil(tokens / MERGE_TOKENS))
