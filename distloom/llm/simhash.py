@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from distloom.llm.common import cut, discard
+from distloom.llm.common import cut, discard, stay, text_key
 
 SEED = 42
 SHINGLE = 3
@@ -185,11 +185,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found)], names=["doc_id", "text_key", "fp"])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group. Rows that repeat a doc_id are one document and stay once."""
-    found = cut(near_duplicates(docs).select("doc_id", "component_id"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    repeated = bool(kept.groupBy("kept_id").count().where("count > 1").limit(1).count())
-    kept = (kept.distinct() if repeated else kept).hint("merge")  # as many rows as documents: never a broadcast
-    stay = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    return stay.dropDuplicates(["doc_id"]) if repeated else stay
+    """The rows of docs that are the least of their group, by doc_id and text. Rows that repeat both are one document and stay once."""
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    prints = cut(rows.mapInArrow(_keyed, "doc_id long, text_key long, fp long"))
+    linked = components(near_edges(prints.select("fp").distinct()))
+    grouped = prints.join(linked, prints.fp == linked.node, "left").select("doc_id", "text_key", F.coalesce("root", "fp").alias("root"))
+    return stay(docs, cut(grouped))
