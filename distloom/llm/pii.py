@@ -7,9 +7,10 @@ replaces one. The trees are fitted here: lines of at most SAMPLE_DOCS documents
 with the smallest hashes, serve as surroundings into which labelled examples and look-alikes are written.
 Detection itself covers every text in full.
 
-Edge cases: a null text is empty and has no spans. Repeated rows are judged alike. Very long texts take time
-in proportion to their length (no pattern rescans a run). An empty table fits the trees without surroundings
-and gives an empty result. Extra columns are ignored by `detect` and kept by `redact`.
+Edge cases: a null text is empty and has no spans. Repeated rows, and rows of one doc_id or none, are judged each
+by its own text. Very long texts and runs of digits take time in proportion to their length (no pattern rescans
+a run). Proposals of equal chance go by start, length and kind. An empty table fits the trees without
+surroundings and gives an empty result. Extra columns are ignored by `detect` and kept by `redact`.
 """
 
 from __future__ import annotations
@@ -47,6 +48,12 @@ def luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(d * 2 - 9 * (d > 4) for d in values[1::2])) % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[Span]:
     last, at = 0, text.find("@")
     while at >= 0:
@@ -65,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
     found = list(_emails(text)) if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            found += [("ip", *m.span()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 found.append(("card", *m.span()))
@@ -262,7 +269,7 @@ def joined(found: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in found)
 
 
-DETECTED = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+DETECTED = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def detect(docs: DataFrame, model: Trees) -> DataFrame:
@@ -274,9 +281,9 @@ def detect(docs: DataFrame, model: Trees) -> DataFrame:
             for text in batch.column(1):
                 base, every = spans(text.as_py(), model)
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS[:4]]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64()] * 4 + [pa.string()] * 2
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[c.split()[0] for c in DETECTED.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, DETECTED)

@@ -30,6 +30,12 @@ def test_base_rules():
         assert pii.base_spans(text) == plain_base(text), text
 
 
+def test_long_runs_of_zeros_in_an_address():
+    text = "a 0." + "0" * 5000 + ".0.0 b " + "0" * 9000 + "9.1.1.1 " + "0" * 5000 + "256.1.1.1"
+    found = [s for s in pii.base_spans(text) if s[0] == "ip"]
+    assert [text[s:e].split(".")[0].lstrip("0") for _, s, e in found] == ["", "9"]
+
+
 @pytest.fixture(scope="module")
 def model():
     return pii.fit(*pii.examples(["the quick brown fox jumps over the lazy dog"]))
