@@ -24,10 +24,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where none is set (tests), a new one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local session has a new one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("distloom.checkpoint.dir", None)
     if not named:
-        named = spark.conf.get("distloom.checkpoint.dir", None) or tempfile.mkdtemp(prefix="distloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="distloom-")
         spark.conf.set("distloom.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -59,23 +61,41 @@ def words_between(text: Column, separators: str) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    return F.xxhash64(text)
+    """16 bytes that tell a text from others, null from empty too."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit(""))))
+
+
+#: Cells of a sieve: the most rows that it broadcasts.
+CELLS = 1 << 20
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Splits rows into those whose key may be among wanted, and those whose key is not.
+
+    Keys fall into CELLS cells by hash; only the cells in use are broadcast, however many keys there are. Rows that
+    pass still need a join; the others never move.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(CELLS)).alias("__cell")
+    cells = F.broadcast(wanted.select(cell).distinct())
+    placed = rows.withColumn("__cell", cell)
+    return placed.join(cells, "__cell", "left_semi").drop("__cell"), placed.join(cells, "__cell", "left_anti").drop("__cell")
 
 
 def stay(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """The rows of docs that are the least of their group, once; grouped holds doc_id, text_key and root of every row.
 
     A row is told by doc_id and text, so rows of one id, or without one, are decided each for itself. Null ids
-    come last; rows that repeat both are one document.
+    come last; rows that repeat both are one document. Only rows of groups with several may be moved.
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    rows = grouped.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("least"))
-    rows = rows.select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key"))
-    kept = cut(rows)
-    same = grouped.doc_id.eqNullSafe(kept.kept_id) & (grouped.text_key == kept.kept_key)
-    often = grouped.join(kept.hint("merge"), same, "left_semi").groupBy("doc_id", "text_key").count().where("count > 1")
-    repeated = bool(often.limit(1).count())
+    several = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "text_key"), order).alias("least")).where("n > 1")
+    several = cut(several.select("root", F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key")))
+    least = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    touched = cut(grouped.join(several, "root").select("doc_id", "text_key", least.alias("least")))
+    gone = touched.where("NOT least").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    repeated = bool(touched.where("least").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
     keyed = docs.withColumn("__key", text_key(F.col("text")))
-    same = keyed.doc_id.eqNullSafe(kept.kept_id) & (keyed["__key"] == kept.kept_key)
-    found = keyed.join(kept.hint("merge"), same, "left_semi")  # as many rows as documents: never a broadcast
-    return (found.dropDuplicates(["doc_id", "__key"]) if repeated else found).drop("__key")
+    maybe, others = sieve(keyed, touched.select(F.col("text_key").alias("__key")), "__key")
+    found = maybe.join(gone, maybe.doc_id.eqNullSafe(gone.gone_id) & (maybe["__key"] == gone.gone_key), "left_anti")
+    found = found.dropDuplicates(["doc_id", "__key"]) if repeated else found
+    return found.unionByName(others).drop("__key")

@@ -1,16 +1,19 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard coefficient of 0.8 or more. All of them.
+"""Links between texts whose sets of word shingles have a Jaccard coefficient of at least `similarity`. All of them.
 
-Fingerprints cannot give these pairs: at 0.8 two SimHashes differ in about ten of 64 bits, beyond any index
-of equal bytes. Prefix filtering can. Shingle hashes are put in one order for all texts; a set of n posts its
-n - ceil(0.8 n) + 1 first ones, and two sets that reach 0.8 share a posting. Any order gives all pairs; here
-shingles that are frequent in a sample of the texts come last, so that few lists are long. Candidates share as
-many postings as the similarity demands and are verified by their whole sets, first each member of a list against the list's smallest; what this links is one
-group, and only members of different groups that share a list are then compared pair by pair, so that many
-copies of one text do not meet each other in all pairs.
+At 0.8 two SimHashes differ in about ten of 64 bits, beyond any index of equal bytes. Prefix filtering reaches
+these pairs: shingle hashes are put in one order for all texts; a set of n posts its n - ceil(similarity * n) + 1 first ones,
+and two sets that reach the similarity share a posting. Any order gives all pairs; here shingles that are
+frequent in a sample of the texts come last, so that few lists are long. Candidates share as many postings as
+the similarity demands and are verified by their whole sets: first each member of a list against the list's smallest, together
+with the pairs that the SimHash index proposes; what these link is one group. Then members of different groups that share a
+list and fit in length are compared, so that many copies of one text do not meet each other in all pairs.
 
-Edge cases: letter case (A-Z) and ASCII space do not count. A text of fewer than five words has its whole word
+Texts move only where a pair asks for them: a sieve of bounded size holds back the others. A text that many pairs
+ask for is dealt over several tasks.
+
+Edge cases: letter case (A-Z) and ASCII space do not count. A text of fewer words than a shingle has its whole word
 sequence as one shingle; texts without words, null or empty, are copies of each other. Equal texts are one
-from the start, told by a 64-bit hash. Extra columns are ignored.
+from the start, told by 128 bits. Extra columns are ignored. An empty table works.
 """
 
 from __future__ import annotations
@@ -20,65 +23,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from distloom.llm.common import cut, discard, stay, text_key
-from distloom.llm.simhash import SEED, components
+from distloom.llm.common import cut, discard, sieve, text_key
+from distloom.llm.simhash import components, print_of, shingle_hashes, words_of
 
-SHINGLE = 5
-SIMILARITY = 0.8
 #: One text in SAMPLE is counted for the order; shingles of at least FREQUENT of them, MOST_FREQUENT at most, come last.
 SAMPLE = 16
 FREQUENT = 4
 MOST_FREQUENT = 200_000
+#: Members of a group that one task compares with the group's centre.
+FAN = 512
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII space only
-    digest = xxhash.xxh64_intdigest
-    if len(words) < size:
-        return np.array([digest(b" ".join(words), SEED)], dtype=np.uint64).view(np.int64)
-    hashes = [digest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))]
-    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(words_of(text), size).view(np.int64))
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    return n - math.ceil(similarity * n - 1e-9) + 1
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
 
 
-def _sets(frequent: np.ndarray | None, similarity: float | None):
-    """(node, text) to (node, n, hashes): the whole set, or its prefix if a similarity is given."""
+def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts of a sample hold; at most MOST_FREQUENT reach the driver."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, found = [], []
-            for text in batch.column(1):
-                hashes = shingles(text.as_py())
-                sizes.append(len(hashes))
-                if similarity is not None:
-                    if len(frequent):
-                        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-                        hashes = np.concatenate([hashes[~late], hashes[late]])
-                    hashes = hashes[: prefix_length(sizes[-1], similarity)]
-                found.append(hashes)
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.array([], dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], names=["node", "n", "hashes"])
+            found = [shingles(t.as_py(), size) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["s"])
 
-    return made
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(made, "s long")
+    counted = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    return np.array(sorted(r.s for r in counted.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).collect()), dtype=np.int64)
 
 
-_SET = "node long, n int, hashes array<long>"
+def shingle_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, key, fp, n, prefix) of every distinct text: its number, 128-bit key, SimHash, size of its set, and the set's prefix. Written out."""
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text")
+    repeated = cut(texts.groupBy("key").count().where("count > 1").select("key"))
+    maybe, once = sieve(texts, repeated, "key")
+    distinct = maybe.dropDuplicates(["key"]).unionByName(once)
+    frequent = frequent_shingles(texts, size)
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, found = [], [], []
+            for text in batch.column(1):
+                words = words_of(text.as_py())
+                every = shingle_hashes(words, size)
+                prints.append(print_of(every) if words else 0)
+                hashes = np.unique(every.view(np.int64))
+                sizes.append(len(hashes))
+                if len(frequent):
+                    late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+                    hashes = np.concatenate([hashes[~late], hashes[late]])
+                found.append(hashes[: prefix_length(sizes[-1], similarity)])
+            columns = [batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(found)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "n", "prefix"])
 
-def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that many texts of a sample hold; at most MOST_FREQUENT reach the driver."""
-    some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).dropDuplicates(["node"]).mapInArrow(_sets(None, None), _SET)
-    counted = some.select(F.explode("hashes").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    return np.array(sorted(r.s for r in counted.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).collect()), dtype=np.int64)
+    made_sets = distinct.mapInArrow(made, "key binary, fp long, n int, prefix array<long>")
+    return cut(made_sets.select(F.monotonically_increasing_id().alias("id"), "*"))  # numbers hold from here on: they are written
 
 
 def candidates(shared: DataFrame, similarity: float) -> DataFrame:
@@ -92,48 +103,63 @@ def candidates(shared: DataFrame, similarity: float) -> DataFrame:
     return near.where(F.col("common") + F.ceil(most * F.lit(similarity) - 1e-9) - 1 >= needed).select("u", "v")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach the similarity."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(None, None), _SET))
-    a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("sa")).hint("merge")
-    b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("sb")).hint("merge")
-    both = F.size(F.array_intersect("sa", "sb"))
-    reached = both >= (F.size("sa") + F.size("sb") - both) * F.lit(similarity) - 1e-9
-    found = cut(pairs.join(a, "u").join(b, "v").where(reached).select("u", "v"))
-    discard(sets)
+def _compared(size: int, similarity: float):
+    """For (u, v, text) sorted by group, the centre u (v null) before the members: the pairs that reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            us, vs = [], []
+            for u, v, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = shingles(text, size)
+                if v is None:
+                    centre, own = u, found
+                    continue
+                assert u == centre
+                both = len(np.intersect1d(own, found, assume_unique=True))
+                if both >= (len(own) + len(found) - both) * similarity - 1e-9:
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole sets reach the similarity, written out."""
+    pairs = cut(pairs.distinct())
+    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts"))
+    centres = parts.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"))
+    members = pairs.join(parts, "u").select(F.col("v").alias("id"), "u", F.pmod(F.hash("v"), "parts").alias("part"), "v")
+    roles = cut(centres.unionByName(members).join(sets.select("id", "key"), "id").select("key", "u", "part", "v"))
+    texts, _ = sieve(docs.select(text_key(F.col("text")).alias("key"), "text"), roles, "key")
+    texts = texts.join(roles.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    rows = roles.join(texts, "key").select("u", "v", "text", "part").repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    found = cut(rows.select("u", "v", "text").mapInArrow(_compared(size, similarity), "u long, v long"))
+    discard(roles)
     discard(pairs)
     return found
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (u, v) between text keys that connect all texts of the similarity or more, though not each pair of them."""
-    texts = docs.select(text_key(F.col("text")).alias("node"), "text")
-    prefixes = cut(texts.mapInArrow(_sets(frequent_shingles(texts), similarity), _SET))
-    posted = prefixes.dropDuplicates(["node"]).select("node", "n", F.explode("hashes").alias("s"))
+def links(docs: DataFrame, sets: DataFrame, proposed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between ids of sets that connect all texts of the similarity or more, though not each pair of them."""
+    posted = sets.select("id", "n", F.explode("prefix").alias("s"))
     whole = Window.partitionBy("s")
-    lists = posted.select("*", F.count(F.lit(1)).over(whole).alias("members"), F.min(F.struct("node", "n")).over(whole).alias("first"))
-    lists = cut(lists.where("members > 1").select("s", "node", "n", "first"))
-    discard(prefixes)
-    star = lists.where(F.col("first.node") != F.col("node"))
-    star = star.select(F.col("first.node").alias("u"), F.col("first.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
-    first = verified(candidates(star, similarity), texts, similarity)
-    grouped = components(first).withColumnRenamed("root", "known")
-    left = lists.join(grouped, "node", "left").select("s", "node", "n", F.coalesce("known", "node").alias("known"))
+    lists = posted.select("*", F.count(F.lit(1)).over(whole).alias("members"), F.min(F.struct("id", "n")).over(whole).alias("first"))
+    lists = cut(lists.where("members > 1").select("s", "id", "n", "first"))
+    star = lists.where(F.col("first.id") != F.col("id"))
+    star = star.select(F.col("first.id").alias("u"), F.col("first.n").alias("nu"), F.col("id").alias("v"), F.col("n").alias("nv"))
+    first = verified(candidates(star, similarity).unionByName(proposed), sets, docs, size, similarity)
+    grouped = cut(components(first).select(F.col("node").alias("id"), F.col("root").alias("known")))
+    left = lists.join(grouped, "id", "left").select("s", "id", "n", F.coalesce("known", "id").alias("known"))
     several = F.min("known").over(whole) != F.max("known").over(whole)
-    left = cut(left.withColumn("several", several).where("several").drop("several"))
+    length = F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int")
+    left = cut(left.withColumn("several", several).where("several").select("s", "id", "n", "known", length.alias("length")))
     discard(lists)
-    a, b = (left.select("s", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("known").alias(f"k{x}")) for x in "uv")
-    pairs = a.join(b.hint("merge"), "s").where((F.col("u") < F.col("v")) & (F.col("ku") != F.col("kv")))
-    more = verified(candidates(pairs, similarity), texts, similarity)
+    a = left.select("s", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("known").alias("ku"), F.explode(F.array(F.col("length"), F.col("length") + 1)).alias("length"))
+    b = left.select("s", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("known").alias("kv"), "length")
+    shorter = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
+    pairs = a.join(b.hint("merge"), ["s", "length"]).where(shorter & (F.col("ku") != F.col("kv")))
+    more = verified(candidates(pairs, similarity), sets, docs, size, similarity)
     discard(left)
     return first.unionByName(more)
-
-
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that are the least of their group of near copies, by doc_id and text. Repeated rows stay once."""
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
-    linked = components(links(docs, similarity)).hint("merge")
-    grouped = rows.join(linked, rows.text_key == linked.node, "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
-    return stay(docs, cut(grouped))

@@ -1,15 +1,21 @@
 """SimHash near-duplicates through an inverted index of positional bytes.
 
-Two 64-bit fingerprints that differ in at most three bits agree in at least five of their eight bytes. The
-index posts every distinct fingerprint under each of the 56 sets of five byte positions together with the
-five bytes that stand there: to share a posting list is to have the guaranteed minimum of five shared
-positional bytes, and every pair that has them shares a list. A list holds at most 2**24 distinct
-fingerprints, the values of the three open bytes, so no task's memory follows the size of a group. Within a
-list members are verified by their differing bits; a search from member to member emits one edge for each
-fingerprint it reaches, never all pairs. Exact copies collapse to one fingerprint before anything else.
+Two 64-bit fingerprints that differ in at most three bits share at least five of their eight positional bytes.
+Lists of single bytes would hold a 256th of all fingerprints each, so postings are dealt by four bytes first: the
+fourteen sets of four positions whose XOR is zero. Any three positions lie together outside one of these sets,
+hence two fingerprints that differ in at most three bytes meet in a list. Within a list an inverted index of
+the four other positions tallies the bytes that a fingerprint shares with each member; members with the guaranteed
+five of eight stay and are verified by their differing bits. A search from member to member emits one edge for
+each fingerprint it reaches, never all pairs, and goes on only among those not yet reached. Exact copies collapse to one
+fingerprint before anything else.
+
+`keep_one` is the filter of near copies. It links texts whose sets of shingles have a Jaccard coefficient of the
+given similarity or more: the index proposes the closest pairs, near_copies adds those whose fingerprints lie farther apart, and
+whole sets verify both.
 
 Edge cases: a text without words, null or empty, has fingerprint 0 and is linked like any other. Repeated
-rows are copies of each other. A null doc_id is never the smallest of a group. Extra columns are ignored.
+rows are copies of each other. A null doc_id is never the smallest of a group. Very long texts are hashed in pieces. Ties
+cannot matter: groups are connected parts. Extra columns are ignored. An empty table works.
 """
 
 from __future__ import annotations
@@ -28,29 +34,40 @@ from distloom.llm.common import cut, discard, stay, text_key
 SEED = 42
 SHINGLE = 3
 BITS = 3
+#: Positional bytes that fingerprints within BITS bits share at least.
+SHARED = 8 - BITS
 _CHUNK = 1 << 16
-#: Posting lists below this are searched pair by pair.
-SHORT_LIST = 1 << 16
 
-#: Masks of five bytes out of eight.
-MASKS = [sum(0xFF << (8 * p) for p in five) for five in combinations(range(8), 5)]
+#: The sets of four byte positions by which postings are dealt.
+QUADS = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
+MASKS = [sum(0xFF << (8 * p) for p in q) for q in QUADS]
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash of a text as an unsigned number."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII space only
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII space only
+
+
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words, repeats included; of the whole sequence if it is shorter."""
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(s, SEED) for s in map(b" ".join, zip(words, words[1:], words[2:], strict=False))]
+    if len(words) < size:
+        return np.array([digest(b" ".join(words), SEED)], dtype=np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+    return np.array([digest(s, SEED) for s in runs], dtype=np.uint64)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes as an unsigned number: bits set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        part = np.array(hashes[at : at + _CHUNK], dtype="<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+        part = hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    words = words_of(text)
+    return print_of(shingle_hashes(words, size)) if words else 0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,41 +81,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _flips(mask: int) -> np.ndarray:
-    """All patterns of up to BITS bits outside of mask."""
-    free = [1 << b for b in range(64) if not mask >> b & 1]
-    return np.array([sum(c) for k in range(1, BITS + 1) for c in combinations(free, k)], dtype=np.uint64)
+class ByteIndex:
+    """The members of one list, posted under each byte of the positions that they do not share already."""
+
+    def __init__(self, members: np.ndarray, quad: tuple[int, ...]):
+        self.members, self.open = members, [p for p in range(8) if p not in quad]
+        self.postings = []
+        for p in self.open:
+            byte = (members >> np.uint64(8 * p)).astype(np.uint8)
+            order = np.argsort(byte, kind="stable")
+            self.postings.append((order, np.searchsorted(byte[order], np.arange(257))))
+
+    def near(self, print_: np.uint64) -> np.ndarray:
+        """Members within BITS bits: tallied over the postings of its bytes, then verified."""
+        hits = [order[at[b] : at[b + 1]] for (order, at), b in zip(self.postings, (int(print_) >> 8 * p & 0xFF for p in self.open), strict=True)]
+        tally = np.bincount(np.concatenate(hits), minlength=len(self.members)) + 4
+        enough = np.flatnonzero(tally >= SHARED)
+        return enough[np.bitwise_count(self.members[enough] ^ print_) <= BITS]
 
 
-def list_edges(members: np.ndarray, mask: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For one posting list (sorted, distinct): edges from the root of each connected part to its other members."""
+def list_edges(members: np.ndarray, quad: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For one posting list (distinct members): edges from the root of each connected part to its other members."""
     roots, others = [], []
-    rest = members
-    if len(members) < SHORT_LIST:
-        while len(rest) > 1:
-            root, rest, queue = rest[0], rest[1:], [rest[0]]
-            while queue and len(rest):
-                near = np.bitwise_count(rest ^ queue.pop()) <= BITS
-                if near.any():
-                    found, rest = rest[near], rest[~near]
-                    queue.extend(found)
-                    roots.append(np.full(len(found), root))
-                    others.append(found)
-        return roots, others
-    alive, flips = np.ones(len(members), dtype=bool), _flips(mask)  # long lists: look up the neighbours instead
+    alive, index, place = np.ones(len(members), dtype=bool), ByteIndex(members, quad), np.arange(len(members))
     for at in range(len(members)):
         if not alive[at]:
             continue
-        alive[at], queue = False, [members[at]]
-        while queue:
-            wanted = queue.pop() ^ flips
-            place = np.minimum(np.searchsorted(members, wanted), len(members) - 1)
-            place = place[(members[place] == wanted) & alive[place]]
-            if len(place):
-                alive[place] = False
-                queue.extend(members[place])
-                roots.append(np.full(len(place), members[at]))
-                others.append(members[place])
+        alive[at], queue = False, [at]
+        while queue and (left := np.count_nonzero(alive)):
+            if 2 * left < len(place):  # post again only what is not reached yet
+                place = np.flatnonzero(alive)
+                index = ByteIndex(members[place], quad)
+            found = place[index.near(members[queue.pop()])]
+            found = found[alive[found]]
+            if len(found):
+                alive[found] = False
+                queue.extend(found.tolist())
+                roots.append(np.full(len(found), members[at]))
+                others.append(members[found])
     return roots, others
 
 
@@ -111,8 +131,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
         roots, others = [], []
         for g in np.flatnonzero(ends - starts > 1):
-            members = np.unique(fp[starts[g] : ends[g]].view(np.uint64))
-            a, b = list_edges(members, MASKS[which[starts[g]]])
+            a, b = list_edges(np.unique(fp[starts[g] : ends[g]].view(np.uint64)), QUADS[which[starts[g]]])
             roots += a
             others += b
         if roots:
@@ -138,7 +157,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_edges(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints (column fp) within BITS bits: as many as are reached, not all pairs."""
-    posting = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(MASKS)]))
+    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
+    posting = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))
     lists = distinct.select("fp", posting.alias("p")).select("p.which", "p.key", "fp")
     lists = lists.repartition("which", "key").sortWithinPartitions("which", "key")
     return lists.mapInArrow(_edges, "u long, v long")
@@ -181,20 +201,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
+    labels = cut(rooted.join(least, "root").select("fp", "component_id"))  # written, so that both sides of the join are plain and hot prints can be split
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found)], names=["doc_id", "text_key", "fp"])
+def proposed(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ids whose fingerprints are equal or linked by the index, for sets (id, fp): a tree over each group."""
+    least = cut(sets.groupBy("fp").agg(F.min("id").alias("least")))
+    equal = sets.select("id", "fp").join(least, "fp").where("id != least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    edges = near_edges(least.select("fp"))
+    of = lambda name: least.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_id"))
+    return equal.unionByName(edges.join(of("u"), "u").join(of("v"), "v").select(F.col("v_id").alias("u"), F.col("u_id").alias("v")))
+
 
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that are the least of their group of near copies, by doc_id and text. Rows that repeat both stay once."""
+    from distloom.llm import near_copies
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the least of their group, by doc_id and text. Rows that repeat both are one document and stay once."""
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    prints = cut(rows.mapInArrow(_keyed, "doc_id long, text_key long, fp long"))
-    linked = components(near_edges(prints.select("fp").distinct()))
-    grouped = prints.join(linked, prints.fp == linked.node, "left").select("doc_id", "text_key", F.coalesce("root", "fp").alias("root"))
-    return stay(docs, cut(grouped))
+    sets = near_copies.shingle_sets(docs, shingle, similarity)
+    linked = components(near_copies.links(docs, sets, proposed(sets), shingle, similarity))
+    roots = cut(sets.join(linked, sets.id == linked.node, "left").select(F.col("key").alias("text_key"), F.coalesce("root", "id").alias("root")))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
+    return stay(docs, cut(rows.join(roots, "text_key")))

@@ -1,12 +1,11 @@
 import pytest
 
-from distloom.llm import near_copies, simhash
+from distloom.llm import simhash
 from tests.llm.conftest import make_docs
 
 A, B, C = ("the quick brown fox jumps over it", "some quite different words stand in here", "and a third text of yet other words")
 
 
-@pytest.mark.parametrize("keep_one", [simhash.keep_one, near_copies.keep_one])
 @pytest.mark.parametrize(
     ("rows", "expected"),
     [
@@ -16,8 +15,8 @@ A, B, C = ("the quick brown fox jumps over it", "some quite different words stan
         ([(2, A), (2, A.upper()), (None, None), (None, "")], None),  # near copies of one id: one of them
     ],
 )
-def test_rows_are_decided_by_id_and_text(spark, keep_one, rows, expected):
-    got = sorted(((r.doc_id, r.text) for r in keep_one(make_docs(spark, rows)).collect()), key=str)
+def test_rows_are_decided_by_id_and_text(spark, rows, expected):
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(make_docs(spark, rows)).collect()), key=str)
     if expected is None:
         assert [d for d, _ in got] == [2, None]
     else:

@@ -3,8 +3,7 @@ import random
 
 import pytest
 
-import corpus_pipeline
-from distloom.llm import near_copies
+from distloom.llm import near_copies, simhash
 from tests.llm import brute
 from tests.llm.conftest import make_docs
 
@@ -45,7 +44,7 @@ def test_stage_keeps_one_of_all_near_copies(spark, corpus, edited, monkeypatch,
     monkeypatch.setattr(near_copies, "FREQUENT", frequent)
     rows = corpus + [(1000 + d, t) for d, t in edited]
     docs = make_docs(spark, rows)
-    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = simhash.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == kept(rows)
-    assert near_copies.keep_one(make_docs(spark, [])).count() == 0
+    assert simhash.keep_one(make_docs(spark, [])).count() == 0

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -53,16 +54,28 @@ def test_links_of_chosen_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_long_lists_agree_with_short_ones(monkeypatch):
+def test_a_quad_stands_outside_of_any_three_bytes():
+    assert len(simhash.QUADS) == 14
+    for three in itertools.combinations(range(8), 3):
+        assert any(not set(three) & set(q) for q in simhash.QUADS)
+
+
+def test_tally_and_bits_decide_in_a_list():
     rng = random.Random(2)
-    mask = simhash.MASKS[0]
-    free = [b for b in range(64) if not mask >> b & 1]
-    members = np.unique(np.array([sum(1 << b for b in rng.sample(free, 4)) for _ in range(300)], dtype=np.uint64))
-    sets = lambda edges: sorted(sorted({int(r), *map(int, o)}) for r, o in _grouped(*edges).items())
-    short = sets(simhash.list_edges(members, mask))
-    monkeypatch.setattr(simhash, "_CHUNK", 1)
-    monkeypatch.setattr(simhash, "SHORT_LIST", 1)
-    assert sets(simhash.list_edges(members, mask)) == short
+    quad = simhash.QUADS[3]
+    free = [b for b in range(64) if b // 8 not in quad]
+    members = np.unique(np.array([sum(1 << b for b in rng.sample(free, rng.randrange(1, 6))) for _ in range(500)], dtype=np.uint64))
+    index = simhash.ByteIndex(members, quad)
+    for x in members[::7]:
+        bits = np.bitwise_count(members ^ x)
+        assert sorted(index.near(x)) == sorted(np.flatnonzero(bits <= 3))
+        shared = sum((members >> np.uint64(8 * p)).astype(np.uint8) == (x >> np.uint64(8 * p)).astype(np.uint8) for p in range(8))
+        assert (shared[bits <= 3] >= simhash.SHARED).all() and (shared[bits > 3] >= simhash.SHARED).any() and (shared < simhash.SHARED).any()
+    got = sorted(sorted({int(r), *map(int, o)}) for r, o in _grouped(*simhash.list_edges(members, quad)).items())
+    groups = {}
+    for i, r in brute.components(list(enumerate(map(int, members)))).items():
+        groups.setdefault(r, []).append(int(members[i]))
+    assert got == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
 def _grouped(roots, others):
@@ -70,12 +83,3 @@ def _grouped(roots, others):
     for r, o in zip(np.concatenate(roots), np.concatenate(others), strict=True):
         out.setdefault(r, []).append(o)
     return out
-
-
-def test_keep_one(spark, corpus):
-    docs = make_docs(spark, corpus)
-    roots = brute.components(list({(d, brute.simhash(t)) for d, t in corpus}))
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, r in roots.items() if d == r)
-    assert simhash.keep_one(make_docs(spark, [])).count() == 0
