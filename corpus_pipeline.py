@@ -1,6 +1,11 @@
 """A corpus from raw documents to packed sequences: quality, near-duplicates, personal data, mixing, packing.
 
 Each stage reads the Parquet table that the one before it wrote. `run` chains them over `documents`.
+
+Edge cases: a null or empty text fails the quality rules and goes; what a stage does with null, repeated or
+missing doc_ids, null sources, ties and very long texts is what its operator states: rows are told by doc_id and text, so two
+texts of one doc_id, or of none, are two documents, and a repeated row is one copy of the other. Other columns are
+carried along, whatever their names; n_chars follows the redacted text where it exists. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from distloom.llm import mixing, near_copies, packing, pii, quality
+from distloom.llm import mixing, packing, pii, quality, simhash
 from distloom.llm.common import cut, documents, small_batches
 
 
@@ -21,13 +26,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies (five words, 0.8) the document with the smallest doc_id, once."""
     small_batches(spark)
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     clean = pii.redact(docs, pii.train(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
