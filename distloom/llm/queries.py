@@ -32,7 +32,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffixtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return suffixtrees.dedup(documents(spark, sf_dir)).drop("kept")
+    return suffixtrees.dedup(documents(spark, sf_dir), texts=False)
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffixarrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return suffixarrays.dedup(documents(spark, sf_dir)).drop("kept")
+    return suffixarrays.dedup(documents(spark, sf_dir), texts=False)
 
 
 def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,17 @@ comparing only under a common anchor. The windows of one anchor place are consec
 region. Regions, about one for every `width` / 2 units, stand for all windows of a text: an anchor seen once
 in the corpus has nothing repeated in its region, and regions of equal content repeat as a whole. Only distinct
 regions that share an anchor but differ are left for suffix trees or suffix arrays.
+
+Anchors may collide: that costs a comparison. A region's content is told by 128 bits, over bytes or over 128-bit codes of
+its words. Texts are cut in segments, so that what is held besides a text itself does not follow its length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from distloom.llm.common import cut
+from distloom.llm.common import cut, sieve
 
 _PLACE = np.uint64((1 << 24) - 1)
-_SEGMENT = 1 << 23
+#: Units of a segment: of a long text, or of several short ones that are cut together.
+SEGMENT = 1 << 19
 _FACTOR = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
@@ -53,7 +59,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
-    """Hashes of all runs of `gram` codes (random 64-bit numbers that stand for words or bytes)."""
+    """Hashes of all runs of `gram` codes (64-bit numbers that stand for words or bytes)."""
     up, down = _POWERS.upto(len(codes))
     sums = np.zeros(len(codes) + 1, dtype=np.uint64)
     np.cumsum(codes * up, out=sums[1:])
@@ -69,208 +75,239 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - have :]) if have < width else out
 
 
-def anchors(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For grams of a text and `width` grams in a window: anchor hashes, first and last window of each region."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for base in range(0, len(grams) - width + 1, _SEGMENT):
-        part = grams[base : base + _SEGMENT + width - 1]
-        packed = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
-        place = (sliding_least(packed, width) & _PLACE).astype(np.int64)
-        new = np.flatnonzero(place[1:] != place[:-1]) + 1
-        first = np.concatenate([[0], new])
-        last = np.concatenate([new, [len(place)]]) - 1
-        found.append((part[place[first]], first + base, last + base))
-    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64),) * 3
+def cut_regions(codes: np.ndarray, piece: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For codes of pieces of text laid end to end: anchor hash, first and last window of each region, none across pieces."""
+    grams = gram_hashes(codes, gram)
+    packed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    place = (sliding_least(packed, window - gram + 1) & _PLACE).astype(np.int64)
+    whole = piece[: len(place)] == piece[window - 1 :]
+    new = np.flatnonzero((place[1:] != place[:-1]) | (whole[1:] != whole[:-1]) | (piece[1 : len(place)] != piece[: len(place) - 1])) + 1
+    first, last = np.concatenate([[0], new]), np.concatenate([new, [len(place)]]) - 1
+    first, last = first[whole[first]], last[whole[first]]
+    return grams[place[first]], first, last
 
 
 @dataclass
-class Regions:
-    """The regions of one text: anchor and content hashes, and the first and last window of each."""
+class Block:
+    """Regions of one or more texts: which text, anchor, 128-bit digest as two numbers, first and last window in that text."""
 
+    text: np.ndarray
     anchor: np.ndarray
-    content: np.ndarray
+    digest: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    data: bytes
-    size: int  # words or bytes that windows are cut from
-    starts: np.ndarray | None = None  # of words
-    ends: np.ndarray | None = None
+    units: Callable[[int], bytes]  # the content of region i: bytes, or words joined by one space
+
+    def keys(self) -> list[bytes]:
+        raw = self.digest.tobytes()
+        return [raw[i : i + 16] for i in range(0, len(raw), 16)]
+
+
+def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    found = b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, dtype="<u8").reshape(-1, 2)
 
-    def units(self, first: int, last: int) -> bytes:
-        """Units first to last, that included: bytes, or words joined by one space."""
-        if self.starts is None:
-            return self.data[first : last + 1]
-        return b" ".join(self.data[self.starts[first] : self.ends[last]].split())
 
+_NONE = np.zeros((0, 2), dtype=np.uint64)
+
+
+class Cutter:
+    """Cuts texts into regions. Subclasses lay pieces of texts end to end and give them codes."""
+
+    def __init__(self, window: int, gram: int):
+        self.window, self.gram = window, gram
+
+    def pieces(self, text: str) -> Iterator[tuple[int, object]]:
+        """(first unit, units) of the segments of a text; neighbours share window - 1 units."""
+        raise NotImplementedError
+
+    def block(self, pieces: list[tuple[int, int, object]], digests: bool) -> Block | None:
+        raise NotImplementedError
+
+    def blocks(self, texts: Iterable[str | None], digests: bool = True) -> Iterator[Block]:
+        held: list[tuple[int, int, object]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for base, units in self.pieces(text or ""):
+                if len(units) < self.window:
+                    continue
+                held.append((i, base, units))
+                size += len(units)
+                if size >= SEGMENT:
+                    yield self.block(held, digests)
+                    held, size = [], 0
+        if held:
+            yield self.block(held, digests)
+
+    def _made(self, pieces: list, codes: np.ndarray, data: bytes, step: int, digests: bool, units: Callable) -> Block:
+        lengths = np.array([len(p[2]) for p in pieces])
+        starts = np.cumsum(lengths) - lengths
+        piece = np.repeat(np.arange(len(pieces)), lengths)
+        anchor, first, last = cut_regions(codes, piece, self.window, self.gram)
+        of = piece[first]
+        digest = _digests(data, step * first, step * (last + self.window)) if digests else _NONE
+        text, base = np.array([p[0] for p in pieces])[of], np.array([p[1] for p in pieces])[of] - starts[of]
+        content = lambda i: units(of[i], first[i] - starts[of[i]], last[i] - starts[of[i]] + self.window)
+        return Block(text, anchor.view(np.int64), digest, first + base, last + base, content)
 
-Cutter = Callable[[str], Regions]
 
-_EMPTY = np.zeros(0, np.int64)
 _BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
-_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def byte_regions(window: int, gram: int) -> Cutter:
-    def regions(text: str) -> Regions:
+class ByteCutter(Cutter):
+    def pieces(self, text: str) -> Iterator[tuple[int, bytes]]:
         data = text.encode("utf-8", "surrogatepass")
-        if len(data) < window:
-            return Regions(_EMPTY, _EMPTY, _EMPTY, _EMPTY, data, len(data))
-        hashes = gram_hashes(_BYTES[np.frombuffer(data, dtype=np.uint8)], gram)
-        anchor, first, last = anchors(hashes, window - gram + 1)
-        view = memoryview(data)
-        content = np.array([xxhash.xxh3_64_intdigest(view[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], dtype=np.uint64)
-        return Regions(anchor.view(np.int64), content.view(np.int64), first, last, data, len(data))
+        for base in range(0, max(1, len(data) - self.window + 1), SEGMENT):
+            yield base, data[base : base + SEGMENT + self.window - 1]
 
-    return regions
+    def block(self, pieces: list, digests: bool) -> Block:
+        data = b"".join([p[2] for p in pieces])
+        return self._made(pieces, _BYTES[np.frombuffer(data, dtype=np.uint8)], data, 1, digests, lambda p, a, b: pieces[p][2][a:b])
 
 
-def _range_hashes(codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the runs codes[first:end]."""
-    up, down = _POWERS.upto(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(codes * up[:-1], out=sums[1:])
-    return mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+class Codes(dict):
+    """128-bit codes of words, kept for the words met last."""
 
+    most = 1 << 19
 
-def word_regions(window: int, gram: int) -> Cutter:
-    def regions(text: str) -> Regions:
-        data = text.encode("utf-8", "surrogatepass")
-        raw = np.frombuffer(data, dtype=np.uint8)
-        edge = np.ones(len(raw) + 2, dtype=bool)
-        edge[1:-1] = _IS_SPACE[raw]
-        turn = np.flatnonzero(edge[1:] != edge[:-1])
-        starts, ends = turn[::2], turn[1::2]
-        n = len(starts)
-        if n < window:
-            return Regions(_EMPTY, _EMPTY, _EMPTY, _EMPTY, data, n, starts, ends)
-        codes = _range_hashes(_BYTES[raw], starts, ends)
-        anchor, first, last = anchors(gram_hashes(codes, gram), window - gram + 1)
-        content = _range_hashes(codes, first, last + window)
-        return Regions(anchor.view(np.int64), content.view(np.int64), first, last, data, n, starts, ends)
-
-    return regions
-
-
-#: Bytes of short texts whose words are hashed together.
-_TOGETHER = 1 << 20
-
-
-def _word_rows(keys: np.ndarray, texts: list[str], window: int, gram: int) -> list[tuple]:
-    """(key, anchor, region) arrays of many short texts at once: what word_regions gives for each."""
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b"\n".join(data) + b"\n", dtype=np.uint8)
-    edge = np.ones(len(raw) + 1, dtype=bool)
-    edge[1:] = _IS_SPACE[raw]
-    turn = np.flatnonzero(edge[1:] != edge[:-1])
-    starts, ends = turn[::2], turn[1::2]
-    if len(starts) < window:
-        return []
-    owner = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), starts, "right")
-    codes = _range_hashes(_BYTES[raw], starts, ends)
-    grams = gram_hashes(codes, gram)
-    packed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-    place = (sliding_least(packed, window - gram + 1) & _PLACE).astype(np.int64)
-    whole = owner[: len(place)] == owner[window - 1 :]  # windows within one text
-    new = np.flatnonzero((place[1:] != place[:-1]) | (whole[1:] != whole[:-1])) + 1
-    first, last = np.concatenate([[0], new]), np.concatenate([new, [len(place)]]) - 1
-    first, last = first[whole[first]], last[whole[first]]
-    content = _range_hashes(codes, first, last + window)
-    return [(keys[owner[first]], grams[place[first]].view(np.int64), content.view(np.int64))]
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        code = self[word] = xxhash.xxh3_128_digest(word)
+        return code
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def words_in_segments(text: str, overlap: int = 0) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first word, words) of segments of a text, each beginning with the last `overlap` words of the one before."""
+    data = text.encode("utf-8", "surrogatepass")
+    at, base, carried = 0, 0, []
+    while True:
+        edge = _SPACE.search(data, at + 8 * SEGMENT)
+        end = edge.start() if edge else len(data)
+        words = carried + data[at:end].split()
+        yield base, words
+        if end == len(data):
+            return
+        carried = words[-overlap:] if overlap else []
+        base += len(words) - len(carried)
+        at = end
 
 
-def word_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key, anchor, region) for docs (key, text): a row for each region of each document."""
+class WordCutter(Cutter):
+    def __init__(self, window: int, gram: int):
+        super().__init__(window, gram)
+        self.codes = Codes()
+
+    def pieces(self, text: str) -> Iterator[tuple[int, list[bytes]]]:
+        return words_in_segments(text, self.window - 1)
+
+    def block(self, pieces: list, digests: bool) -> Block:
+        data = b"".join(map(self.codes.__getitem__, chain.from_iterable(p[2] for p in pieces)))
+        codes = np.ascontiguousarray(np.frombuffer(data, dtype="<u8")[::2])
+        return self._made(pieces, codes, data, 16, digests, lambda p, a, b: b" ".join(pieces[p][2][a:b]))
+
+
+def binary_array(digest: np.ndarray) -> pa.Array:
+    """A column of 16-byte values from rows of two numbers."""
+    data = np.ascontiguousarray(digest).tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(digest), [None, pa.py_buffer(np.arange(len(digest) + 1, dtype=np.int32) * 16), pa.py_buffer(data)])
+
+
+def anchor_counts(docs: DataFrame, cutter: Callable[[], Cutter], within: bool) -> DataFrame:
+    """(anchor, n) for docs (key, text), counted by block: how often an anchor stands there, or, unless `within`, in how many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone = word_regions(window, gram)
+        own = cutter()
         for batch in batches:
-            parts, texts, keys, size = [], [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                if len(text) > _TOGETHER // 4:
-                    r = alone(text)
-                    parts.append((np.full(len(r.anchor), key), r.anchor, r.content))
-                    continue
-                texts.append(text)
-                keys.append(key)
-                size += len(text)
-                if size > _TOGETHER // 2:
-                    parts += _word_rows(np.array(keys), texts, window, gram)
-                    texts, keys, size = [], [], 0
-            if texts:
-                parts += _word_rows(np.array(keys), texts, window, gram)
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["key", "anchor", "region"])
+            for block in own.blocks((t.as_py() for t in batch.column(1)), digests=False):
+                anchor = block.anchor
+                if not within:
+                    order = np.lexsort((anchor, block.text))
+                    a, t = anchor[order], block.text[order]
+                    anchor = a[np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])])[: len(a)]]
+                anchor, n = np.unique(anchor, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, anchor long, region long")
+    return docs.select("key", "text").mapInArrow(run, "anchor long, n long")
 
 
 def region_rows(docs: DataFrame, cutter: Callable[[], Cutter]) -> DataFrame:
     """(key, anchor, region, n) for docs (key, text): how often each region stands in each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions = cutter()
+        own = cutter()
         for batch in batches:
-            parts = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                r = regions(text.as_py() or "")
-                if len(r.anchor):
-                    content, at, n = np.unique(r.content, return_index=True, return_counts=True)
-                    parts.append((np.full(len(at), key), r.anchor[at], content, n))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["key", "anchor", "region", "n"])
+            keys = batch.column(0).to_numpy()
+            for block in own.blocks(t.as_py() for t in batch.column(1)):
+                if not len(block.text):
+                    continue
+                order = np.lexsort((block.digest[:, 1], block.digest[:, 0], block.text))
+                d, t = block.digest[order], block.text[order]
+                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]).any(axis=1) | (t[1:] != t[:-1])]))
+                n = np.diff(np.append(new, len(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[t[new]]), pa.array(block.anchor[order[new]]), binary_array(d[new]), pa.array(n)], names=["key", "anchor", "region", "n"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, anchor long, region long, n long")
+    return docs.select("key", "text").mapInArrow(run, "key long, anchor long, region binary, n long")
 
 
-def shared_rows(rows: DataFrame) -> DataFrame:
-    """The rows of region_rows or word_rows whose anchor stands twice or more in the corpus, written out."""
-    seen = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
-    again = rows.groupBy("anchor").agg(seen.alias("seen")).where("seen > 1").select("anchor")
-    return cut(rows.join(again, "anchor", "left_semi").select(*rows.columns))
+def shared_rows(docs: DataFrame, cutter: Callable[[], Cutter], within: bool) -> DataFrame:
+    """The rows of region_rows whose anchor stands twice or more in the corpus (in two texts, unless `within`), written out."""
+    again = anchor_counts(docs, cutter, within).groupBy("anchor").agg(F.sum("n").alias("seen")).where("seen > 1").select("anchor")
+    again = cut(again)  # a plain table: both sides of the join can then be split where an anchor is hot
+    return cut(region_rows(docs, cutter).join(again, "anchor", "left_semi"))
 
 
-def region_texts(docs: DataFrame, wanted: DataFrame, cutter: Callable[[], Cutter], window: int) -> DataFrame:
+def region_texts(docs: DataFrame, wanted: DataFrame, cutter: Callable[[], Cutter]) -> DataFrame:
     """(region, units) for wanted (key, region): the content of each wanted region, words joined by one space."""
-    lists = wanted.groupBy("key").agg(F.collect_list("region").alias("regions"))
+    lists = wanted.groupBy("key").agg(F.collect_list("region").alias("regions"))  # no more than the regions of a text
+    maybe, _ = sieve(docs, wanted, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions = cutter()
+        own = cutter()
         for batch in batches:
-            names, contents = [], []
-            for text, want in zip(batch.column(0), batch.column(1), strict=True):
-                r, want = regions(text.as_py() or ""), np.array(want.as_py(), dtype=np.int64)
-                content, at = np.unique(r.content, return_index=True)
-                for i in at[np.isin(content, want)]:
-                    names.append(r.content[i])
-                    contents.append(r.units(r.first[i], r.last[i] + window - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(contents, pa.binary())], names=["region", "units"])
-
-    found = docs.join(lists, "key").select("text", "regions").mapInArrow(run, "region long, units binary")
+            wants, names, contents = [set(w) for w in batch.column(1).to_pylist()], [], []
+            for block in own.blocks(t.as_py() for t in batch.column(0)):
+                for i, (text, name) in enumerate(zip(block.text.tolist(), block.keys(), strict=True)):
+                    if name in wants[text]:
+                        wants[text].discard(name)
+                        names.append(name)
+                        contents.append(block.units(i))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(contents, pa.binary())], names=["region", "units"])
+
+    found = maybe.join(lists, "key").select("text", "regions").mapInArrow(run, "region binary, units binary")
     return found.dropDuplicates(["region"])
 
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """docs (key, ...) with `marks`: the array of (region, windows) that marks (key, region, windows) has for the document."""
-    lists = marks.groupBy("key").agg(F.collect_list(F.struct("region", "windows")).alias("marks"))
-    return docs.join(lists, "key", "left")
-
-
-def covered(r: Regions, marks: list[dict] | None, window: int) -> np.ndarray:
-    """Which units of the text the marked windows cover. Windows count from their region's first; null means all of them."""
-    steps = np.zeros(r.size + 1, dtype=np.int64)
-    if marks:
-        by = {m["region"]: m["windows"] for m in marks}
-        for i in np.flatnonzero(np.isin(r.content, np.array(list(by), dtype=np.int64))):
-            windows = by[int(r.content[i])]
-            if windows is None:
-                steps[r.first[i]] += 1
-                steps[r.last[i] + window] -= 1
+    """docs (key, ...) with `marks`: the array of (region, spans) that marks (key, region, spans) has for the document.
+
+    Documents without marks stay where they are.
+    """
+    marks = cut(marks)
+    lists = marks.groupBy("key").agg(F.collect_list(F.struct("region", "spans")).alias("marks"))  # no more than the regions of a text
+    maybe, others = sieve(docs, marks, "key")
+    none = F.lit(None).cast("array<struct<region:binary,spans:array<int>>>")
+    return maybe.join(lists, "key", "left").unionByName(others.withColumn("marks", none))
+
+
+def covered(blocks: Iterable[Block], marks: list[dict], window: int, size: int) -> np.ndarray:
+    """Which of `size` units of one text the marks cover. Spans are pairs of first unit, from the region's start, and length; null means the whole region."""
+    gone, by = np.zeros(size, dtype=bool), {m["region"]: m["spans"] for m in marks}
+    for block in blocks:
+        for name, first, last in zip(block.keys(), block.first.tolist(), block.last.tolist(), strict=True):
+            if name not in by:
+                continue
+            spans = by[name]
+            if spans is None:
+                gone[first : last + window] = True
             else:
-                at = r.first[i] + np.array(windows, dtype=np.int64)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + window, -1)
-    return np.cumsum(steps[:-1]) > 0
+                for at, n in zip(spans[::2], spans[1::2], strict=True):
+                    gone[first + at : first + at + n] = True
+    return gone
 
 
 def groups(batches: Iterator[pa.RecordBatch], least: int, key: int = 0, size: str = "units") -> Iterator[pa.Table]:

@@ -8,8 +8,10 @@ its common prefixes from Kasai's recurrence, run over blocks of the text side by
 regions than fit a shard is split over several; their windows that stand once in their shard are then merged
 across shards in order of their hashes, where binary search counts each one's occurrences.
 
-Edge cases: a null or empty text has no bytes. Repeated rows are copies of each other, so both lose every
-window. A text shorter than WINDOW keeps all. Extra columns are ignored. An empty table works.
+A region is told by 128 bits of its content, and so are windows that meet across shards.
+
+Edge cases: a null or empty text has no bytes. Repeated rows, and rows of one doc_id or none, are documents of their own: copies of
+each other, both lose every window. A text shorter than WINDOW keeps all. Very long texts are cut in segments. Extra columns are ignored. An empty table works.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from distloom.llm.common import cut
-from distloom.llm.regions import byte_regions, covered, groups, region_rows, region_texts, shared_rows, with_marks
+from distloom.llm.regions import ByteCutter, covered, groups, region_texts, shared_rows, with_marks
 
 WINDOW = 200
 GRAM = 32
@@ -94,16 +96,20 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, cap: int) -> np.ndarra
     return found[order]
 
 
-_SCHEMA = "region long, windows array<int>, hash long, at int, again boolean"
+_SCHEMA = "region binary, spans array<int>, hash binary, at int, again boolean"
+
+
+def _taken(names: pa.ChunkedArray, at: np.ndarray) -> pa.Array:
+    return pa.concat_arrays(names.take(pa.array(at)).chunks or [pa.array([], pa.binary())])
 
 
 def _shards(window: int):
-    """For regions sorted by shard: rows (region, windows) of repeated windows, and for split anchors a row (hash, ...) for each window class."""
+    """For regions sorted by shard: rows (region, spans) of repeated windows, and for split anchors a row (hash, ...) for each window class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, _CHUNK):
-            region, times, parts = (table.column(c).to_numpy() for c in ("region", "n", "parts"))
-            texts = table.column("units").to_pylist()
+            times, parts = (table.column(c).to_numpy() for c in ("n", "parts"))
+            region, texts = table.column("region"), table.column("units").to_pylist()
             joined = b"".join(texts)
             words = eights(np.frombuffer(joined, dtype=np.uint8), window)
             order = suffix_array(words, len(joined), window)
@@ -117,78 +123,88 @@ def _shards(window: int):
             total = np.bincount(run_of, weights=np.minimum(times[owner], 2))
             twice = total[run_of] >= 2
             hit = np.flatnonzero(twice & (times[owner] == 1))
-            hit = hit[np.argsort(owner[hit], kind="stable")]
-            owners, at = np.unique(owner[hit], return_index=True)
-            none = lambda n, t: pa.nulls(n, t)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(hit)), pa.int32()), pa.array(offset[hit], pa.int32()))
-            k = len(owners)
-            yield pa.RecordBatch.from_arrays([pa.array(region[owners], pa.int64()), lists, none(k, pa.int64()), none(k, pa.int32()), none(k, pa.bool_())], names=["region", "windows", "hash", "at", "again"])
+            hit = hit[np.lexsort((offset[hit], owner[hit]))]
+            o, w = owner[hit], offset[hit]
+            new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1] + 1)])[: len(hit)])
+            last = np.append(new[1:], len(hit)) - 1
+            spans = np.stack([w[new], w[last] - w[new] + window], axis=1).astype(np.int32)  # neighbouring windows as one
+            k = len(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))
+            yield pa.RecordBatch.from_arrays([_taken(region, o[new]), lists, pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.bool_())], names=_NAMES)
             ones = np.flatnonzero((parts[owner] > 1) & np.concatenate([[True], run_of[1:] != run_of[:-1]])[: len(run_of)])
             if len(ones):
-                view, starts = memoryview(joined), order[ones]
-                hashes = np.array([xxhash.xxh3_64_intdigest(view[s : s + window]) for s in starts.tolist()], dtype=np.uint64).view(np.int64)
-                k = len(ones)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(region[owner[ones]], pa.int64()), none(k, pa.list_(pa.int32())), pa.array(hashes), pa.array(offset[ones], pa.int32()), pa.array(twice[ones])], names=["region", "windows", "hash", "at", "again"]
-                )
+                view, k = memoryview(joined), len(ones)
+                hashes = pa.array([xxhash.xxh3_128_digest(view[s : s + window]) for s in order[ones].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([_taken(region, owner[ones]), pa.nulls(k, pa.list_(pa.int32())), hashes, pa.array(offset[ones], pa.int32()), pa.array(twice[ones])], names=_NAMES)
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window classes of several shards, sorted by hash: (region, at) of those that stand once in their shard and again elsewhere."""
-    for table in groups(batches, 1, size="hash"):
-        hashes, region, at, again = (table.column(c).to_numpy() for c in ("hash", "region", "at", "again"))
-        count = np.searchsorted(hashes, hashes, "right") - np.searchsorted(hashes, hashes, "left")
-        hit = np.flatnonzero((count > 1) & ~again.astype(bool))
-        yield pa.RecordBatch.from_arrays([pa.array(region[hit], pa.int64()), pa.array(at[hit], pa.int32())], names=["region", "at"])
+_NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(key, region, windows) for docs (key, text): the windows of each region that stand twice or more in the corpus."""
-    cutter = lambda: byte_regions(window, gram)
-    rows = shared_rows(region_rows(docs, cutter))
+def _merge(window: int):
+    """Window classes of several shards, sorted by hash: (region, spans) of those that stand once in their shard and again elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 1, size="hash"):
+            hashes = np.array(table.column("hash").to_pylist())
+            at, again = (table.column(c).to_numpy() for c in ("at", "again"))
+            count = np.searchsorted(hashes, hashes, "right") - np.searchsorted(hashes, hashes, "left")
+            hit = np.flatnonzero((count > 1) & ~again.astype(bool))
+            spans = np.stack([at[hit], np.full(len(hit), window)], axis=1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))
+            yield pa.RecordBatch.from_arrays([_taken(table.column("region"), hit), lists], names=["region", "spans"])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """(key, region, spans) for docs (key, text): what of each region stands twice or more in the corpus; null means all of it."""
+    cutter = lambda: ByteCutter(window, gram)
+    rows = shared_rows(docs, cutter, within=True)
     distinct = cut(rows.groupBy("anchor", "region").agg(F.sum("n").alias("n"), F.min("key").alias("rep")))
-    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1")
+    mixed = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1"))
     parts = F.ceil(F.col("m") / F.lit(float(shard))).cast("int")
-    open_regions = distinct.join(mixed, "anchor").select("anchor", "region", "n", "rep", parts.alias("parts"))
-    open_regions = cut(open_regions)
-    texts = region_texts(docs, open_regions.select(F.col("rep").alias("key"), "region"), cutter, window)
-    dealt = open_regions.join(texts, "region").withColumn("part", F.pmod("region", "parts"))
+    several = cut(distinct.join(mixed, "anchor").select("anchor", "region", "n", "rep", parts.alias("parts")))
+    texts = region_texts(docs, several.select(F.col("rep").alias("key"), "region"), cutter)
+    dealt = several.join(texts, "region").withColumn("part", F.pmod(F.xxhash64("region"), "parts"))
     shards = F.xxhash64("anchor", "part").alias("shard")
     dealt = dealt.select(shards, "region", "n", "parts", "units").repartition("shard").sortWithinPartitions("shard")
     found = cut(dealt.mapInArrow(_shards(window), _SCHEMA))
     classes = found.where("hash IS NOT NULL").select("hash", "region", "at", "again").repartition("hash").sortWithinPartitions("hash")
-    merged = classes.mapInArrow(_merge, "region long, at int").select("region", F.array("at").alias("windows"))
-    windows = found.where("hash IS NULL").select("region", "windows").unionByName(merged)
-    windows = windows.groupBy("region").agg(F.flatten(F.collect_list("windows")).alias("windows"))
-    decided = distinct.join(windows, "region", "left").where("n > 1 OR windows IS NOT NULL").select("region", F.when(F.col("n") == 1, F.col("windows")).alias("windows"))
+    merged = classes.mapInArrow(_merge(window), _SPANS)
+    spans = found.where("hash IS NULL").select("region", "spans").unionByName(merged)
+    spans = spans.groupBy("region").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # no more than a region has bytes
+    decided = cut(distinct.join(spans, "region", "left").where("n > 1 OR spans IS NOT NULL").select("region", F.when(F.col("n") == 1, F.col("spans")).alias("spans")))
     return rows.select("key", "region").join(decided, "region")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and kept, the remaining bytes."""
+_SPANS = "region binary, spans array<int>"
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and, if `texts`, kept: the remaining bytes."""
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    marks = repeated_windows(keyed.select("key", "text"), window, gram, shard)
+    marks = repeated_spans(keyed.select("key", "text"), window, gram, shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = byte_regions(window, gram)
+        cutter = ByteCutter(window, gram)
         for batch in batches:
             rows = []
             for text, mark in zip(batch.column(1), batch.column(2), strict=True):
                 text, mark = text.as_py() or "", mark.as_py()
+                kept = text.encode("utf-8", "surrogatepass")
+                size, spans = len(kept), 0
                 if mark:
-                    r = cutter(text)
-                    gone = covered(r, mark, window)
-                    kept = np.frombuffer(r.data, dtype=np.uint8)[~gone].tobytes()
+                    gone = covered(cutter.blocks([text]), mark, window, size)
+                    kept = np.frombuffer(kept, dtype=np.uint8)[~gone].tobytes()
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                    rows.append((r.size, r.size - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-                else:
-                    kept = text.encode("utf-8", "surrogatepass")
-                    rows.append((len(kept), 0, 0, hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((size, size - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            made = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(made[: 5 + texts], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts])
 
     joined = with_marks(keyed, marks).select("doc_id", "text", "marks")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)

@@ -2,14 +2,21 @@
 
 A window is a run of WINDOW words. A word is removed if a window that covers it also starts in a document with
 a smaller doc_id. Content-defined regions (see regions) leave few suffixes to look at: those of regions that
-differ but share an anchor. They are split into memory-sized groups by variable-length prefixes: the anchor
-gram, which all windows of a group hold, and, where one anchor has more than GROUP regions, the whole window.
-A group's suffixes are sorted and their common prefixes taken, which is its subtree in array form; internal
-nodes at least WINDOW words deep are the maximal repeats, and the smallest doc_id below a node decides. Groups
-by whole windows are single such nodes and combine before the shuffle.
+differ but share an anchor. A region of one content alone is a tree of a single path: all of it stands first in
+the least of its documents.
+
+The suffixes of the others, each with its words up to the end of its region, are split into memory-sized
+groups by prefixes of PREFIXES words: the next longer one where more than GROUP suffixes share the shorter. In
+each group the suffixes are sorted, and the common prefixes of neighbours give the internal nodes of the group's subtree.
+Nodes at least WINDOW words deep are repeats that no further word extends alike; each carries the smallest
+doc_id below it. A suffix loses as many words as its deepest node with a smaller doc_id than its own has. Where even the longest
+prefix, a whole window, has too many suffixes, they are one deep node: its smallest doc_id is found by aggregation.
+
+Words are compared as they stand; hashes of prefixes only deal suffixes out.
 
 Edge cases: a null or empty text has no words and removes none. A null doc_id counts as larger than any other.
-Rows that repeat a doc_id remove nothing from each other. Extra columns are ignored. An empty table works.
+Rows that repeat a doc_id remove nothing from each other. Of equal windows in one document none is earlier. Very long texts are cut in
+segments. Extra columns are ignored. An empty table works.
 """
 
 from __future__ import annotations
@@ -25,115 +32,200 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from distloom.llm.common import cut
-from distloom.llm.regions import covered, groups, region_texts, shared_rows, with_marks, word_regions, word_rows
+from distloom.llm.regions import WordCutter, covered, groups, region_texts, shared_rows, with_marks, words_in_segments
 
 WINDOW = 13
 GRAM = 4
+#: Words of prefixes; the last is the window.
+PREFIXES = (4, 8, WINDOW)
 GROUP = 20_000
 _CHUNK = 2_000_000
 _LAST = (1 << 63) - 1
 
-_FOUND = "region long, windows array<int>"
-
-
-def deep_nodes(suffixes: np.ndarray, depth: int) -> np.ndarray:
-    """The internal node at `depth` words above each suffix (rows of word numbers), numbered in sorted order."""
-    flat = np.ascontiguousarray(suffixes.astype(">u4")).view(f"S{4 * depth}").ravel()
+_FOUND = "region binary, spans array<int>"
+
+
+def internal_nodes(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depth and parent of the internal nodes at least `least` deep, and the node right above each suffix (-1: none).
+
+    common[i] is the common prefix, in words, of suffix i and the one before it in sorted order.
+    """
+    depth: list[int] = []
+    parent: list[int] = []
+    above: list[int] = []
+    path: list[int] = []  # nodes that are still open, from the root
+    values = [*common.tolist(), 0]
+    for i in range(len(values) - 1):
+        before, after = values[i], values[i + 1]
+        while path and depth[path[-1]] > before:
+            node = path.pop()
+            if before >= least and (not path or depth[path[-1]] < before):
+                path.append(len(depth))
+                depth.append(before)
+                parent.append(-1)
+            parent[node] = path[-1] if path else -1
+        if after >= least and (not path or depth[path[-1]] < after):
+            path.append(len(depth))
+            depth.append(after)
+            parent.append(-1)
+        above.append(path[-1] if path else -1)
+    for upper, lower in zip(path, path[1:], strict=False):
+        parent[lower] = upper
+    return np.array(depth, dtype=np.int64), np.array(parent, dtype=np.int64), np.array(above, dtype=np.int64)
+
+
+def repeated_depths(suffixes: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+    """For suffixes (rows of word numbers, zeros after their end): words of the longest prefix, of at least `least`, that also starts in a document smaller than `first`."""
+    flat = np.ascontiguousarray(suffixes.astype(">u4")).view(f"S{4 * suffixes.shape[1]}").ravel()
     order = np.argsort(flat, kind="stable")
     ranked = suffixes[order]
-    differs = ranked[1:] != ranked[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), depth)  # common prefix of neighbours, in words
-    node = np.zeros(len(suffixes), dtype=np.int64)
-    node[order] = np.concatenate([[0], np.cumsum(common < depth)])
-    return node
-
+    same = (ranked[1:] == ranked[:-1]) & (ranked[1:] != 0)
+    common = np.concatenate([[0], np.where(same.all(axis=1), suffixes.shape[1], (~same).argmax(axis=1))])
+    depth, parent, above = internal_nodes(common, least)
+    out = np.zeros(len(suffixes), dtype=np.int64)
+    if not len(depth):
+        return out
+    own = first[order]
+    smallest = np.full(len(depth), _LAST)
+    np.minimum.at(smallest, above[above >= 0], own[above >= 0])
+    for d in sorted(set(depth.tolist()), reverse=True):  # children before their parents
+        level = np.flatnonzero((depth == d) & (parent >= 0))
+        np.minimum.at(smallest, parent[level], smallest[level])
+    node = above.copy()
+    while len(up := np.flatnonzero((node >= 0) & (smallest[node] >= own))):
+        node[up] = parent[node[up]]
+    out[order] = np.where(node >= 0, depth[node], 0)
+    return out
+
+
+def _subtrees(least: int):
+    """(prefix, region, d0, at, units) sorted by prefix to (region, spans): the span of a suffix that an earlier document repeats."""
 
-def _subtrees(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, _CHUNK):
-            anchor, region, first = (table.column(c).to_numpy() for c in ("anchor", "region", "d0"))
             texts = [u.split(b" ") for u in table.column("units").to_pylist()]
             words = list(chain.from_iterable(texts))
             first_at: dict[bytes, int] = {}
-            codes = np.array(list(map(first_at.setdefault, words, range(1, len(words) + 1))), dtype=np.uint32)
+            numbers = np.array(list(map(first_at.setdefault, words, range(1, len(words) + 1))), dtype=np.uint32)
             lengths = np.array([len(t) for t in texts])
-            counts = lengths - window + 1
-            owner = np.repeat(np.arange(len(texts)), counts)
-            offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = (np.cumsum(lengths) - lengths)[owner] + offset
-            node = deep_nodes(codes[start[:, None] + np.arange(window)], window)
-            least = np.full(node.max() + 1, _LAST)
-            np.minimum.at(least, node, first[owner])
-            again = np.flatnonzero(least[node] < first[owner])
-            yield _by_region(region, owner[again], offset[again])
+            suffixes = np.zeros((len(texts), lengths.max()), dtype=np.uint32)
+            suffixes[np.arange(lengths.max()) < lengths[:, None]] = numbers
+            depths = repeated_depths(suffixes, table.column("d0").to_numpy(), least)
+            hit = np.flatnonzero(depths)
+            spans = np.stack([table.column("at").to_numpy()[hit], depths[hit]], axis=1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(table.column("region").take(pa.array(hit)).chunks or [pa.array([], pa.binary())]), lists], names=["region", "spans"])
 
     return run
 
 
-def _by_region(region: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
-    """owner is sorted: one row for each owner with its offsets."""
-    owners, at = np.unique(owner, return_index=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)), pa.int32()), pa.array(offset, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(region[owners], pa.int64()), lists], names=["region", "windows"])
+def _prefixes(window: int, lengths: tuple[int, ...]):
+    """For every suffix of (region, d0, units): hashes of its prefixes, counted by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            found = []
+            for units in batch.column(0).to_pylist():
+                words = units.split(b" ")
+                found += [digest(b" ".join(words[i : i + k])) for i in range(len(words) - window + 1) for k in lengths]
+            table = np.array(found, dtype=np.uint64).view(np.int64).reshape(-1, len(lengths))
+            order = np.lexsort(table.T)
+            table = table[order]
+            new = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)])[: len(table)])
+            n = np.diff(np.append(new, len(table)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(table[new, k]) for k in range(len(lengths))), pa.array(n)], names=[*(f"p{k}" for k in lengths), "n"])
+
+    return run
 
 
-def _windows(window: int):
-    """(prefix, d0, region, at) for every window of (region, d0, units); the prefix is the whole window."""
+def _suffixes(window: int, lengths: tuple[int, ...]):
+    """For every suffix of (region, d0, units): its prefixes, the digest of its window, and its own words."""
+    names = [*(f"p{k}" for k in lengths), "whole", "region", "d0", "at", "units"]
+    types = [*[pa.int64()] * len(lengths), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, whole = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
-            rows = []
+            prefixes, rest = [], []
             for region, first, units in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = units.split(b" ")
-                rows += [(xxhash.xxh3_128_digest(b" ".join(words[i : i + window])), first, region, i) for i in range(len(words) - window + 1)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["prefix", "d0", "region", "at"])
+                for i in range(len(words) - window + 1):
+                    prefixes += [digest(b" ".join(words[i : i + k])) for k in lengths]
+                    rest.append((whole(b" ".join(words[i : i + window])), region, first, i, b" ".join(words[i:])))
+            hashes = np.array(prefixes, dtype=np.uint64).view(np.int64).reshape(-1, len(lengths))
+            columns = [*(hashes[:, k] for k in range(len(lengths))), *(zip(*rest, strict=True) if rest else [[]] * 5)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return run
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return run, ", ".join(f"{n} {kinds[t]}" for n, t in zip(names, types, strict=True))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(key, region, windows) for docs (key, text): the windows of each region that start in a document with a smaller key."""
-    cutter = lambda: word_regions(window, gram)
-    rows = shared_rows(word_rows(docs, window, gram))
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, prefixes: tuple[int, ...] = PREFIXES, group: int = GROUP) -> DataFrame:
+    """(key, region, spans) for docs (key, text): what of each region also starts in a document with a smaller key; null means all of it."""
+    cutter = lambda: WordCutter(window, gram)
+    rows = shared_rows(docs, cutter, within=False)
     distinct = cut(rows.groupBy("anchor", "region").agg(F.min("key").alias("d0"), F.max("key").alias("d1")))
-    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("d0").alias("least"), F.max("d0").alias("most")).where("most > least")
-    open_regions = cut(distinct.join(mixed, "anchor").select("anchor", "region", "d0", "m"))
-    texts = region_texts(docs, open_regions.select(F.col("d0").alias("key"), "region"), cutter, window)
-    open_regions = cut(open_regions.join(texts, "region").select("anchor", "region", "d0", "m", "units"))
-    small = open_regions.where(F.col("m") <= group).drop("m").repartition("anchor").sortWithinPartitions("anchor")
-    found = small.mapInArrow(_subtrees(window), _FOUND)
-    suffixes = open_regions.where(F.col("m") > group).select("region", "d0", "units").mapInArrow(_windows(window), "prefix binary, d0 long, region long, at int")
-    nodes = suffixes.groupBy("prefix").agg(F.min("d0").alias("least"))
-    late = suffixes.join(nodes, "prefix").where("least < d0").groupBy("region").agg(F.collect_list("at").alias("windows"))
-    found = found.unionByName(late)
-    decided = distinct.join(found, "region", "left").where("d1 > d0 OR windows IS NOT NULL").select("region", "d0", "windows")
+    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("d0").alias("least"), F.max("d0").alias("most"))
+    mixed = cut(mixed.where("m > 1 AND most > least").select("anchor"))
+    several = cut(distinct.join(mixed, "anchor", "left_semi").select("region", "d0"))
+    texts = region_texts(docs, several.select(F.col("d0").alias("key"), "region"), cutter)
+    several = cut(several.join(texts, "region").select("region", "d0", "units"))
+
+    short, longer = prefixes[0], prefixes[1]
+    crowded = several.select("units").mapInArrow(_prefixes(window, (short,)), f"p{short} long, n long").groupBy(f"p{short}").agg(F.sum("n").alias("n"))
+    crowded = cut(crowded.where(F.col("n") > group).select(f"p{short}"))
+    both = several.select("units").mapInArrow(_prefixes(window, (short, longer)), f"p{short} long, p{longer} long, n long")
+    still = both.join(crowded, f"p{short}", "left_semi").groupBy(f"p{longer}").agg(F.sum("n").alias("n"))
+    still = cut(still.where(F.col("n") > group).select(f"p{longer}"))
+
+    made, schema = _suffixes(window, (short, longer))
+    suffixes = several.mapInArrow(made, schema)
+    flagged = suffixes.join(crowded.withColumn("crowded", F.lit(True)), f"p{short}", "left").join(still.withColumn("still", F.lit(True)), f"p{longer}", "left")
+    prefix = F.when(F.col("crowded"), F.col(f"p{longer}")).otherwise(F.col(f"p{short}"))
+    dealt = flagged.where("crowded IS NULL OR still IS NULL").select(prefix.alias("prefix"), "region", "d0", "at", "units")
+    found = dealt.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), _FOUND)
+
+    nodes = several.mapInArrow(made, schema).select(f"p{short}", f"p{longer}", "whole", "region", "d0", "at")
+    nodes = cut(nodes.join(crowded, f"p{short}", "left_semi").join(still, f"p{longer}", "left_semi").select("whole", "region", "d0", "at"))
+    least = cut(nodes.groupBy("whole").agg(F.min("d0").alias("least")))
+    late = nodes.join(least, "whole").where("least < d0").select("region", F.array("at", F.lit(window)).alias("spans"))
+    spans = found.unionByName(late).groupBy("region").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a region has few suffixes
+
+    decided = cut(distinct.join(spans, "region", "left").where("d1 > d0 OR spans IS NOT NULL").select("region", "d0", "spans"))
     marks = rows.select("key", "region").join(decided, "region")
-    return marks.where("key > d0 OR windows IS NOT NULL").select("key", "region", F.when(F.col("key") == F.col("d0"), F.col("windows")).alias("windows"))
+    return marks.where("key > d0 OR spans IS NOT NULL").select("key", "region", F.when(F.col("key") == F.col("d0"), F.col("spans")).alias("spans"))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and kept, the remaining words joined by one space."""
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, prefixes: tuple[int, ...] = PREFIXES, group: int = GROUP, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, and, if `texts`, kept: the remaining words joined by one space."""
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("key"), "text")
-    marks = repeated_windows(keyed.select("key", "text"), window, gram, group)
+    marks = repeated_spans(keyed.select("key", "text"), window, gram, prefixes, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = word_regions(window, gram)
+        cutter = WordCutter(window, gram)
         for batch in batches:
-            counts, removed, hashes, texts = [], [], [], []
+            counts, removed, hashes, kept_texts = [], [], [], []
             for text, mark in zip(batch.column(1), batch.column(2), strict=True):
                 text, mark = text.as_py() or "", mark.as_py()
-                words = text.encode("utf-8", "surrogatepass").split()
-                counts.append(len(words))
-                if mark:
-                    gone = covered(cutter(text), mark, window)
-                    words = [words[i] for i in np.flatnonzero(~gone).tolist()]
-                kept = b" ".join(words)
-                removed.append(counts[-1] - len(words))
-                hashes.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                total = sum(len(words) for _, words in words_in_segments(text))
+                gone = covered(cutter.blocks([text]), mark, window, total) if mark else None
+                digest, parts = hashlib.sha256(), []
+                for base, words in words_in_segments(text):
+                    if gone is not None:
+                        words = [words[i] for i in np.flatnonzero(~gone[base : base + len(words)]).tolist()]
+                    if words:
+                        part = b" ".join(words) if not parts else b" " + b" ".join(words)
+                        digest.update(part)
+                        parts.append(part if texts else b"")
+                counts.append(total)
+                removed.append(0 if gone is None else int(np.count_nonzero(gone)))
+                hashes.append(digest.hexdigest())
+                kept_texts.append(b"".join(parts))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())]
+            if texts:
+                columns.append(pa.array(kept_texts, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(columns)])
 
     joined = with_marks(keyed, marks).select("doc_id", "text", "marks")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from distloom.llm import regions, suffixarrays, suffixtrees
 from tests.llm import brute
@@ -10,42 +11,82 @@ from tests.llm.conftest import make_docs
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
     middle = "".join(rng.choice("abcd ") for _ in range(900))
-    for cutter, window in ((regions.byte_regions(60, 8), 60), (regions.word_regions(7, 2), 7)):
+    for cutter, window in ((regions.ByteCutter(60, 8), 60), (regions.WordCutter(7, 2), 7)):
         seen = {}
-        for text in ("x y z " * 9 + middle, middle + " tail end", "aaaa " * 40):
-            r = cutter(text)
-            assert len(r.first) and r.first[0] == 0 and r.last[-1] == r.size - window
-            assert (r.first[1:] == r.last[:-1] + 1).all()
-            for a, i, j in zip(r.anchor, r.first, r.last, strict=True):
-                for k in range(i, j + 1):
-                    assert seen.setdefault(r.units(k, k + window - 1), a) == a
+        texts = ["x y z " * 9 + middle, "short", middle + " tail end", None, "aaaa " * 40]
+        for block in cutter.blocks(texts):
+            for i, (t, a, first, last) in enumerate(zip(block.text, block.anchor, block.first, block.last, strict=True)):
+                text = texts[t].encode()
+                units = [text[j : j + 1] for j in range(len(text))] if window == 60 else text.split()
+                joint = b"" if window == 60 else b" "
+                assert block.units(i) == joint.join(units[first : last + window])
+                for k in range(first, last + 1):
+                    assert seen.setdefault(joint.join(units[k : k + window]), a) == a
+        expected = sum(max(0, len((t or "").encode() if window == 60 else (t or "").split()) - window + 1) for t in texts)
+        assert sum(int((b.last - b.first + 1).sum()) for b in cutter.blocks(texts)) == expected
 
 
-def test_long_texts_in_segments(monkeypatch):
-    text = "".join(random.Random(5).choice("ab") for _ in range(5000))
-    whole = regions.byte_regions(50, 8)(text)
-    monkeypatch.setattr(regions, "_SEGMENT", 700)
-    parts = regions.byte_regions(50, 8)(text)
-    assert parts.first[0] == 0 and (parts.first[1:] == parts.last[:-1] + 1).all() and parts.last[-1] == whole.last[-1]
-    anchor_of = lambda r: np.repeat(r.anchor, r.last - r.first + 1)
-    assert (anchor_of(parts) == anchor_of(whole)).all()
+@pytest.mark.parametrize("cutter", [regions.ByteCutter(50, 8), regions.WordCutter(9, 3)])
+def test_long_texts_in_segments(monkeypatch, cutter):
+    rng = random.Random(5)
+    text = "".join(rng.choice("ab ") for _ in range(9000))
+
+    def anchors():
+        found = [(f, n, a) for b in cutter.blocks([text]) for f, n, a in zip(b.first, b.last - b.first + 1, b.anchor, strict=True)]
+        assert all(f + n == g for (f, n, _), (g, _, _) in zip(found, found[1:], strict=False)) and found[0][0] == 0
+        return [a for _, n, a in found for _ in range(n)]
+
+    whole = anchors()
+    monkeypatch.setattr(regions, "SEGMENT", 300)
+    assert anchors() == whole
+    assert [w for _, words in regions.words_in_segments(text) for w in words] == text.encode().split()
+
+
+def words_expected(rows, n):
+    return sorted((d, *brute.word_dedup(list(set(rows)), n)[d]) for d, _ in rows)
 
 
 def test_words(spark, corpus):
     docs = make_docs(spark, corpus)
-    expected = brute.word_dedup(list({(d, t) for d, t in corpus}), 6)
-    for group in (20_000, 2):  # whole windows as prefixes where an anchor has more than two regions
-        got = suffixtrees.dedup(docs, window=6, gram=2, group=group).collect()
-        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((d, *expected[d]) for d, _ in corpus)
+    for group in (20_000, 2):  # longer prefixes, and whole windows, where more than two suffixes share one
+        got = suffixtrees.dedup(docs, window=6, gram=2, prefixes=(2, 4, 6), group=group).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == words_expected(corpus, 6)
     assert suffixtrees.dedup(make_docs(spark, [])).count() == 0
 
 
+def test_words_with_production_parameters(spark, corpus):
+    got = suffixtrees.dedup(make_docs(spark, corpus), texts=False).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == words_expected(corpus, 13)
+
+
+def test_words_that_plain_hashes_confuse(spark):
+    """The Thue-Morse word and its twin, letters swapped: polynomials modulo 2**64 do not tell them apart."""
+    letters = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rest = " " + " ".join(f"w{i}" for i in range(12))
+    got = suffixtrees.dedup(make_docs(spark, [(1, letters + rest), (2, letters.translate({97: "b", 98: "a"}) + rest)])).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
 def test_null_ids_come_last(spark):
     text = " ".join(map(str, range(20)))
     got = suffixtrees.dedup(make_docs(spark, [(None, text), (3, text), (None, text)])).collect()
     assert sorted((r.n_removed for r in got)) == [0, 20, 20]
 
 
+def test_subtrees():
+    rng = random.Random(7)
+    for alphabet, n in ((2, 60), (3, 200), (1, 9)):
+        suffixes = np.array([[rng.randrange(1, alphabet + 1) if j < rng.choice((4, 6)) else 0 for j in range(6)] for _ in range(n)], dtype=np.uint32)
+        suffixes[np.cumsum(suffixes == 0, axis=1) > 0] = 0
+        first = np.array([rng.randrange(5) for _ in range(n)])
+        rows = [tuple(x for x in r if x) for r in suffixes.tolist()]
+        for least in (2, 4):
+            got = suffixtrees.repeated_depths(suffixes, first, least)
+            for i, row in enumerate(rows):
+                depths = [k for k in range(len(row), least - 1, -1) if any(first[j] < first[i] and rows[j][:k] == row[:k] for j in range(n))]
+                assert got[i] == (depths[0] if depths else 0)
+
+
 def test_bytes(spark, corpus):
     docs = make_docs(spark, corpus)
     expected = brute.byte_dedup(corpus, 40)
@@ -55,6 +96,12 @@ def test_bytes(spark, corpus):
     assert suffixarrays.dedup(make_docs(spark, [])).count() == 0
 
 
+def test_bytes_with_production_parameters(spark, corpus):
+    rows = [*corpus, (None, corpus[0][1]), (None, corpus[1][1]), (200, corpus[2][1] + " and " + corpus[1][1])]
+    got = suffixarrays.dedup(make_docs(spark, rows), texts=False).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute.byte_dedup(rows, 200)
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(6)
     for data in (bytes(rng.choice(b"ab") for _ in range(3000)), b"abc" * 500, b"a", bytes(rng.randrange(256) for _ in range(999))):
