@@ -59,22 +59,51 @@ def test_mixed_rows_follow_the_plan(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({d: c for d, c in copies.items() if c})
 
 
-def test_tilt_moves_the_mean_length(spark):
+def test_tilts_are_those_of_bounded_relative_entropy(spark):
+    """The dual's optimum by bisection, source by source; tilts are real, and the bound is part of the problem."""
     sizes = make_docs(spark, rows(4)).select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = mixing.targets(sources)
-    solved = {r.source: r for r in mixing.balance(sizes, aims, length_shift=0.1).collect()}
-    target = {r.source: r.target for r in aims.collect()}
-    for s, r in solved.items():
-        ws = [(d.size, math.exp(r.level + r.tilt * (math.log(d.size) - r.mean_z))) for d in sizes.where("size > 0").collect() if d.source == s]
-        words = sum(n * w for n, w in ws)
-        assert math.isclose(words, target[s], rel_tol=1e-6)
-        assert math.isclose(sum(n * w * (math.log(n) - r.mean_z) for n, w in ws) / words, 0.1, abs_tol=1e-5)
+    solved = {r.source: r.tilt for r in mixing.balance(sizes, aims).collect()}
+    data = defaultdict(list)
+    for r in sizes.where("size > 0").collect():
+        data[r.source].append(r.size)
+    seen = set()
+    for s, target in ((r.source, r.target) for r in aims.collect()):
+        taken = lambda tilt: sum(n * (3.0 if tilt * n > 9 else min(3.0, math.exp(tilt * n))) for n in data[s])  # noqa: E731, B023
+        if target >= 3 * sum(data[s]) * (1 - 1e-9):
+            assert solved[s] == math.inf
+            seen.add("bound")
+            continue
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if taken(mid) < target else (low, mid)
+        assert math.isclose(solved[s], low, rel_tol=1e-5, abs_tol=1e-8) and abs(low) > 1e-4
+        assert math.isclose(taken(solved[s]), target, rel_tol=1e-6)
+        seen.add("grows" if low > 0 else "shrinks")
+    assert {"grows", "shrinks"} <= seen
+
+
+def test_rates_differ_within_a_source(spark):
+    found = mixing.plan(make_docs(spark, rows(5))).where("source = 'A' AND size > 0").collect()
+    assert len({r.rate for r in found}) > 10
+    by_size = sorted((r.size, r.rate) for r in found)
+    assert all(a[1] >= b[1] for a, b in zip(by_size, by_size[1:], strict=False)) or all(a[1] <= b[1] for a, b in zip(by_size, by_size[1:], strict=False))
+
+
+def test_rows_of_one_id_or_none(spark):
+    data = [(None if i % 3 else 7, " ".join(f"w{j}" for j in range(i % 11 + 1)) + f" t{i}", "AB"[i % 2]) for i in range(200)]
+    got = mixing.plan(make_docs(spark, data)).collect()
+    assert len(got) == 200
+    for s in "AB":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 15
 
 
 def test_edges(spark):
     assert mixing.plan(make_docs(spark, [])).count() == 0
     none = mixing.plan(make_docs(spark, [(1, None, "a"), (2, "", None)])).collect()
-    assert [(r.size, r.target, r.copies) for r in none] == [(0, 0.0, 0)] * 2
+    assert [(r.size, r.target, r.copies) for r in none] == [(0, 0.0, 1)] * 2
     one = mixing.plan(make_docs(spark, [(1, "a b c", "a")])).first()
     assert (one.target, one.copies) == (3.0, 1)
