@@ -110,12 +110,11 @@ def _op3_sql() -> str:
     columns, shares = [], []
     templates = [*licenses.BASE, *licenses.NOTICES]
     for i, t in enumerate(templates):
-        at = lambda k, w: f"coalesce(CASE WHEN s + {k} > 0 THEN ws[s + {k}] = '{w}' END, false)"
-        key = range(t.key_at, t.key_at + len(t.key.split()))
-        test = " AND ".join(at(k, t.words[k]) for k in key)
-        columns.append(f"list_filter(range({1 - t.key_at}, len(ws) + 1), lambda s: {test}) AS p{i}")
-        share = " + ".join(f"CASE WHEN {at(k, w)} THEN 1 ELSE 0 END" for k, w in enumerate(t.words))
-        shares.append(f"coalesce(list_max(list_transform(p{i}, lambda s: ({share}) / {len(t.words)}::DOUBLE)), 0) AS c{i}")
+        test = " AND ".join(f"ws[s + {k}] = '{w}'" for k, w in enumerate(t.key_words))
+        columns.append(f"list_filter(range(1, len(ws) + 1), lambda s: coalesce({test}, false)) AS p{i}")
+        words = ", ".join(f"'{w}'" for w in t.words)
+        same = f"len(list_filter(range(0, {len(t.words)}), lambda k: coalesce(s - {t.key_at} + k > 0 AND ws[s - {t.key_at} + k] = [{words}][k + 1], false)))"
+        shares.append(f"coalesce(list_max(list_transform(p{i}, lambda s: {same} / {len(t.words)}::DOUBLE)), 0) AS c{i}")
     labels = lambda cases: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL))), ',')"
     base = " || ".join(f"p{i}" for i in range(len(licenses.BASE)))
     base_cases = [f"CASE WHEN len(p{i}) > 0 THEN '{t.label}' END" for i, t in enumerate(licenses.BASE)]

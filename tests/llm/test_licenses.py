@@ -35,16 +35,26 @@ def test_base_phrases(spark):
 
 
 def test_notices(spark):
+    words = licenses._MIT.split()
     rows = [
         (1, "text Licensed under the Apache License, Version 2.0. more"), (2, "Released under the MIT License"), (3, "under GNU General Public License, version 3"),
-        (4, "Licensed under CC BY-NC 4.0."), (5, "the apache licence"), (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of this program"), (7, "an apache license stands alone"),
+        (4, "Licensed under CC BY-NC 4.0."), (5, "the apache licence"), (6, " ".join(words[:40] + ["other"] * 9 + words[49:])), (7, "an apache license stands alone"),
+        (8, licenses._GPL.format(2).upper()), (9, " ".join(words[:12])), (10, "-- " + licenses._BSD + " x " + licenses._BSD_3), (11, "free of charge to any person hereby granted"), (12, " ".join(words[2:])),
     ]
     got = {r.doc_id: r.labels for r in licenses.scan(make_docs(spark, rows)).collect()}
-    assert got == {1: "apache-2", 2: "mit", 3: "gpl,gpl-3", 4: "cc-by,cc-by-nc", 5: "", 6: "mit", 7: ""}
+    assert got == {1: "apache-2", 2: "mit", 3: "gpl,gpl-3", 4: "cc-by,cc-by-nc", 5: "", 6: "mit", 7: "", 8: "gpl,gpl-2", 9: "", 10: "bsd,bsd-3", 11: "", 12: "mit"}
     assert licenses.scan(make_docs(spark, [])).count() == 0
 
 
-def test_rare_words_index_their_template():
-    t = licenses.NOTICES[0]
-    assert licenses.rare_index([t], {"apache": 5, "license": 9}) == [("apache", 3)]
-    assert licenses.rare_index([t], {"apache": 9, "license": 5}) == [("license", 4)]
+def test_every_template_is_found_where_it_stands(spark):
+    rows = [(i, f"some words {t.text} and others") for i, t in enumerate(licenses.NOTICES)]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.scan(make_docs(spark, rows)).collect()}
+    for i, t in enumerate(licenses.NOTICES):
+        assert t.label in got[i][0] and got[i][1] == 1.0
+
+
+def test_rarest_words_come_first():
+    t = [licenses.Template("x", "the apache license", "apache license")]
+    assert licenses.by_rarity(t, {"apache": 5, "license": 9}) == ["apache", "license"]
+    assert licenses.by_rarity(t, {"apache": 9, "license": 5}) == ["license", "apache"]
+    assert licenses.by_rarity(t, {}) == ["apache", "license"]
