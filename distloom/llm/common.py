@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Documents may be long, so batches are short.
-ARROW_ROWS = 500
-
 ASCII_SPACE = r"\x20\x09-\x0D"
 
 
@@ -18,11 +15,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, so that a worker's memory does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local session has a new one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("distloom.checkpoint.dir", None)

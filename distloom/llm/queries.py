@@ -8,19 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from distloom.llm import licenses, mixing, packing, pii, quality, simhash, spotsigs, suffixarrays, suffixtrees, toolcalls
-from distloom.llm.common import documents, small_batches
+from distloom.llm.common import documents
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
     added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     entries = quality.ledger(documents(spark, sf_dir))
     base = ~quality.accepted(F.col("failures"), "base")
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.accepted(F.col("failures")).alias("kept"), "n_lines", "failures")
@@ -31,12 +29,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffixtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return suffixtrees.dedup(documents(spark, sf_dir), texts=False)
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.likeness(documents(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spotsigs.likeness(documents(spark, sf_dir))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,19 +42,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = documents(spark, sf_dir)
     return pii.detect(docs, pii.train(docs))
 
 
 def op9_suffixarrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return suffixarrays.dedup(documents(spark, sf_dir), texts=False)
 
 

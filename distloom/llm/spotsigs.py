@@ -1,6 +1,8 @@
 """Document fingerprints by spot signatures. DataFrame functions only.
 
-Spots are places of common words: the COMMON words that stand in most documents, counted over all of them. A
+Spots are places of common words. Which words these are is decided language by language, so that a small language has
+spots as well: of each, the COMMON words that stand in most of its documents, counted over all of them; the lists together
+serve every text, so equal texts have equal fingerprints whatever their language is said to be. A
 spot that a content word follows gives one signature: the common word and the chain of the next CHAIN content
 words, common words between them skipped, hashed to a long. A document's fingerprint is the set of its
 signatures; likeness is the Jaccard coefficient of two sets. `similar_pairs` finds all pairs above a
@@ -9,7 +11,8 @@ sets whose length allows the threshold, are looked up through their rarest signa
 
 Edge cases: a text without spots (empty, null, or of common words alone) has one signature, the hash of its
 whole word sequence, so that only equal sequences are alike. Ties of doc_id are ordered by text; null doc_ids
-come last. A table of one document has itself as its next. Extra columns are ignored.
+come last, all in one range. A table of one document has itself as its next. A null language is a language of its own; a table without
+column `lang` has one. Very long texts take time in proportion to their length. Extra columns are ignored. An empty table works.
 """
 
 from __future__ import annotations
@@ -21,10 +24,14 @@ from pyspark.sql import functions as F
 
 from distloom.llm.common import ascii_lower, cut, words_between
 
-COMMON = 100
+#: Common words of a language, and languages that have a list: those of most documents.
+COMMON = 60
+LANGUAGES = 64
 CHAIN = 2
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-_STEP = 64
+#: Characters of text in a range of doc_ids, and ranges at most.
+RANGE = 4_000_000
+MOST_RANGES = 50_000
 
 
 def words(text: Column) -> Column:
@@ -32,10 +39,17 @@ def words(text: Column) -> Column:
 
 
 def common_words(docs: DataFrame, n: int = COMMON) -> list[str]:
-    """The n words that stand in most documents (ties: by word)."""
-    seen = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    counted = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
+    """For each language the n words that stand in most of its documents (ties: by word), together; at most n * LANGUAGES."""
+    lang = F.col("lang") if "lang" in docs.columns else F.lit("")
+    texts = docs.select(lang.alias("lang"), "text")
+    often = Window.orderBy(F.desc("n"), F.col("lang").asc_nulls_last())
+    chosen = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(often)).where(F.col("place") <= LANGUAGES)
+    langs = [r["lang"] for r in chosen.collect()]
+    known = F.col("lang").isin([x for x in langs if x is not None]) | (F.col("lang").isNull() if None in langs else F.lit(False))
+    seen = texts.where(known).select("lang", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    counted = seen.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # limited before the shuffle, map by map
+    return sorted({r["word"] for r in counted.withColumn("place", place).where(F.col("place") <= n).select("word").collect()})
 
 
 def with_signatures(df: DataFrame, text: str, name: str, common: list[str], chain: int = CHAIN) -> DataFrame:
@@ -67,51 +81,56 @@ def digest(signatures: str) -> Column:
     return F.sha2(F.array_join(F.col(signatures).cast("array<string>"), ","), 256)
 
 
-def bucket_bounds(docs: DataFrame, buckets: int) -> tuple[list[int], int | None]:
-    """doc_ids that split the table into about equal ranges, and the smallest doc_id; as many as there are buckets."""
-    shares = [i / buckets for i in range(1, buckets)] or [0.5]
-    row = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * buckets)).alias("b"), F.min("doc_id").alias("least")).first()
-    return sorted(set(row["b"] or []) - {row["least"]}), row["least"]
+def range_bounds(docs: DataFrame, size: int = RANGE) -> tuple[list[int], int | None]:
+    """doc_ids that split the table into ranges of about `size` characters, and the smallest doc_id; at most MOST_RANGES."""
+    row = docs.agg(F.sum(F.length("text")).alias("all"), F.min("doc_id").alias("least")).first()
+    ranges = max(2, min(MOST_RANGES, math.ceil((row["all"] or 0) / size)))
+    shares = [i / ranges for i in range(1, ranges)]
+    # Ends of ranges are ids that stand in the table, by rank of rows.
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * ranges)).alias("b")).first()["b"]
+    return sorted(set(bounds or []) - {row["least"]}), row["least"]
 
 
-def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds are not above doc_id: first among every _STEP-th bound, then in the stretch that this names."""
+def _range(doc_id: Column, bounds: list[int]) -> Column:
+    """How many bounds are not above doc_id: first among every so many-th bound, then in the stretch that this names."""
     if not bounds:
         return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
     long_array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
     below = lambda values: F.size(F.filter(values, lambda b: b <= doc_id))
-    coarse = below(long_array(bounds[_STEP - 1 :: _STEP])) * _STEP
-    return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(coarse + below(F.slice(long_array(bounds), coarse + 1, F.lit(_STEP))))
+    coarse = below(long_array(bounds[step - 1 :: step])) * step
+    return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(coarse + below(F.slice(long_array(bounds), coarse + 1, F.lit(step))))
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document by doc_id, after the last that of the first.
+def with_next(docs: DataFrame, carried: list[str], size: int = RANGE) -> DataFrame:
+    """(doc_id, *carried, next_*) for docs (doc_id, text, ...): carried columns of the next document by doc_id, after the last those of the first.
 
-    Texts move once, to their range of doc_ids. The first document of each range also goes, as a ghost, to the
+    Rows move once, to the task of their range of doc_ids. The first document of each range also goes, as a ghost, to the
     end of the range before, and the first of all to the last range, so ranges need nothing of each other.
     """
-    bounds, least = bucket_bounds(docs, buckets)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", _bucket(F.col("doc_id"), bounds))
-    place = lambda bucket, ghost: F.struct(bucket.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
-    own = place(F.col("bucket"), 0)
+    bounds, least = range_bounds(docs, size)
+    docs = docs.select("doc_id", *carried).withColumn("range", _range(F.col("doc_id"), bounds))
+    place = lambda number, ghost: F.struct(number.cast("int").alias("range"), F.lit(ghost).alias("ghost"))
     first = F.lit(False)
     if bounds:
-        first = F.coalesce(F.get(F.array(*map(F.lit, bounds)).cast("array<bigint>"), F.col("bucket") - 1) == F.col("doc_id"), F.lit(False))
+        first = F.coalesce(F.get(F.array(*map(F.lit, bounds)).cast("array<bigint>"), F.col("range") - 1) == F.col("doc_id"), F.lit(False))
     opens = F.lit(True) if least is None else F.coalesce(F.col("doc_id") == least, F.lit(False))
-    places = F.array_compact(F.array(own, F.when(first, place(F.col("bucket") - 1, 1)), F.when(opens, place(F.lit(len(bounds)), 2))))
-    dealt = docs.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.*")
-    order = Window.partitionBy("bucket").orderBy((F.col("ghost") == 2), F.col("doc_id").asc_nulls_last(), F.col("ghost"), F.col("text"))
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0").select("doc_id", "text", "next_text")
+    places = F.array_compact(F.array(place(F.col("range"), 0), F.when(first, place(F.col("range") - 1, 1)), F.when(opens, place(F.lit(len(bounds)), 2))))
+    dealt = docs.select("doc_id", *carried, F.explode(places).alias("place")).select("doc_id", *carried, "place.*")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("range"))
+    order = Window.partitionBy("range").orderBy((F.col("ghost") == 2), F.col("doc_id").asc_nulls_last(), F.col("ghost"), F.col("text"))
+    following = dealt.withColumn("next", F.lead(F.struct(*carried)).over(order)).where("ghost = 0")
+    return following.select("doc_id", *carried, *[F.col(f"next.{c}").alias(f"next_{c}") for c in carried])
 
 
-def likeness(docs: DataFrame, buckets: int, common: list[str] | None = None) -> DataFrame:
+def likeness(docs: DataFrame, common: list[str] | None = None, size: int = RANGE) -> DataFrame:
     """Fingerprints of every text and of its edited text, and likeness to the edited and to the next text."""
     common = common_words(docs) if common is None else common
-    rows = with_next(docs, buckets).withColumn("n_chars", F.length("text").cast("long"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(with_signatures(texts, "text", "own", common), ["text", "own"], size)  # signatures move with their text
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half)))
-    rows = with_signatures(rows, "text", "own", common).drop("text")
-    rows = with_signatures(rows, "next_text", "following", common).drop("next_text")
+    rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half))).drop("text", "next_text")
     rows = with_signatures(rows, "edited", "changed", common)
     return rows.select(
         "doc_id",
@@ -120,7 +139,7 @@ def likeness(docs: DataFrame, buckets: int, common: list[str] | None = None) ->
         digest("own").alias("fingerprint"),
         digest("changed").alias("edited_fingerprint"),
         jaccard("own", "changed").alias("near_edited"),
-        jaccard("own", "following").alias("near_next"),
+        jaccard("own", "next_own").alias("near_next"),
         F.size("own").cast("long").alias("n_signatures"),
     )
 

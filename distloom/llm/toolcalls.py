@@ -1,21 +1,22 @@
 """Chat formatting: linking tool calls to their results. DataFrame functions only.
 
 Calls and results are joined on (conv_id, call_id). Calls are ordered topologically: a call's level is one more
-than the highest level among the calls that it waits for, found round by round with joins, so that no
-conversation is ever gathered into one task; (level, turn) orders a conversation. Arguments are parsed and
+than the highest level among the calls that it waits for, that is the longest way back to a call that waits for none. Ways are
+doubled: a round joins the calls that are reached in exactly k steps to those reached in 2k, so a chain of thousands takes a dozen
+rounds, and no conversation is ever gathered into one task; (level, turn) orders a conversation. Arguments are parsed and
 checked against the schema of their tool, and every call is serialised as canonical JSON: keys sorted, no
 white space.
 
 Edge cases: arguments that are null or not JSON are reported and serialised as null; an unknown tool, a
 missing, unknown or mistyped argument, a missing result, several results (the earliest counts), a result
 without a call, a dependency that does not exist and calls in a cycle (level null) are reported as problems.
-Repeated call rows collapse to the earliest. Null ids join nothing. Extra columns are ignored; empty tables work.
+Repeated call rows collapse to the earliest, of equal turns to the least by name and arguments. Null ids join nothing. Very long
+texts are carried once. Extra columns are ignored; empty tables work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,30 +32,28 @@ Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, missing): topological levels of calls with column `after`; no level on a cycle or behind one."""
-    ids = calls.select("conv_id", "call_id")
-    waits = calls.select("conv_id", "call_id", F.explode("after").alias("parent")).distinct()
-    known = ids.select("conv_id", F.col("call_id").alias("parent"), F.lit(True).alias("known"))
-    waits = cut(waits.join(known, ["conv_id", "parent"], "left"))
-    missing = waits.where("known IS NULL").groupBy("conv_id", "call_id").agg(F.lit(True).alias("missing"))
-    edges = waits.where("known").select("conv_id", "call_id", "parent")
-    done = ids.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    rounds = [cut(done)]
-    # Open edges carry the highest level met so far; an edge leaves when its parent has a level.
-    best = cut(edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("open"), F.lit(0).alias("level")))
-    while best.limit(1).count() and rounds[-1].limit(1).count():
-        met = edges.join(rounds[-1].withColumnsRenamed({"call_id": "parent", "level": "parent_level"}), ["conv_id", "parent"])
-        met = met.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("met"), F.max("parent_level").alias("parent_level"))
-        then = best
-        moved = cut(
-            best.join(met, ["conv_id", "call_id"], "left").select(
-                "conv_id", "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", F.coalesce(F.col("parent_level") + 1, F.lit(0))).alias("level")
-            )
-        )
-        rounds.append(cut(moved.where("open = 0").select("conv_id", "call_id", "level")))
-        best = moved.where("open > 0")
+    call, key = ["conv_id", "call_id"], ["conv_id", "call_id", "to"]
+    ids = calls.select(*call)
+    waits = calls.select(*call, F.explode("after").alias("to")).distinct()
+    known = ids.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("known"))
+    waits = cut(waits.join(known, ["conv_id", "to"], "left"))
+    missing = waits.where("known IS NULL").groupBy(*call).agg(F.lit(True).alias("missing"))
+    # `reach`: what lies exactly `step` waits back. `best`: the longest way, of fewer than `step` waits, to a call that waits for none.
+    reach, step = cut(waits.where("known").select(*key)), 1
+    best = cut(ids.join(reach.select(*call).distinct().withColumn("waits", F.lit(True)), call, "left").select(*call, F.when(F.col("waits").isNull(), 0).alias("level")))
+    most = ids.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    while step <= most and reach.limit(1).count():
+        beyond = best.where("level IS NOT NULL").select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("rest"))
+        via = reach.join(beyond, ["conv_id", "to"]).groupBy(*call).agg((F.max("rest") + step).alias("longer"))
+        then, best = best, cut(best.join(via, call, "left").select(*call, F.greatest("level", "longer").alias("level")))
+        further = reach.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"))
+        old, reach = reach, cut(reach.join(further, ["conv_id", "to"]).select(*call, F.col("next").alias("to")).distinct())
         discard(then)
-    every = reduce(DataFrame.unionByName, rounds)
-    return ids.join(every, ["conv_id", "call_id"], "left").join(missing, ["conv_id", "call_id"], "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
+        discard(old)
+        step *= 2
+    endless = reach.select(*call).distinct().withColumn("endless", F.lit(True))  # as many waits as there are calls: a cycle
+    found = best.join(endless, call, "left").select(*call, F.when(F.col("endless").isNull(), F.col("level")).alias("level"))
+    return found.join(missing, call, "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
 
 
 def _problems(schemas: Schemas) -> list[Column]:

@@ -19,11 +19,11 @@ def like(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("buckets", [2, 200])
-def test_likeness(spark, corpus, buckets):
+@pytest.mark.parametrize("size", [200, 4_000_000])
+def test_likeness(spark, corpus, size):
     rows = [r for r in corpus if r[0] != 5] + [(5, "of the of a the b of c"), (-7, "the first of all")]
     common = ["a", "the", "of", "b", "ab", "é"]
-    got = {r.doc_id: r for r in spotsigs.likeness(make_docs(spark, rows), buckets, common).collect()}
+    got = {r.doc_id: r for r in spotsigs.likeness(make_docs(spark, rows), common, size).collect()}
     rows.sort()
     assert len(got) == len(rows)
     for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
@@ -38,14 +38,21 @@ def test_likeness(spark, corpus, buckets):
 
 
 def test_next_of_repeated_null_and_single_ids(spark):
-    got = spotsigs.with_next(make_docs(spark, [(1, "a"), (1, "b"), (2, "c"), (None, "z")]), 3).collect()
+    got = spotsigs.with_next(make_docs(spark, [(1, "a"), (1, "b"), (2, "c"), (None, "z")]), ["text"], 1).collect()
     assert sorted((r.text, r.next_text) for r in got) == [("a", "b"), ("b", "c"), ("c", "z"), ("z", "a")]
-    assert [r.next_text for r in spotsigs.with_next(make_docs(spark, [(9, "only")]), 4).collect()] == ["only"]
-    assert spotsigs.likeness(make_docs(spark, []), 4).count() == 0
+    assert [r.next_text for r in spotsigs.with_next(make_docs(spark, [(9, "only")]), ["text"]).collect()] == ["only"]
+    assert spotsigs.likeness(make_docs(spark, [])).count() == 0
+    texts = [(i, f"text {i}") for i in range(500)]
+    got = spotsigs.with_next(make_docs(spark, texts).repartition(5), ["text"], 40).collect()
+    assert {r.doc_id: r.next_text for r in got} == {i: f"text {(i + 1) % 500}" for i in range(500)}
 
 
 def test_common_words(spark):
-    assert spotsigs.common_words(make_docs(spark, [(1, "b a b b"), (2, "A c"), (3, None)]), 2) == ["a", "b"]
+    docs = make_docs(spark, [(1, "b a b b"), (2, "A c"), (3, None), (4, "der der hund"), (5, "die der")])
+    assert spotsigs.common_words(docs, 2) == ["a", "der"]
+    by_language = docs.withColumn("lang", spotsigs.F.expr("if(doc_id > 3, 'de', null)"))
+    assert spotsigs.common_words(by_language, 2) == ["a", "b", "der", "die"]
+    assert spotsigs.common_words(docs.drop("lang"), 2) == ["a", "der"]
 
 
 def test_pairs(spark, corpus):

@@ -1,4 +1,5 @@
 import json
+import random
 
 from distloom.llm import toolcalls
 
@@ -31,13 +32,36 @@ def test_link(spark):
 
 
 def test_deep_chain_and_empty(spark):
-    n = 9
+    n = 70
     calls = [(1, f"c{i}", i, "f", '{"n":1}', [f"c{i - 1}"] if i else []) for i in range(n)]
     got = link(spark, calls, [])
     assert [got[1, f"c{i}"].level for i in range(n)] == list(range(n))
     assert link(spark, [], []) == {}
 
 
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(4)
+    calls = []
+    for conv in range(6):
+        n = rng.randrange(2, 40)
+        names = list(range(n))
+        rng.shuffle(names)
+        for i in range(n):
+            after = [str(names[rng.randrange(max(0, i - 5), i)]) for _ in range(rng.randrange(3))] if i else []
+            if conv == 5 and i == n // 2:
+                after.append(str(names[-1]))  # may close a cycle
+            calls.append((conv, str(names[i]), after))
+    expected = {(c, x): 0 for c, x, _ in calls}
+    for _ in range(60):  # the longest way back; what still grows is endless
+        before = dict(expected)
+        for c, x, after in calls:
+            expected[c, x] = max([expected[c, a] + 1 for a in after], default=0)
+    endless = {k for k in expected if expected[k] >= 60 or expected[k] != before[k]}
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(df).collect()}
+    assert got == {k: None if k in endless else v for k, v in expected.items()}
+
+
 def test_conversations(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f'say "{t}"') for t in range(16)] + [(2, 1, "assistant", None), (2, 1, "assistant", None), (None, 3, "assistant", "x"), (3, 0, "system", "s")]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
