@@ -112,19 +112,6 @@ def permissions(mode: Column) -> Column:
     return mode.bitwiseAND(F.lit(0o777))
 
 
-def name_variants(name: Column) -> Column:
-    """The forms in which a record may hold the name."""
-    return F.array_distinct(F.array(name, F.concat(F.lit("./"), name), F.concat(F.lit("/"), name)))
-
-
-def record_matches(content: Column, at: Column, name: Column) -> Column:
-    """Whether a record header (big-endian length, then the Latin-1 name) stands at byte `at` of content."""
-    raw = F.encode(name, "ISO-8859-1")
-    length = F.lpad(F.hex(F.pmod(F.length(raw), F.lit(65536))), 4, "0")
-    header = F.concat(F.unhex(length), raw)
-    return (at >= 0) & (F.substring(content, at.cast("int") + 1, F.length(header)) == header)
-
-
 def wildcard(mask: str) -> str | None:
     """A shell mask as a whole-string regular expression; None where the mask is none and so filters nothing.
 

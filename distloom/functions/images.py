@@ -3,76 +3,93 @@
 from __future__ import annotations
 
 import io
+import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import BinaryIO
 
+#: The smallest chunk of a re-synchronisation window.
+LEAST_CHUNK = 4096
 
-def open_image(uri: str | None, content: bytes | None) -> BinaryIO:
+
+def open_image(uri: str | None, content: bytes | None = None) -> BinaryIO:
     """A seekable file: the given content, or the file at uri in any store that Arrow's filesystems reach."""
     if content is not None:
         return io.BytesIO(content)
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri.replace("file:///", "/", 1) if uri.startswith("file:///") else uri)
+    store, path = fs.FileSystem.from_uri(re.sub("^file:/*", "/", uri))
     return store.open_input_file(path)
 
 
-def variants(name: str) -> list[bytes]:
+def read_range(image: BinaryIO, first: int, end: int) -> bytes:
+    """Bytes first to end, as far as the image has them."""
+    if first < 0 or end <= first:
+        return b""
+    image.seek(first)
+    return image.read(end - first)
+
+
+def headers(name: str) -> dict[bytes, bytes]:
+    """The forms in which a record may hold a name, in order of preference, and the header bytes of each."""
     raw = name.encode("latin-1", "replace")
-    return list(dict.fromkeys([raw, b"./" + raw, b"/" + raw]))
+    return {form: (len(form) % 65536).to_bytes(2, "big") + form for form in (raw, b"./" + raw, b"/" + raw)}
 
 
-def _range(image: BinaryIO, at: int, n: int) -> bytes:
-    if at < 0:
-        return b""
-    image.seek(at)
-    return image.read(n)
+def form_at(image: BinaryIO, name: str, place: int) -> bytes | None:
+    """The form of the name whose record begins at a place, if one does."""
+    known = headers(name)
+    there = read_range(image, place, place + max(map(len, known.values())))
+    return next((form for form, head in known.items() if there.startswith(head)), None)
 
 
-def length_of(image: BinaryIO) -> int:
-    image.seek(0, 2)
-    return image.tell()
+@dataclass(frozen=True)
+class Window:
+    """What is searched around an expected place: bytes before and after it, in chunks that overlap by a header."""
 
+    back: int
+    forward: int
+    chunk: int
 
-def header_at(image: BinaryIO, at: int, name: bytes) -> bool:
-    return at >= 0 and _range(image, at, len(name) + 2) == (len(name) % 65536).to_bytes(2, "big") + name
+    def find(self, image: BinaryIO, name: str, want: int) -> tuple[int, bytes] | None:
+        """Place and form of a record of that name: from the first chunk that holds one, there by form, then by place."""
+        known = headers(name)
+        first, data = max(0, want - self.back), b""
+        if want + self.forward > first:
+            data = read_range(image, first, want + self.forward)
+        chunk = max(LEAST_CHUNK, self.chunk)
+        stride = chunk - max(map(len, known.values()))
 
+        def rank(at: int, order: int, size: int) -> tuple[int, int, int]:
+            """The number of the first chunk that reaches to the end of a header, then form and place."""
+            return max(0, -((chunk - at - size) // stride)), order, at
 
-def scan(image: BinaryIO, names: list[bytes], want: int, back: int, forward: int, chunk: int) -> tuple[int, bytes] | None:
-    """The first record of one of the names in the window around `want`: by chunk, then by name, then by place."""
-    at, end = max(0, want - back), min(length_of(image), want + forward)
-    overlap = max(map(len, names)) + 2
-    while at < end:
-        size = min(chunk, end - at)
-        blob = _range(image, at, size)
-        for name in names:
-            found = blob.find(name)
-            while found >= 0:
-                if found >= 2 and header_at(image, at + found - 2, name):
-                    return at + found - 2, name
-                found = blob.find(name, found + 1)
-        if size <= overlap:
+        hits = {rank(at, order, len(head)): form for order, (form, head) in enumerate(known.items()) for at in occurrences(data, head)}
+        if not hits:
             return None
-        at += size - overlap
-    return None
-
-
-class Resync:
-    """Where records really lie in one image, for requests in order; drift carries over from one to the next."""
-
-    def __init__(self, image: BinaryIO, back: int, forward: int, chunk: int):
-        self.image, self.window, self.delta = image, (back, forward, max(4096, chunk)), 0
-
-    def locate(self, name: str, offset: int) -> tuple[int, bytes] | str:
-        """Place and name form of a record, or the error."""
-        names = variants(name)
-        match = lambda at: next(((at, n) for n in names if header_at(self.image, at, n)), None)
-        found = match(offset + self.delta)
-        if found:
-            return found
-        found = scan(self.image, names, offset + self.delta, *self.window)
-        if found is None and self.delta:
-            found = match(offset)
-        if found is None:
-            return f"Out of sync at {offset} (delta={self.delta})"
-        self.delta = found[0] - offset
-        return found
+        best = min(hits)
+        return first + best[2], hits[best]
+
+
+def occurrences(data: bytes, part: bytes) -> Iterator[int]:
+    at = data.find(part)
+    while at >= 0:
+        yield at
+        at = data.find(part, at + 1)
+
+
+def follow(image: BinaryIO, wanted: Iterable[tuple[str, int]], window: Window) -> Iterator[tuple[int | None, bytes | None, int]]:
+    """For records (name, offset) in order: place and form (None where there is none), and the drift that now holds.
+
+    Drift is how far the last record that was found lies from its offset. A record is expected there, else searched around
+    there, else, without drift, where its offset says.
+    """
+    drift = 0
+    for name, offset in wanted:
+        place = offset + drift
+        form = form_at(image, name, place)
+        if form is None:
+            place, form = window.find(image, name, place) or (offset, form_at(image, name, offset) if drift else None)
+        if form is not None:
+            drift = place - offset
+        yield (place, form, drift) if form is not None else (None, None, drift)

@@ -1,11 +1,8 @@
-"""Decoding `.Z` payloads (Unix compress), vectorized over a column."""
+"""Decoding `.Z` payloads (Unix compress)."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, StructType
 
 MAGIC = b"\x1f\x9d"
 _CLEAR = 256
@@ -96,9 +93,3 @@ def content_of(payload: bytes) -> tuple[bytes | None, bool]:
         return decode(payload), False
     except DecodeError:
         return None, True
-
-
-@F.pandas_udf(StructType().add("content", BinaryType()).add("failed", BooleanType()))
-def unlzw(payload: pd.Series) -> pd.DataFrame:
-    found = [(None, False) if p is None else content_of(p) for p in payload]
-    return pd.DataFrame(found, columns=["content", "failed"])

@@ -110,6 +110,11 @@ def select_trees(entries: DataFrame, folders: DataFrame, mask: str = "*") -> Dat
     return _by_keys(shown, _under(shown, folders).unionByName(shown.join(roots, PRODUCT, "left_semi").select(*KEY)))
 
 
+def select_tree(entries: DataFrame, folder: str, mask: str = "*") -> DataFrame:
+    """All masked entries at or under one folder of every product: a filter, no join."""
+    return masked(entries, mask).where(C.is_under_or_equal(F.col("full_path"), F.lit(folder)))
+
+
 def filtered_counts(entries: DataFrame, mask: str = "*") -> DataFrame:
     return masked(entries, mask).groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("n_entries"))
 

@@ -1,7 +1,10 @@
 """The unpack job: selected entries to content, modes, links and outcomes.
 
-Image positions are settled first, image by image, from headers alone; payloads are then read and decoded in
-one pass over metadata spread by bytes, so content is born in the last step and never shuffled.
+Images are files that are read by range, or small ones whose bytes lie in the image table. Bytes of the second kind
+cross to Python once for each step, beside all requests for the image, never with each request. For files all headers are first
+tested at their own offsets, spread freely; only from the first miss of an image on are its requests followed in order,
+since drift carries over. Payloads are then read and decoded in one pass, neighbours together, so content is born in
+the last step and never shuffled.
 
 A `.Z` copy is written under its own name only where asked for, and never takes the place of an entry of that
 name. A failed decode leaves none unless `keep_z` is set.
@@ -9,7 +12,7 @@ name. A failed decode leaves none unless `keep_z` is set.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,8 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from distloom.functions import columns as C
-from distloom.functions.images import Resync, open_image
+from distloom.functions.images import Window as Around
+from distloom.functions.images import follow, form_at, open_image
 from distloom.functions.lzw import content_of
+from distloom.plans.stored import stored
 
 PRODUCT = ["dist", "product"]
 KEY = [*PRODUCT, "line_no"]
@@ -53,86 +58,121 @@ def _needs_image(rows: DataFrame) -> DataFrame:
     return rows.where("ftype = 'f' AND payload_size != 0")
 
 
+IMAGE = ["dist", "subproduct"]
 RESOLVED = "dist string, product string, line_no int, subproduct string, want_offset long, name_variant string, delta long, error string"
+_RESOLVED = [c.split()[0] for c in RESOLVED.split(", ")]
+#: Bytes of an image file that one task reads payloads from.
+SPAN = 64 << 20
+
+
+def _places(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images (dist, subproduct, uri) that are files, and images (dist, subproduct, content) whose bytes are in the table."""
+    named = images.withColumnRenamed("rel_path", "subproduct")
+    if "content" not in images.columns:
+        return named.select(*IMAGE, "uri"), named.select(*IMAGE, F.lit(None).cast("binary").alias("content")).limit(0)
+    return named.where("content IS NULL").select(*IMAGE, "uri"), named.where("content IS NOT NULL").select(*IMAGE, "content")
+
+
+def _followed(image, rows: pd.DataFrame, options: Options) -> pd.DataFrame:
+    """The rows RESOLVED of one image: its requests of each product in order, each product from no drift."""
+    around = Around(options.resync_back, options.resync_forward, options.resync_chunk)
+    out = []
+    for _, own in rows.sort_values("position").groupby("product", sort=False):
+        wanted = list(zip(own.fname, own.offset.astype(int), strict=True))
+        for (place, form, drift), r in zip(follow(image, wanted, around), own.itertuples(), strict=True):
+            error = None if form is not None else f"Out of sync at {r.offset} (delta={drift})"
+            out.append((r.dist, r.product, r.line_no, r.subproduct, place, form and form.decode("latin-1"), drift, error))
+    return pd.DataFrame(out, columns=_RESOLVED).astype({"want_offset": "Int64", "delta": "Int64"})
+
+
+def _beside(rows: DataFrame, contents: DataFrame, made: Callable, schema: str) -> DataFrame:
+    """made(image, rows) for all requests of each image whose bytes are in the table."""
+
+    def run(key: tuple, asked: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        return made(open_image(None, image.content.iloc[0]), asked)
+
+    rows = rows.join(contents.select(*IMAGE), IMAGE, "left_semi")
+    own = contents.select(*[F.col(c).alias(f"of_{c}") for c in IMAGE], "content")
+    return rows.groupBy(*IMAGE).cogroup(own.join(rows.select(*[F.col(c).alias(f"of_{c}") for c in IMAGE]), ["of_dist", "of_subproduct"], "left_semi").groupBy("of_dist", "of_subproduct")).applyInPandas(run, schema)
+
+
+def _at_offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds `form`: the form of the name whose record begins at the offset itself, or null. Rows come image by image."""
+    uri, image = None, None
+    for batch in batches:
+        forms = []
+        for r in batch.itertuples():
+            if r.uri != uri:
+                if image is not None:
+                    image.close()
+                uri, image = r.uri, open_image(r.uri)
+            form = form_at(image, r.fname, r.offset)
+            forms.append(form and form.decode("latin-1"))
+        yield batch.assign(form=forms)
+    if image is not None:
+        image.close()
+
+
+def _by_place(rows: DataFrame, at: str) -> DataFrame:
+    """Requests dealt by image and stretch of it, in order of place."""
+    return rows.withColumn("__span", F.floor(F.col(at) / SPAN)).repartition(*IMAGE, "__span").sortWithinPartitions(*IMAGE, at).drop("__span")
 
 
 def resolve_offsets(asked: DataFrame, images: DataFrame, options: Options = Options()) -> DataFrame:
     """Where the record of each requested file with a payload lies: see RESOLVED.
 
-    images: dist, rel_path, uri, and optionally content. One image of one product is a group, read by header
-    and window only; its requests stay in order, because drift carries over.
+    images: dist, rel_path, uri, and optionally content. delta is the drift that holds after the record.
     """
-    images = images if "content" in images.columns else images.withColumn("content", F.lit(None).cast("binary"))
+    files, contents = _places(images)
     rows = _needs_image(asked).select(*KEY, "subproduct", "fname", "offset", "payload_size", "position")
-    places = images.select("dist", F.col("rel_path").alias("subproduct"), "uri", "content")
-
-    def run(key: tuple, wanted: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(image):
-            file = open_image(image.uri.iloc[0], image.content.iloc[0])
-            sync = Resync(file, options.resync_back, options.resync_forward, options.resync_chunk)
-        for r in wanted.sort_values("position").itertuples():
-            found, delta = None, None
-            if not len(image):
-                error = f"Cannot open subproduct file: {r.dist}/{r.subproduct}"
-            elif r.payload_size < 0 or r.offset < 0:
-                error = "Invalid payload metadata"
-            else:
-                found, error = sync.locate(r.fname, r.offset), None
-                if isinstance(found, str):
-                    found, error = None, found
-                delta = sync.delta
-            out.append((r.dist, r.product, r.line_no, r.subproduct, found and found[0], found and found[1].decode("latin-1"), delta, error))
-        if len(image):
-            file.close()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RESOLVED.split(", ")]).astype({"want_offset": "Int64", "delta": "Int64"})
-
-    # An image serves each product that asks for it: its row (metadata, or small content) goes to every such group.
-    pairs = rows.select(*PRODUCT, "subproduct").distinct().join(places, ["dist", "subproduct"])
-    pairs = pairs.select(*[F.col(c).alias(f"of_{c}") for c in (*PRODUCT, "subproduct")], "uri", "content")
-    grouped = rows.groupBy(*PRODUCT, "subproduct").cogroup(pairs.groupBy("of_dist", "of_product", "of_subproduct"))
-    return grouped.applyInPandas(run, RESOLVED)
+    failed = lambda df, error: df.select(*KEY, "subproduct", F.lit(None).cast("long").alias("want_offset"), F.lit(None).cast("string").alias("name_variant"), F.lit(None).cast("long").alias("delta"), error.alias("error"))
+    absent = failed(rows.join(images.select("dist", F.col("rel_path").alias("subproduct")), IMAGE, "left_anti"), F.concat(F.lit("Cannot open subproduct file: "), "dist", F.lit("/"), "subproduct"))
+    there = rows.join(images.select("dist", F.col("rel_path").alias("subproduct")).distinct(), IMAGE, "left_semi")
+    valid = "payload_size >= 0 AND offset >= 0"
+    invalid = failed(there.where(f"NOT ({valid})"), F.lit("Invalid payload metadata"))
+    rows = rows.where(valid)
+
+    inside = _beside(rows, contents, lambda image, own: _followed(image, own, options), RESOLVED)
+
+    tested = _by_place(rows.join(files, IMAGE), "offset").select(*KEY, "subproduct", "fname", "offset", "position", "uri")
+    schema = "dist string, product string, line_no int, subproduct string, fname string, offset long, position int, uri string, form string"
+    tested = stored(tested.mapInPandas(_at_offsets, schema))
+    stream = [*PRODUCT, "subproduct"]
+    missed = tested.where("form IS NULL").groupBy(*stream).agg(F.min("position").alias("from"))
+    tested = tested.join(missed, stream, "left")
+    straight = tested.where("from IS NULL OR position < from").select(*KEY, "subproduct", F.col("offset").alias("want_offset"), F.col("form").alias("name_variant"), F.lit(0).cast("long").alias("delta"), F.lit(None).cast("string").alias("error"))
+
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        with open_image(rows.uri.iloc[0]) as image:
+            return _followed(image, rows, options)
+
+    drifted = tested.where("position >= from").drop("form", "from").groupBy(*stream).applyInPandas(ordered, RESOLVED)
+    return absent.unionByName(invalid).unionByName(inside).unionByName(straight).unionByName(drifted)
 
 
 UNPACKED = "dist string, product string, line_no int, position int, out_path string, action string, perms int, content binary, z_content binary, error string"
+_UNPACKED = [c.split()[0] for c in UNPACKED.split(", ")]
 
 
-def _read(options: Options):
-    names = [c.split()[0] for c in UNPACKED.split(", ")]
+def _payload(image, r, options: Options) -> tuple:
+    """content, z_content and error of one located record."""
+    image.seek(int(r.want_offset) + 2 + len(r.name_variant))
+    payload = image.read(int(r.payload_size))
+    if len(payload) < r.payload_size:
+        return None, None, f"Short read for {r.fname}"
+    if options.no_decompress:
+        return None, payload, None
+    content, failed = content_of(payload)
+    return content, payload if options.keep_z else None, f"LZW decompress failed: {r.fname}" if failed else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out, opened = [], {}
-            for r in batch.itertuples():
-                content = z_content = None
-                error = r.error
-                if error is None:
-                    place = (r.dist, r.subproduct)
-                    if place not in opened:
-                        opened[place] = open_image(r.uri, r.content)
-                    file = opened[place]
-                    file.seek(int(r.want_offset) + 2 + len(r.name_variant))
-                    payload = file.read(int(r.payload_size))
-                    if len(payload) < r.payload_size:
-                        error = f"Short read for {r.fname}"
-                    elif options.no_decompress:
-                        z_content = payload
-                    else:
-                        content, failed = content_of(payload)
-                        error = f"LZW decompress failed: {r.fname}" if failed else None
-                        z_content = payload if options.keep_z else None
-                action = "packed" if options.no_decompress else "file"
-                out.append((r.dist, r.product, r.line_no, r.position, r.out_path, action, r.perms, content, z_content, error))
-            for file in opened.values():
-                file.close()
-            yield pd.DataFrame(out, columns=names)
-
-    return run
-
-
-def unpack(asked: DataFrame, images: DataFrame, options: Options = Options(), tasks: int | None = None) -> DataFrame:
+
+def _unpacked(rows: list, options: Options) -> pd.DataFrame:
+    action = "packed" if options.no_decompress else "file"
+    return pd.DataFrame([(r.dist, r.product, r.line_no, r.position, r.out_path, action, r.perms, *found) for r, found in rows], columns=_UNPACKED)
+
+
+def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) -> DataFrame:
     """One row for each request (see UNPACKED): directories, links, empty files, and files read and decoded."""
-    images = images if "content" in images.columns else images.withColumn("content", F.lit(None).cast("binary"))
     text, binary = F.lit(None).cast("string"), F.lit(None).cast("binary")
     perms = C.permissions(F.col("mode"))
     simple = asked.where("ftype IN ('d', 'l') OR ftype = 'f' AND payload_size = 0")
@@ -143,12 +183,30 @@ def unpack(asked: DataFrame, images: DataFrame, options: Options = Options(), ta
     path = F.when(is_link & F.lit(options.link_fallback), F.concat("out_path", F.lit(".link.txt"))).otherwise(F.col("out_path"))
     mode = F.when(is_link, F.when(F.lit(options.link_fallback), F.lit(0o644))).otherwise(perms)
     made = simple.select(*KEY, "position", path.alias("out_path"), action.alias("action"), mode.alias("perms"), content.alias("content"), binary.alias("z_content"), text.alias("error"))
-    located = resolve_offsets(asked, images, options).drop("delta", "subproduct")
-    rows = _needs_image(asked).select(*KEY, "position", "out_path", "subproduct", "fname", "payload_size", perms.alias("perms")).join(located, KEY)
-    places = images.select("dist", F.col("rel_path").alias("subproduct"), "uri", "content")
-    rows = rows.repartition(tasks, *KEY) if tasks else rows.repartition(*KEY)
-    rows = rows.join(places, ["dist", "subproduct"], "left")
-    return made.unionByName(rows.mapInPandas(_read(options), UNPACKED))
+    located = stored(resolve_offsets(asked, images, options).drop("delta"))
+    wanted = _needs_image(asked).select(*KEY, "position", "out_path", "fname", "payload_size", perms.alias("perms"))
+    rows = wanted.join(located, KEY)
+    failed = rows.where("error IS NOT NULL").select(*KEY, "position", "out_path", F.lit("packed" if options.no_decompress else "file").alias("action"), "perms", binary.alias("content"), binary.alias("z_content"), "error")
+    rows = rows.where("error IS NULL").drop("error")
+    files, contents = _places(images)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uri, image = None, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if r.uri != uri:
+                    if image is not None:
+                        image.close()
+                    uri, image = r.uri, open_image(r.uri)
+                out.append((r, _payload(image, r, options)))
+            yield _unpacked(out, options)
+        if image is not None:
+            image.close()
+
+    from_files = _by_place(rows.join(files, IMAGE), "want_offset").mapInPandas(read, UNPACKED)
+    inside = _beside(rows, contents, lambda image, own: _unpacked([(r, _payload(image, r, options)) for r in own.itertuples()], options), UNPACKED)
+    return made.unionByName(failed).unionByName(from_files).unionByName(inside)
 
 
 def with_clashes(unpacked: DataFrame) -> DataFrame:
@@ -207,6 +265,30 @@ def write_unpacked(unpacked: DataFrame, path: str) -> None:
     """The content sink: Parquet with out_path, perms, content, link targets, and `.Z` copies as rows of their own."""
     columns = [*PRODUCT, "out_path", "action", "perms", "content"]
     taken = unpacked.where("error IS NULL").select(*PRODUCT, F.col("out_path")).distinct()
-    packed = unpacked.where("z_content IS NOT NULL").select(*PRODUCT, F.concat("out_path", F.lit(".Z")).alias("out_path"), F.lit("packed").alias("action"), F.lit(None).cast("int").alias("perms"), F.col("z_content").alias("content"))
+    last = F.row_number().over(Window.partitionBy(*PRODUCT, "out_path").orderBy(F.desc("position")))
+    packed = unpacked.where("z_content IS NOT NULL").withColumn("__last", last).where(F.col("__last") == 1).select(*PRODUCT, F.concat("out_path", F.lit(".Z")).alias("out_path"), F.lit("packed").alias("action"), F.lit(None).cast("int").alias("perms"), F.col("z_content").alias("content"))
     packed = packed.join(taken, [*PRODUCT, "out_path"], "left_anti").select(*columns)
     final_files(unpacked).where("action != 'packed'").select(*columns).unionByName(packed).write.partitionBy("dist").parquet(path)
+
+
+def export_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files (path, content) under a folder of any store that Arrow's filesystems reach; path and length of each, once written.
+
+    A task that runs again writes the same bytes to the same place.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        for batch in batches:
+            sizes = []
+            for r in batch.itertuples():
+                place = f"{root}/{r.path}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write(r.content)
+                sizes.append(len(r.content))
+            yield pd.DataFrame({"path": batch.path, "length": sizes})
+
+    return files.select("path", "content").mapInPandas(write, "path string, length long")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from distloom.functions import columns as C
+from distloom.plans.stored import stored
 
 HEADER = 13  # bytes before the first record of an image
 KEY = ["dist", "product", "line_no"]
@@ -26,15 +27,18 @@ class Index:
 
 
 def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a non-blank line: its fields, and `status`: null if accepted, else the warning."""
-    # One row a dist: the engine broadcasts these sets where they are small, and shuffles by dist where not.
-    sets = files.groupBy("dist").agg(F.collect_set("rel_path").alias("files"))
-    rows = lines.where(~C.is_blank(F.col("line"))).select(*KEY, C.tokens(F.col("line")).alias("t")).join(sets, "dist", "left")
-    rows = rows.withColumn("files", F.coalesce("files", F.array().cast(C.NO_STRINGS)))
+    """One row a non-blank line: its fields, and `status`: null if accepted, else the warning.
+
+    Whether a token names an image is an equi-join of the few tokens that may, by dist and name, with the dist's files; the engine
+    broadcasts these where they are small. `no_image` tells lines whose subproduct no file of the dist is.
+    """
+    rows = lines.where(~C.is_blank(F.col("line"))).select(*KEY, C.tokens(F.col("line")).alias("t"))
     rows = rows.withColumn("tail", F.when(F.size("t") >= 7, F.slice("t", 7, 1 << 30)).otherwise(F.array().cast(C.NO_STRINGS)))
-    exists = F.array_position(F.transform("tail", lambda t: F.coalesce(F.array_contains(F.col("files"), C.subproduct(t)), F.lit(False))), F.lit(True))
-    shaped = F.array_position(F.transform("tail", C.looks_like_subgroup), F.lit(True))
-    rows = rows.withColumn("at", F.when(exists > 0, exists).otherwise(shaped).cast("int"))
+    named = rows.select(*KEY, F.posexplode(F.transform("tail", C.subproduct)).alias("at", "rel_path")).where("rel_path IS NOT NULL")
+    known = named.join(files.select("dist", "rel_path").distinct(), ["dist", "rel_path"], "left_semi").groupBy(*KEY).agg((F.min("at") + 1).alias("known"))
+    rows = rows.join(known, KEY, "left")
+    shaped = F.array_position(F.transform("tail", C.looks_like_subgroup), F.lit(True)).cast("int")
+    rows = rows.withColumn("at", F.coalesce("known", shaped))
     rows = rows.withColumn("subgroup", F.when(F.col("at") > 0, F.try_element_at("tail", F.col("at"))))
     rows = rows.withColumn("subproduct", C.subproduct(F.col("subgroup")))
     warning = lambda *text: F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(" ignored: "), *text)
@@ -56,7 +60,7 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
         "subproduct",
         F.array_join(F.filter("tail", lambda t, i: i != F.col("at") - 1), " ").alias("attrs_raw"),
         status.alias("status"),
-        (F.col("subproduct").isNotNull() & ~F.array_contains("files", F.col("subproduct"))).alias("no_image"),
+        (F.col("subproduct").isNotNull() & F.col("known").isNull()).alias("no_image"),
     )
 
 
@@ -101,12 +105,12 @@ def with_paths(rows: DataFrame) -> DataFrame:
 
 
 def build_index(lines: DataFrame, files: DataFrame, requested: DataFrame | None = None) -> Index:
-    """Entries, warnings and errors of all products.
+    """Entries, warnings and errors of all products. Lines are parsed once, and the result is written out.
 
     A product's first accepted line whose image is missing is an error, and the product then has neither
     entries nor warnings. A requested (dist, product, uri) without lines is an error too.
     """
-    parsed = parse_lines(lines, files)
+    parsed = stored(with_paths(with_attributes(parse_lines(lines, files))))
     fatal = parsed.where("status IS NULL AND no_image").groupBy("dist", "product").agg(F.min(F.struct("line_no", "subproduct")).alias("x"))
     fatal = fatal.select("dist", "product", "x.*")
     message = F.concat(F.lit("Missing subproduct file '"), F.col("subproduct"), F.lit("' referenced by "), F.col("product"), F.lit(".idb:"), F.col("line_no").cast("string"))
@@ -116,7 +120,7 @@ def build_index(lines: DataFrame, files: DataFrame, requested: DataFrame | None
         unread = requested.join(lines.select("dist", "product").distinct(), ["dist", "product"], "left_anti")
         errors = errors.unionByName(unread.select("dist", "product", F.lit(0).cast("int").alias("line_no"), F.concat(F.lit("Cannot open idb: "), F.col("uri")).alias("message")))
     accepted = whole.where("status IS NULL").drop("status", "no_image")
-    entries = with_paths(with_offsets(with_attributes(accepted)))
+    entries = with_offsets(accepted)
     warnings = whole.where("status IS NOT NULL").select(*KEY, F.col("status").alias("message"))
     return Index(entries, warnings, errors)
 

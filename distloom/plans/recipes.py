@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 #: Columns of an index over `part`; the text of this query also runs in other engines.
 PART = """
-SELECT dist, product, image, subsystem, ftype, mode, size, cmpsize, is_short, p_partkey,
-       concat(lead, 'usr/', subsystem, '/', replace(p_name, ' ', '/'), '.', cast(p_partkey AS string)) AS fname,
+SELECT dist, product, image, subsystem, ftype, mode, size, cmpsize, odd, p_partkey,
+       CASE WHEN p_partkey % 61 = 7 THEN '/' ELSE concat(lead, 'usr/', subsystem, '/', replace(p_name, ' ', '/'), '.', cast(p_partkey AS string)) END AS fname,
        CASE WHEN ftype = 'l' THEN CASE WHEN p_partkey % 20 = 1 THEN '../../standard' ELSE '../x' END ELSE '' END AS symval,
        row_number() OVER (PARTITION BY dist, product ORDER BY p_partkey) AS line_no
 FROM (SELECT p_partkey, p_name,
@@ -20,9 +21,9 @@ FROM (SELECT p_partkey, p_name,
              CASE p_partkey % 10 WHEN 0 THEN 'd' WHEN 1 THEN 'l' WHEN 2 THEN 'x' ELSE 'f' END AS ftype,
              CASE p_partkey % 3 WHEN 0 THEN '0755' WHEN 1 THEN '0644' ELSE '79' END AS mode,
              CASE WHEN p_partkey % 7 = 0 THEN '/' ELSE '' END AS lead,
-             cast(p_size * 100 + p_partkey % 100 AS bigint) AS size,
-             cast(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size * 40 END AS bigint) AS cmpsize,
-             p_partkey % 50 = 3 AS is_short
+             cast(CASE WHEN p_partkey % 71 = 9 THEN -7 ELSE p_size * 100 + p_partkey % 100 END AS bigint) AS size,
+             cast(CASE WHEN p_partkey % 3 = 0 OR p_partkey % 71 = 9 THEN 0 ELSE p_size * 40 END AS bigint) AS cmpsize,
+             CASE WHEN p_partkey % 50 = 3 THEN 'short' WHEN p_partkey % 53 = 4 THEN 'unlocated' WHEN p_partkey % 59 = 5 THEN 'bad' WHEN p_partkey % 47 = 6 THEN 'blank' ELSE '' END AS odd
       FROM part)
 """
 
@@ -33,7 +34,7 @@ def part_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index lines in the order and with the oddities that indexes have: attributes around the subgroup, any case, short lines."""
+    """Index lines in the order and with the oddities that indexes have: attributes around the subgroup, any case; lines that are blank, short, without subgroup or with a bad one."""
     rows = part_columns(spark, sf_dir)
     subgroup = F.concat_ws(".", "product", "image", F.replace("subsystem", F.lit("/"), F.lit("_")))
     fields = [F.col("ftype"), F.col("mode"), F.lit("root"), F.lit("sys"), F.col("fname")]
@@ -41,7 +42,10 @@ def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src/"), "fname"), F.lit("mach(CPUBOARD=IP"), F.lit(") nostrip"), subgroup, F.concat(F.lit("SIZE("), "size", F.lit(")")),
         F.when(F.col("cmpsize") > 0, F.concat(F.lit("cmpsize("), "cmpsize", F.lit(")"))), F.when(F.col("ftype") == "l", F.concat(F.lit("symval("), "symval", F.lit(")"))),
     ]
-    line = F.when(F.col("is_short"), F.concat_ws(" ", *fields)).otherwise(F.concat_ws(" ", *fields, *tail))
+    odd = F.col("odd")
+    subgroup_or = F.when(odd == "unlocated", F.lit("config(a.b.c)")).when(odd == "bad", F.lit(".....")).otherwise(subgroup)
+    tail[3] = subgroup_or
+    line = F.when(odd == "blank", F.lit(" \t\xa0")).when(odd == "short", F.concat_ws(" ", *fields)).otherwise(F.concat_ws(" ", *fields, *tail))
     return rows.select("dist", "product", "line_no", line.alias("line"))
 
 
@@ -80,78 +84,100 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table("pages").select("page_id", path.alias("path"))
 
 
-def _compress(data: bytes) -> bytes:
-    """A .Z stream of data: maximum width 12, block mode, no clear codes."""
-    table = {bytes([i]): i for i in range(256)}
-    codes, free, word = [], 257, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
-            continue
-        codes.append(table[word])
-        if free < 4096:
-            table[longer] = free
-            free += 1
-        word = data[i : i + 1]
-    if word:
-        codes.append(table[word])
-    out, free, top, width, group = bytearray(b"\x1f\x9d\x8c"), 257, 511, 9, []
-
-    def flush(whole: bool) -> None:
-        if group:
-            number = sum(c << (width * i) for i, c in enumerate(group))
-            out.extend(number.to_bytes(width if whole else -(-width * len(group) // 8), "little"))
-            group.clear()
-
-    for i, code in enumerate(codes):
-        if free > top and width < 12:  # the reader widens here, and drops the rest of its group
-            flush(True)
-            width += 1
-            top = 4096 if width == 12 else (1 << width) - 1
-        group.append(code)
-        if len(group) == 8:
-            flush(True)
-        free += i > 0 and free < 4096
-    flush(False)
-    return bytes(out)
+#: Literal codes of a `.Z` stream before its table is cleared: with the clear code 31 groups of eight, all nine bits wide.
+LITERALS = 247
+
+
+def _packed(data: bytes) -> bytes:
+    """A .Z stream of literal codes: maximum width 12, block mode, the table cleared before codes widen."""
+    codes = np.frombuffer(data, dtype=np.uint8).astype("<u2")
+    blocks = -(-len(codes) // LITERALS)
+    rows = np.zeros((blocks, LITERALS + 1), dtype="<u2")
+    rows[:, LITERALS] = 256
+    rows[:, :LITERALS].flat[: len(codes)] = codes
+    flat = rows.ravel()[: len(codes) + max(0, blocks - 1)]
+    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
+    return b"\x1f\x9d\x8c" + np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
 @F.pandas_udf(BinaryType())
-def compress(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: None if d is None else _compress(bytes(d)))
+def packed(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: None if d is None else _packed(bytes(d)))
 
 
 #: Documents of one image.
 IMAGE_DOCS = 64
 
+#: What is the matter with a document's record, by its id; the text of these expressions also runs in other engines.
+RAW = "id % 3 = 0"  # stored as it is
+BROKEN = "id % 3 <> 0 AND id % 13 = 5"  # a stream that no reader takes
+MISSING = "id % 29 = 7"  # in the index, not in the image
+JUNK = "id % 17 = 0"  # five bytes before it
+FORM = "CASE WHEN id % 5 = 1 THEN './' WHEN id % 5 = 2 THEN '/' ELSE '' END"  # before the name in the image
+TWIN = "id % 19 = 3"  # has the output path of the document before
+CUT = "part % 3 = 0"  # images that end a byte early
+UNDERSCORE, UPPER = "part % 5 = 1", "part % 7 = 2"  # names of products, suffixes of their indexes
+
+#: The other lines of a product: number, fields, attributes; %s stands for its image.
+PLAIN = [
+    (1, "d 0755 root sys docs docs", ""), (99, "f 0600 root sys docs/plain src/plain", "size(0)"), (100, "l 0777 root sys docs/link src/link", "symval(plain)"),
+    (101, "f 0644 root sys docs src/docs", "size(0)"), (102, "d 0755 root sys docs/plain/sub src/sub", ""), (103, "l 0777 root sys docs/plain/ln src/ln", "symval(x)"),
+    (104, "f 0644 root sys docs/plain/y src/y", "size(0)"), (105, "d 0755 root sys docs/plain src/d", ""), (107, "f 0644 root sys docs/bad src/bad", "size(-5)"), (108, "c 0600 root sys docs/tty src/tty", ""),
+]
+
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record a document: image, line, name, payload (compressed unless doc_id % 3 = 0), and junk before some.
+    """One record a document: image, line, name, size, payload, the bytes of its record, and what is the matter with it.
 
-    An image holds up to IMAGE_DOCS documents of neighbouring doc_ids, so that images stay small.
+    An image holds IMAGE_DOCS neighbouring doc_ids, so that images stay small; documents without doc_id share one.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL")
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    docs = docs.select("doc_id", raw.alias("raw"), F.concat(F.lit("docs/"), F.coalesce("lang", F.lit("xx")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("fname"))
-    docs = docs.withColumn("payload", F.when(F.col("doc_id") % 3 == 0, F.col("raw")).otherwise(compress("raw")))
-    part = F.floor(F.col("doc_id") / IMAGE_DOCS)
-    name = F.encode("fname", "ISO-8859-1")
-    junk = F.when(F.col("doc_id") % 17 == 0, F.lit(b"junk!")).otherwise(F.lit(b""))
-    record = F.concat(junk, F.unhex(F.lpad(F.hex(F.length(name)), 4, "0")), name, "payload")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    docs = docs.withColumn("part", F.floor(F.col("id") / IMAGE_DOCS))
+    place = Window.partitionBy("part").orderBy("id", F.md5("raw"))
+    docs = docs.withColumn("line_no", F.row_number().over(place) + 1)
+    payload = F.when(F.expr(RAW), F.col("raw")).when(F.expr(BROKEN), F.lit(b"\x1f\x9d\x88")).otherwise(packed("raw"))
+    fname = F.concat(F.lit("docs/"), F.when(F.expr(TWIN), F.concat(F.lit("./"), (F.col("id") - 1).cast("string"))).otherwise(F.col("id").cast("string")), F.lit(".txt"))
+    docs = docs.withColumns({"payload": payload, "fname": fname})
+    name = F.encode(F.concat(F.expr(FORM), F.col("fname")), "ISO-8859-1")
+    record = F.concat(F.when(F.expr(JUNK), F.lit(b"junk!")).otherwise(F.lit(b"")), F.unhex(F.lpad(F.hex(F.length(name)), 4, "0")), name, "payload")
     return docs.select(
-        F.concat(F.lit("b"), F.pmod(part, F.lit(8)).cast("string")).alias("dist"), F.concat(F.lit("p"), part.cast("string")).alias("product"),
-        "doc_id", (F.pmod("doc_id", F.lit(IMAGE_DOCS)) + 1).cast("int").alias("line_no"), "fname", F.octet_length("raw").alias("size"), F.length("payload").alias("packed"), record.alias("record"),
+        F.concat(F.lit("b"), F.pmod("part", F.lit(8)).cast("string")).alias("dist"), F.concat(F.when(F.expr(UNDERSCORE), "_p").otherwise("p"), F.col("part").cast("string")).alias("product"),
+        "part", "doc_id", "id", "line_no", "fname", F.octet_length("raw").alias("size"), F.when(F.expr(RAW), 0).otherwise(F.length("payload")).alias("packed"),
+        F.when(F.expr(MISSING), F.lit(b"")).otherwise(record).alias("record"),
     )
 
 
 def document_images(records: DataFrame) -> DataFrame:
-    """(dist, rel_path, uri, content): 13 header bytes and the records in line order."""
+    """(dist, rel_path, uri, content): 13 header bytes and the records in line order; some images lack their last byte."""
     body = F.expr("listagg(record) WITHIN GROUP (ORDER BY line_no)")
-    made = records.groupBy("dist", "product").agg(body.alias("body"))
-    return made.select("dist", F.concat("product", F.lit(".sw")).alias("rel_path"), F.lit("").alias("uri"), F.concat(F.lit(b"im001V405P00\n"), "body").alias("content"))
+    made = records.groupBy("dist", "product", "part").agg(F.concat(F.lit(b"im001V405P00\n"), body).alias("body"))
+    content = F.when(F.expr(CUT), F.substring("body", F.lit(1), F.length("body") - 1)).otherwise(F.col("body"))
+    return made.select("dist", F.concat("product", F.lit(".sw")).alias("rel_path"), F.lit("").alias("uri"), content.alias("content"))
 
 
 def document_lines(records: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("f 0644 root sys "), "fname", F.lit(" src/"), "fname", F.lit(" "), "product", F.lit(".sw.base size("), "size", F.lit(") cmpsize("), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("packed")), F.lit(")"))
-    return records.select("dist", "product", "line_no", line.alias("line"))
+    """Index lines of the records, and the PLAIN ones of each product."""
+    line = F.concat(F.lit("f 0644 root sys "), "fname", F.lit(" src/"), "fname", F.lit(" "), "product", F.lit(".sw.base size("), "size", F.lit(") cmpsize("), "packed", F.lit(")"))
+    own = records.select("dist", "product", "line_no", line.alias("line"))
+    more = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(fields).alias("fields"), F.lit(rest).alias("rest")) for n, fields, rest in PLAIN])).alias("x")
+    plain = records.select("dist", "product").distinct().select("dist", "product", more)
+    return own.unionByName(plain.select("dist", "product", F.col("x.n").alias("line_no"), F.concat(F.col("x.fields"), F.lit(" "), "product", F.lit(".sw.base "), F.col("x.rest")).alias("line")))
+
+
+def document_files(lines: DataFrame, images: DataFrame) -> DataFrame:
+    """(path, content) of dist directories: indexes, blank lines where a number has none, and images. A hidden index lies beside them.
+
+    Every second product's lines end in CRLF, and the last line of every fourth in nothing.
+    """
+    part = F.regexp_extract("product", "-?[0-9]+$", 0).cast("long").alias("part")
+    whole = lines.groupBy("dist", "product").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "line"))).alias("by"), F.max("line_no").alias("last"))  # up to 108 lines
+    end = F.when(F.expr("part % 2 = 0"), F.lit("\r\n")).otherwise(F.lit("\n"))
+    rows = whole.select("dist", "product", part, F.transform(F.sequence(F.lit(1), F.col("last")), lambda n: F.coalesce(F.try_element_at("by", n), F.lit(" \t"))).alias("rows"))
+    text = F.when(F.expr("part % 2 = 0"), F.array_join("rows", "\r\n")).otherwise(F.array_join("rows", "\n"))
+    text = F.concat(text, F.when(F.expr("part % 4 = 3"), F.lit("")).otherwise(end))
+    name = F.concat("dist", F.lit("/"), "product", F.when(F.expr(UPPER), F.lit(".IDB")).otherwise(F.lit(".idb")))
+    indexes = rows.select(name.alias("path"), F.encode(text, "ISO-8859-1").alias("content"))
+    others = images.select(F.concat("dist", F.lit("/"), "rel_path").alias("path"), "content")
+    hidden = rows.select("dist").distinct().select(F.concat("dist", F.lit("/.hidden.idb")).alias("path"), F.lit(b"f 0644").alias("content"))
+    return indexes.unionByName(others).unionByName(hidden)

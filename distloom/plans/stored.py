@@ -5,19 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir, which driver and executors share, and reads it back.
-
-    Where none is set (tests), a temporary folder serves.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; where none is set, a local session has its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("distloom.store", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="distloom-")
         spark.conf.set("distloom.store", folder)
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from distloom import archives
 from distloom.functions import columns as C
 from distloom.operators import catalog, unpack
 from distloom.plans import recipes
@@ -41,7 +42,7 @@ def scan_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def large_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = recipes.lineitem_lines(spark, sf_dir)
+    lines = stored(recipes.lineitem_lines(spark, sf_dir))
     fields = F.split("line", " ")
     files = lines.select("dist", C.subproduct(fields[6]).alias("rel_path")).distinct()
     return build_index(lines, files).entries.select("dist", "product", "line_no", "subproduct", "payload_size", "offset")
@@ -110,44 +111,30 @@ def path_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.path_export(rows)
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    records = stored(recipes.document_records(spark, sf_dir))
-    images = stored(recipes.document_images(records))
-    entries = build_index(recipes.document_lines(records), images.select("dist", "rel_path")).entries
-    return stored(unpack.requests(entries)), images
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree of every product by a filter alone."""
+    return catalog.select_tree(part_index(spark, sf_dir).entries, "usr/standard", MASK).select("dist", "product", "line_no")
 
 
-def resolved_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the records of drifted images lie, and the drift."""
-    asked, images = _documents(spark, sf_dir)
-    return unpack.resolve_offsets(asked, images).select("dist", "product", "line_no", "name_variant", "delta", "error")
-
-
-def unpack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images packed from documents come out as the documents."""
-    asked, images = _documents(spark, sf_dir)
-    out = unpack.unpack(asked, images)
-    doc_id = F.regexp_extract("out_path", r"(-?[0-9]+)\.txt$", 1).cast("long")
-    return out.select(doc_id.alias("doc_id"), "action", "perms", F.md5("content").alias("md5"), F.length("content").cast("long").alias("n_bytes"), "error")
-
-
-def unpack_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U8, W3, W4, A6 over the part index without images: directories, links and clashes; files miss their image."""
-    asked = stored(unpack.requests(stored(part_index(spark, sf_dir).entries)))
-    none = spark.createDataFrame([], "dist string, rel_path string, uri string")
-    done = unpack.with_clashes(stored(unpack.unpack(asked, none)))
-    return unpack.summary(unpack.outcomes(asked, done, unpack.Options(continue_on_error=False)))
+def root_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the root tree takes entries whose path is empty, which no listing shows."""
+    entries = stored(part_index(spark, sf_dir).entries)
+    roots = entries.select("dist", "product", F.lit("").alias("path")).distinct()
+    return catalog.select_trees(entries, roots, MASK).select("dist", "product", "line_no", "full_path")
 
 
-def unpack_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2: the first five errors of each product of the part index without images."""
-    asked = stored(unpack.requests(stored(part_index(spark, sf_dir).entries)))
+def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five errors of each product of the part index, none of whose images is there."""
+    asked = stored(unpack.requests(part_index(spark, sf_dir).entries))
     none = spark.createDataFrame([], "dist string, rel_path string, uri string")
     return unpack.first_errors(unpack.outcomes(asked, unpack.unpack(asked, none)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (index_entries, index_warnings, index_errors, scan_products, large_index, paths, masked_entries, directories, list_all, list_filtered, list_counts, mask_counts, selection, trees, path_export, resolved_offsets, unpack_documents, unpack_summary, unpack_errors)
+    own = (
+        index_entries, index_warnings, index_errors, scan_products, large_index, paths, masked_entries, directories, list_all, list_filtered, list_counts, mask_counts,
+        selection, trees, tree, root_trees, path_export, missing_images, *archives.QUERIES,
+    )
     return {q.__name__: q for q in own}
 
 
@@ -157,12 +144,12 @@ q AS (SELECT *, concat(product, '.', image) AS subproduct, concat(product, '.',
              CASE WHEN ftype <> 'f' THEN 0 WHEN cmpsize > 0 THEN cmpsize ELSE size END AS payload_size,
              ltrim(fname, '/') AS full_path,
              dist = 'd3' AND ends_with(product, '5') AND image = 'data' AS gone FROM p),
-bad AS (SELECT dist, product, min(line_no) AS bad_line FROM q WHERE NOT is_short AND gone GROUP BY ALL),
+bad AS (SELECT dist, product, min(line_no) AS bad_line FROM q WHERE odd = '' AND gone GROUP BY ALL),
 ok AS (SELECT q.* FROM q ANTI JOIN bad USING (dist, product)),
 e AS (SELECT *, regexp_replace(full_path, '/[^/]*$', '') AS parent_path, regexp_extract(full_path, '[^/]*$') AS base_name,
              CASE WHEN ftype <> 'f' THEN -1 ELSE 13 + coalesce(sum(CASE WHEN ftype = 'f' THEN payload_size + length(fname) + 2 ELSE 0 END)
                OVER (PARTITION BY dist, product, image ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS "offset"
-      FROM ok WHERE NOT is_short)"""
+      FROM ok WHERE odd = '')"""
 
 _PAGES = """
 u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages),
@@ -175,7 +162,7 @@ def _listing(mask: str, matches: str) -> str:
     """The listing in SQL: entries m under the mask; `matches` tests a name x."""
     hit = matches.format
     return f"""WITH {_PART},
-m AS (SELECT * FROM e WHERE {mask}),
+m AS (SELECT * FROM e WHERE {mask} AND full_path <> ''),
 anc AS (SELECT DISTINCT dist, product, array_to_string(string_split(full_path, '/')[:k], '/') AS path, {hit(x="base_name")} AS hit
         FROM m, range(1, 40) r(k) WHERE k < len(string_split(full_path, '/'))),
 known AS (SELECT DISTINCT dist, product, path FROM (SELECT dist, product, path FROM anc UNION ALL SELECT dist, product, full_path FROM m WHERE ftype = 'd')),
@@ -200,10 +187,10 @@ _ORACLE = {
 SELECT dist, product, line_no::INT AS line_no, ftype, CASE mode WHEN '0755' THEN 493 WHEN '0644' THEN 420 ELSE 0 END::INT AS mode, 'root' AS "user", 'sys' AS "group", fname, concat('src/', fname) AS source_path,
        subgroup, subproduct, concat('mach(CPUBOARD=IP ) nostrip SIZE(', size, ')', CASE WHEN cmpsize > 0 THEN concat(' cmpsize(', cmpsize, ')') ELSE '' END, CASE WHEN ftype = 'l' THEN concat(' symval(', symval, ')') ELSE '' END) AS attrs_raw,
        'CPUBOARD=IP' AS mach, symval, size, cmpsize, payload_size, "offset", full_path, parent_path, base_name FROM e""",
-    "index_warnings": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no, concat('Line ', line_no, ' ignored: not enough fields') AS message FROM ok WHERE is_short""",
+    "index_warnings": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no, concat('Line ', line_no, ' ignored: ', CASE odd WHEN 'short' THEN 'not enough fields' WHEN 'unlocated' THEN 'cannot locate subgroup token' ELSE concat('bad subgroup ', chr(39), '.....', chr(39)) END) AS message FROM ok WHERE odd IN ('short', 'unlocated', 'bad')""",
     "index_errors": f"""WITH {_PART} SELECT dist, product, bad_line::INT AS line_no, concat('Missing subproduct file ''', product, '.data'' referenced by ', product, '.idb:', bad_line) AS message FROM bad""",
     "scan_products": f"""WITH {_PART}, pr AS (SELECT DISTINCT dist, product FROM q)
-SELECT pr.dist, pr.product, (SELECT count(*) FROM e WHERE e.dist = pr.dist AND e.product = pr.product) AS n_entries, (SELECT count(*) FROM ok WHERE is_short AND ok.dist = pr.dist AND ok.product = pr.product) AS n_warnings,
+SELECT pr.dist, pr.product, (SELECT count(*) FROM e WHERE e.dist = pr.dist AND e.product = pr.product) AS n_entries, (SELECT count(*) FROM ok WHERE odd IN ('short', 'unlocated', 'bad') AND ok.dist = pr.dist AND ok.product = pr.product) AS n_warnings,
        (SELECT concat('Missing subproduct file ''', product, '.data'' referenced by ', product, '.idb:', bad_line) FROM bad WHERE bad.dist = pr.dist AND bad.product = pr.product) AS error FROM pr""",
     "large_index": f"""WITH l AS ({recipes.LINEITEM}), s AS (SELECT *, CASE WHEN cmpsize > 0 THEN cmpsize ELSE size END AS payload_size FROM l)
 SELECT dist, product, line_no::INT AS line_no, concat(product, '.', image) AS subproduct, payload_size, (13 + coalesce(sum(payload_size + length(fname) + 2) OVER (PARTITION BY dist, product, image ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM s""",
@@ -213,7 +200,7 @@ SELECT page_id, array_to_string(a, '/') AS full_path, array_to_string(o, '/') AS
     "masked_entries": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no, subgroup, base_name FROM e WHERE {_MASKED} AND contains(lower(base_name), '{QUERY.lower()}')""",
     "directories": f"""WITH {_PART} SELECT DISTINCT dist, product, path FROM (
 SELECT dist, product, array_to_string(string_split(full_path, '/')[:k], '/') AS path FROM e, range(1, 40) r(k) WHERE k < len(string_split(full_path, '/'))
-UNION ALL SELECT dist, product, full_path FROM e WHERE ftype = 'd')""",
+UNION ALL SELECT dist, product, full_path FROM e WHERE ftype = 'd' AND full_path <> '')""",
     "list_all": _listing("true", "true"),
     "list_filtered": _listing(_MASKED, "contains(lower({x}), '" + QUERY.lower() + "')"),
     "list_counts": f"""SELECT dist, product, dir, count(*) AS n_rows FROM ({_listing("true", "true")}) GROUP BY ALL""",
@@ -222,16 +209,12 @@ UNION ALL SELECT dist, product, full_path FROM e WHERE ftype = 'd')""",
 WHERE line_no % 7 = 0 OR regexp_matches(full_path, 'small/') OR (ftype = 'd' AND ends_with(full_path, 'small'))""",
     "trees": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no FROM e WHERE {_MASKED} AND (full_path = 'usr/standard' OR starts_with(full_path, 'usr/standard/'))""",
     "path_export": f"""WITH {_PAGES} SELECT min(page_id) AS position, concat('/', array_to_string(a[:-2], '/')) AS path FROM n WHERE len(a) > 1 GROUP BY 2""",
-    "resolved_offsets": f"""WITH d AS (SELECT doc_id, floor(doc_id / {recipes.IMAGE_DOCS})::BIGINT AS part, concat('docs/', coalesce(lang, 'xx'), '/', doc_id, '.txt') AS fname FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') <> '')
-SELECT concat('b', part % 8) AS dist, concat('p', part) AS product, (doc_id % {recipes.IMAGE_DOCS} + 1)::INT AS line_no, fname AS name_variant, (5 * sum(CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY doc_id))::BIGINT AS delta, NULL::VARCHAR AS error FROM d""",
-    "unpack_documents": """SELECT doc_id, 'file' AS action, 420::INT AS perms, md5(coalesce(text, '')) AS md5, strlen(coalesce(text, ''))::BIGINT AS n_bytes, NULL::VARCHAR AS error FROM documents WHERE doc_id IS NOT NULL""",
-    "unpack_summary": f"""WITH {_PART}, r AS (SELECT *, row_number() OVER (PARTITION BY dist, product ORDER BY line_no) AS position, ftype = 'f' AND payload_size > 0 AS fails FROM e),
-s AS (SELECT *, min(CASE WHEN fails THEN position END) OVER (PARTITION BY dist, product) AS stop FROM r)
-SELECT dist, product, count(*) AS total, count(*) FILTER (ftype IN ('d', 'l') AND (stop IS NULL OR position <= stop)) AS extracted, count(*) FILTER (ftype = 'x' AND (stop IS NULL OR position <= stop)) AS skipped, count(*) FILTER (position = stop) AS errors FROM s GROUP BY ALL""",
-    "unpack_errors": f"""WITH {_PART}, r AS (SELECT *, row_number() OVER (PARTITION BY dist, product ORDER BY line_no)::INT AS rank FROM e WHERE ftype = 'f' AND payload_size > 0)
+    "tree": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no FROM e WHERE {_MASKED} AND (full_path = 'usr/standard' OR starts_with(full_path, 'usr/standard/'))""",
+    "root_trees": f"""WITH {_PART} SELECT dist, product, line_no::INT AS line_no, full_path FROM e WHERE {_MASKED}""",
+    "missing_images": f"""WITH {_PART}, r AS (SELECT *, row_number() OVER (PARTITION BY dist, product ORDER BY line_no)::INT AS rank FROM e WHERE ftype = 'f' AND payload_size <> 0)
 SELECT dist, product, rank, concat(fname, ': Cannot open subproduct file: ', dist, '/', subproduct) AS message FROM r WHERE rank <= 5""",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return _ORACLE | archives.ORACLE

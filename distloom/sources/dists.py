@@ -1,10 +1,19 @@
-"""Reading dist directories: index files, their lines, and what else lies beside them."""
+"""Reading dist directories: index files, their lines, and what else lies beside them.
+
+Directories are listed through Hadoop's file system, which, unlike Spark's readers, shows files whose names begin
+with `_` or `.`; such index files are read by Arrow, all others by `binaryFile`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from distloom.functions.images import open_image
+
 _INDEX = r"(?i)/([^/]+)\.idb$"
 
 
@@ -12,18 +21,31 @@ def _place(path: Column) -> list[Column]:
     return [F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("dist"), F.regexp_extract(path, _INDEX, 1).alias("product")]
 
 
-def _files(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(paths)
+def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(uri, length) of the files directly in the given directories, or of the given files (globs allowed): metadata only."""
+    hadoop, found = spark._jvm.org.apache.hadoop.fs, []
+    for path in [paths] if isinstance(paths, str) else paths:
+        place = hadoop.Path(path)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        for top in store.globStatus(place) or []:
+            inside = store.listStatus(top.getPath()) if top.isDirectory() else [top]
+            found += [(f.getPath().toString(), f.getLen()) for f in inside if not f.isDirectory()]
+    return spark.createDataFrame(found, "uri string, length long")
+
+
+def dist_files(spark: SparkSession, dists: str | list[str]) -> DataFrame:
+    """(dist, rel_path, uri, length) of the files directly in dist directories, without reading them."""
+    name = F.regexp_extract("uri", r"[^/]+$", 0)
+    return _listed(spark, dists).select(_place(F.col("uri"))[0], name.alias("rel_path"), "uri", "length")
 
 
 def discover_products(spark: SparkSession, dists: str | list[str]) -> DataFrame:
-    """(dist, product, uri) of the index files directly in the given dist directories (globs allowed), by name.
+    """(dist, product, place, uri) of the index files directly in the given dist directories (globs allowed); place orders a dist's by name.
 
-    The suffix counts in any letter case, the file is read by its real name, and hidden files are passed over.
+    The suffix counts in any letter case, the file is read by its real name, and hidden files, `.` before their name, are passed over.
     """
-    found = _files(spark, dists, "*.[iI][dD][bB]").select("path")
-    return found.select(*_place(F.col("path")), F.col("path").alias("uri")).where("product != '' AND NOT startswith(product, '.')").orderBy("dist", "product")
+    found = _listed(spark, dists).select(*_place(F.col("uri")), "uri").where("product != '' AND NOT startswith(product, '.')")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("dist").orderBy("product", "uri"))).select("dist", "product", "place", "uri")
 
 
 def index_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -32,13 +54,22 @@ def index_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Bytes are Latin-1; a line ends at LF or CRLF; numbers start at 1; what follows the last line end is a line
     only if it is not empty.
     """
-    found = _files(spark, paths, "*.[iI][dD][bB]").select(*_place(F.col("path")), F.decode("content", "ISO-8859-1").alias("text"))
-    lines = found.select("dist", "product", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "line"))
-    return lines.select("dist", "product", (F.col("at") + 1).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+    uris = [r.uri for r in discover_products(spark, paths).select("uri").collect()]  # metadata, as a reader's own listing
+    hidden = [u for u in uris if u.rpartition("/")[2].startswith("_")]
+    plain = [u for u in uris if u not in set(hidden)]
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            contents = []
+            for uri in batch.uri:
+                with open_image(uri) as file:
+                    contents.append(file.read())
+            yield pd.DataFrame({"path": batch.uri, "content": contents})
 
-def dist_files(spark: SparkSession, dists: str | list[str]) -> DataFrame:
-    """(dist, rel_path, uri, length) of the files directly in dist directories, without reading them."""
-    found = _files(spark, dists).select("path", "length")
-    name = F.regexp_extract("path", r"[^/]+$", 0)
-    return found.select(_place(F.col("path"))[0], name.alias("rel_path"), F.col("path").alias("uri"), "length")
+    schema = "path string, content binary"
+    found = spark.createDataFrame([(u,) for u in hidden], "uri string").mapInPandas(read, schema)
+    if plain:
+        found = found.unionByName(spark.read.format("binaryFile").load(plain).select("path", "content"))
+    texts = found.select(*_place(F.col("path")), F.decode("content", "ISO-8859-1").alias("text"))
+    lines = texts.select("dist", "product", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "line"))
+    return lines.select("dist", "product", (F.col("at") + 1).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))

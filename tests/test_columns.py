@@ -67,9 +67,5 @@ def test_stars_stay_within_a_part(spark):
     assert values(spark, ["a/b"], lambda s: s.rlike(C.wildcard("*"))) == [False]
 
 
-def test_record_header(spark):
-    df = spark.createDataFrame([(b"xx\x00\x03abcpay",)], "c binary")
-    got = df.select(*[C.record_matches(F.col("c"), F.lit(at), F.lit(name)) for at, name in ((2, "abc"), (1, "abc"), (2, "abd"), (-1, "abc"), (9, "abc"))]).first()
-    assert list(got) == [True, False, False, False, False]
-    assert values(spark, ["n"], C.name_variants) == [["n", "./n", "/n"]]
+def test_permissions(spark):
     assert spark.range(1).select(C.permissions(F.lit(0o104755))).first()[0] == 0o755

@@ -78,18 +78,22 @@ def test_reading_dists(spark, tmp_path):
     (toy / "toy.idb").write_bytes("\r\n".join(TOY).encode("latin-1") + b"\r\n")
     (toy / "odd.name.IDB").write_bytes(b"f 0644 root sys caf\xe9 a toy.sw.base size(1)\n\nf 0644 root sys a\rb c toy.sw.base size(2)")
     (toy / ".hidden.idb").write_bytes(b"x")
+    (toy / "_q.idb").write_bytes(b"f 0644 root sys a b _q.sw.base size(3)\n")
+    for name in ("_q.sw", ".c.sw"):
+        (toy / name).write_bytes(b"im")
     for name in ("toy.sw", "toy.man"):
         (toy / name).write_bytes(b"im")
     root = f"file://{tmp_path}/*dist"
-    assert [(r.dist, r["product"]) for r in dists.discover_products(spark, root).collect()] == [("toydist", "odd.name"), ("toydist", "toy")]
-    read = dists.index_lines(spark, root).where("product NOT LIKE '.%'")
+    assert [(r.dist, r["product"]) for r in dists.discover_products(spark, root).orderBy("dist", "place").collect()] == [("toydist", "_q"), ("toydist", "odd.name"), ("toydist", "toy")]
+    read = dists.index_lines(spark, root)
     assert {(r.line_no, r.line) for r in read.where("product = 'toy'").collect()} == set(enumerate(TOY, 1))
     assert {r.line_no for r in read.where("product = 'odd.name'").collect()} == {1, 2, 3}
     one = dists.index_lines(spark, f"file://{toy}/toy.idb")
     assert one.select("dist", "product").distinct().collect()[0] == ("toydist", "toy")
     listed = dists.dist_files(spark, root)
-    assert {r.rel_path for r in listed.collect()} >= {"toy.sw", "toy.man", "toy.idb"}
+    assert {r.rel_path for r in listed.collect()} == {"toy.sw", "toy.man", "toy.idb", "odd.name.IDB", ".hidden.idb", "_q.idb", "_q.sw", ".c.sw"}
     asked = spark.createDataFrame([("toydist", "toy", "u"), ("toydist", "gone", "file:/gone.idb")], "dist string, product string, uri string")
     index = build_index(read, listed, asked)
     assert [r.message for r in index.errors.collect()] == ["Cannot open idb: file:/gone.idb"]
+    assert index.entries.where("product = '_q'").first().offset == 13
     assert index.entries.where("product = 'odd.name'").orderBy("line_no").first().fname == "caf\xe9"

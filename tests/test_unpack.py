@@ -2,12 +2,13 @@ import random
 import subprocess
 
 import pytest
+from pyspark.sql.functions import lit
 
-from distloom.functions.images import Resync, open_image, variants
+from distloom.functions.images import Window, follow, headers, open_image
 from distloom.functions.lzw import DecodeError, content_of, decode
 from distloom.operators import unpack
 from distloom.plans.index import build_index
-from distloom.plans.recipes import _compress
+from tests.compressor import compress
 from tests.test_index import files, lines
 
 
@@ -69,7 +70,7 @@ def test_decode_against_slow_reader_and_gzip():
     for n in (0, 1, 2, 7, 300, 4000, 70000):
         for alphabet in (2, 30, 256):
             data = bytes(rng.randrange(alphabet) for _ in range(n))
-            stream = _compress(data)
+            stream = compress(data)
             assert decode(stream) == data
             assert subprocess.run(["gzip", "-dc"], input=stream, capture_output=True).stdout == data
     for flags in (0x89, 0x8C, 0x90, 0x0A, 0x09):
@@ -94,9 +95,10 @@ def image(*parts):
 A, B, F = ("usr/bin/a", b"x" * 40), ("usr/bin/b", b"1234567"), ("usr/bin/f", b"abc")
 
 
-def locate(content, wanted, chunk=1 << 20):
-    sync = Resync(open_image(None, content), 1 << 20, 16 << 20, chunk)
-    return [sync.locate(*w) for w in wanted], sync.delta
+def locate(content, wanted, chunk=1 << 20, back=1 << 20, forward=16 << 20):
+    """((place, form) or None of each record, the drift at the end)."""
+    found = list(follow(open_image(None, content), wanted, Window(back, forward, chunk)))
+    return [None if place is None else (place, form) for place, form, _ in found], found[-1][2]
 
 
 def test_resync():
@@ -109,12 +111,40 @@ def test_resync():
     assert locate(junk, want[2:])[0][0][0] == 87
     dotted = image(record(*A), record("./usr/bin/b", B[1]), record(*F))
     assert locate(dotted, want[:2])[0][1] == (64, b"./usr/bin/b")
-    assert locate(image(record(*A), record(*F)), want)[0][1] == "Out of sync at 64 (delta=0)"
+    assert locate(image(record(*A), record(*F)), want)[0][1] is None
     twice = image(b"j", record(*B), record(*B))
     assert locate(twice, [("usr/bin/b", 40)])[0][0][0] == 14
     across = image(b"." * 4080, record(*B))
     assert locate(across, [("usr/bin/b", 13)], chunk=10)[0][0][0] == 13 + 4080
-    assert variants("a") == [b"a", b"./a", b"/a"]
+    assert list(headers("a").items()) == [(b"a", b"\0\1a"), (b"./a", b"\0\3./a"), (b"/a", b"\0\2/a")]
+    # Drift without a hit around: the plain offset counts, and drift is zero again.
+    back = image(b"junk!", record(*A), record(*B), b"." * 9000, record(*F))
+    wanted = [("usr/bin/a", 13), ("usr/bin/b", 64), ("usr/bin/f", len(back) - len(record(*F)))]
+    assert locate(back, wanted, back=0, forward=100)[1] == 0
+
+
+def plain_scan(data, name, want, back, forward, chunk):
+    """The search chunk by chunk, form by form, place by place."""
+    known = list(headers(name).items())
+    overlap = max(len(h) for _, h in known)
+    start, end = max(0, want - back), min(len(data), want + forward)
+    at = start
+    while at < end:
+        for form, head in known:
+            for p in range(at, min(at + chunk, end) - len(head) + 1):
+                if data[p : p + len(head)] == head:
+                    return p, form
+        at += chunk - overlap
+    return None
+
+
+def test_search_agrees_with_the_plain_one():
+    rng = random.Random(3)
+    for _ in range(60):
+        parts = [rng.choice([record("n", b"xy"), record("./n", b""), record("/n", b"z"), b"." * rng.randrange(3000), b"n", b"\0\1"]) for _ in range(rng.randrange(1, 12))]
+        data = b"".join(parts)
+        want, back, forward = rng.randrange(len(data) + 50), rng.choice([0, 100, 9000]), rng.choice([0, 50, 20000])
+        assert Window(back, forward, 1).find(open_image(None, data), "n", want) == plain_scan(data, "n", want, back, forward, 4096)
 
 
 TEXT = [
@@ -178,8 +208,16 @@ def test_short_and_broken_payloads(spark, asked, tmp_path):
     path = tmp_path / "toy.sw"
     path.write_bytes(CONTENT[:-1])
     place = spark.createDataFrame([("t", "toy.sw", f"file://{path}")], "dist string, rel_path string, uri string")
+    files = [(f"x/{n}", content) for n, content in (("a", b"1"), ("_b", b""), (".c", b"333"))]
+    made = unpack.export_files(spark.createDataFrame(files, "path string, content binary"), f"file://{tmp_path}/out")
+    assert {tuple(r) for r in made.collect()} == {("x/a", 1), ("x/_b", 0), ("x/.c", 3)} and (tmp_path / "out/x/.c").read_bytes() == b"333"
     assert unpack.unpack(asked.where("line_no = 8"), place).first().error == "Short read for usr/bin/b"
     broken = image(record(*A), record(*B), record("usr/bin/f", bytes.fromhex("1F9D906104FE")))
     assert unpack.unpack(asked.where("line_no = 5"), images(spark, broken)).first().error == "LZW decompress failed: usr/bin/f"
+    (tmp_path / "whole.sw").write_bytes(image(b"junk!", CONTENT[13:]))
+    drifted = place.withColumn("uri", lit(f"file://{tmp_path}/whole.sw"))
+    got = {r.line_no: (r.want_offset, r.delta, r.error) for r in unpack.resolve_offsets(asked, drifted).collect()}
+    inside = {r.line_no: (r.want_offset, r.delta, r.error) for r in unpack.resolve_offsets(asked, images(spark, image(b"junk!", CONTENT[13:]))).collect()}
+    assert got == inside and got[2] == (18, 5, None)
     none = spark.createDataFrame([], "dist string, rel_path string, uri string")
     assert unpack.unpack(asked.where("line_no = 2"), none).first().error == "Cannot open subproduct file: t/toy.sw"
