@@ -7,8 +7,8 @@ region. Regions, about one for every `width` / 2 units, stand for all windows of
 in the corpus has nothing repeated in its region, and regions of equal content repeat as a whole. Only distinct
 regions that share an anchor but differ are left for suffix trees or suffix arrays.
 
-Anchors may collide: that costs a comparison. A region's content is told by 128 bits, over bytes or over 128-bit codes of
-its words. Texts are cut in segments, so that what is held besides a text itself does not follow its length.
+Anchors and the codes of words that they stand on may collide: that costs a comparison. A region's content is told by a
+128-bit digest of its bytes. Texts are cut in segments, so that what is held besides a text itself does not follow its length.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from distloom.llm.common import cut, sieve
 
 _PLACE = np.uint64((1 << 24) - 1)
 #: Units of a segment: of a long text, or of several short ones that are cut together.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 _FACTOR = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
@@ -140,16 +139,17 @@ class Cutter:
         if held:
             yield self.block(held, digests)
 
-    def _made(self, pieces: list, codes: np.ndarray, data: bytes, step: int, digests: bool, units: Callable) -> Block:
+    def _made(self, pieces: list, codes: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray, digests: bool) -> Block:
+        """Regions of pieces whose units are data[starts:ends]."""
         lengths = np.array([len(p[2]) for p in pieces])
-        starts = np.cumsum(lengths) - lengths
+        place = np.cumsum(lengths) - lengths
         piece = np.repeat(np.arange(len(pieces)), lengths)
         anchor, first, last = cut_regions(codes, piece, self.window, self.gram)
         of = piece[first]
-        digest = _digests(data, step * first, step * (last + self.window)) if digests else _NONE
-        text, base = np.array([p[0] for p in pieces])[of], np.array([p[1] for p in pieces])[of] - starts[of]
-        content = lambda i: units(of[i], first[i] - starts[of[i]], last[i] - starts[of[i]] + self.window)
-        return Block(text, anchor.view(np.int64), digest, first + base, last + base, content)
+        low, high = starts[first], ends[last + self.window - 1]
+        digest = _digests(data, low, high) if digests else _NONE
+        text, base = np.array([p[0] for p in pieces])[of], np.array([p[1] for p in pieces])[of] - place[of]
+        return Block(text, anchor.view(np.int64), digest, first + base, last + base, lambda i: data[low[i] : high[i]])
 
 
 _BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -163,19 +163,8 @@ class ByteCutter(Cutter):
 
     def block(self, pieces: list, digests: bool) -> Block:
         data = b"".join([p[2] for p in pieces])
-        return self._made(pieces, _BYTES[np.frombuffer(data, dtype=np.uint8)], data, 1, digests, lambda p, a, b: pieces[p][2][a:b])
-
-
-class Codes(dict):
-    """128-bit codes of words, kept for the words met last."""
-
-    most = 1 << 19
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        code = self[word] = xxhash.xxh3_128_digest(word)
-        return code
+        places = np.arange(len(data) + 1)
+        return self._made(pieces, _BYTES[np.frombuffer(data, dtype=np.uint8)], data, places[:-1], places[1:], digests)
 
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -198,17 +187,19 @@ def words_in_segments(text: str, overlap: int = 0) -> Iterator[tuple[int, list[b
 
 
 class WordCutter(Cutter):
-    def __init__(self, window: int, gram: int):
-        super().__init__(window, gram)
-        self.codes = Codes()
-
     def pieces(self, text: str) -> Iterator[tuple[int, list[bytes]]]:
         return words_in_segments(text, self.window - 1)
 
     def block(self, pieces: list, digests: bool) -> Block:
-        data = b"".join(map(self.codes.__getitem__, chain.from_iterable(p[2] for p in pieces)))
-        codes = np.ascontiguousarray(np.frombuffer(data, dtype="<u8")[::2])
-        return self._made(pieces, codes, data, 16, digests, lambda p, a, b: b" ".join(pieces[p][2][a:b]))
+        data = b" ".join([b" ".join(p[2]) for p in pieces])  # one space between words: content is a slice of it
+        raw = np.frombuffer(data, dtype=np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+        up, down = _POWERS.upto(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[raw] * up[:-1], out=sums[1:])
+        codes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return self._made(pieces, codes, data, starts, ends, digests)
 
 
 def binary_array(digest: np.ndarray) -> pa.Array:
