@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = r"\x20\x09-\x0D"
@@ -28,10 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: short lineage, and nothing is computed twice."""
+    return cut_observed(df)[0]
+
+
+def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """What cut returns, and aggregates of df that are taken while it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if measures else None
+    (df.observe(seen, *[c.alias(n) for n, c in measures.items()]) if seen else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if seen else {}
 
 
 def discard(df: DataFrame) -> None:
@@ -83,9 +89,10 @@ def stay(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     several = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "text_key"), order).alias("least")).where("n > 1")
     several = cut(several.select("root", F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key")))
     least = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
-    touched = cut(grouped.join(several, "root").select("doc_id", "text_key", least.alias("least")))
-    gone = touched.where("NOT least").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    repeated = bool(touched.where("least").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
+    rows = grouped.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    touched, seen = cut_observed(rows.join(several, "root").select("doc_id", "text_key", "times", least.alias("least")), most=F.max(F.when(F.col("least"), F.col("times"))))
+    gone = touched.where("NOT least").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    repeated = (seen["most"] or 0) > 1
     keyed = docs.withColumn("__key", text_key(F.col("text")))
     maybe, others = sieve(keyed, touched.select(F.col("text_key").alias("__key")), "__key")
     found = maybe.join(gone, maybe.doc_id.eqNullSafe(gone.gone_id) & (maybe["__key"] == gone.gone_key), "left_anti")

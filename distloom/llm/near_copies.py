@@ -3,8 +3,8 @@
 At 0.8 two SimHashes differ in about ten of 64 bits, beyond any index of equal bytes. Prefix filtering reaches
 these pairs: shingle hashes are put in one order for all texts; a set of n posts its n - ceil(similarity * n) + 1 first ones,
 and two sets that reach the similarity share a posting. Any order gives all pairs; here shingles that are
-frequent in a sample of the texts come last, so that few lists are long. Candidates share as many postings as
-the similarity demands and are verified by their whole sets: first each member of a list against the list's smallest, together
+frequent in a sample of the texts come last, so that few lists are long. Candidates fit in length, share a posting early
+enough for the similarity, differ in no more parity bits than it allows, and are verified by their whole sets: first each member of a list against the list's smallest, together
 with the pairs that the SimHash index proposes; what these link is one group. Then members of different groups that share a
 list and fit in length are compared, so that many copies of one text do not meet each other in all pairs.
 
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from distloom.llm.common import cut, discard, sieve, text_key
@@ -35,6 +36,8 @@ FREQUENT = 4
 MOST_FREQUENT = 200_000
 #: Members of a group that one task compares with the group's centre.
 FAN = 512
+#: Longs of a set's parity bits.
+PARITY = 4
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -51,6 +54,18 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls to each of 64 * PARITY bits, as longs.
+
+    Two sets differ in at least as many elements as their parities differ in bits.
+    """
+    odd = np.bincount(hashes & (64 * PARITY - 1), minlength=64 * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+_BITS = [f"b{i}" for i in range(PARITY)]
+
+
 def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of shingles that many texts of a sample hold; at most MOST_FREQUENT reach the driver."""
 
@@ -65,42 +80,50 @@ def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(id, key, fp, n, prefix) of every distinct text: its number, 128-bit key, SimHash, size of its set, and the set's prefix. Written out."""
+    """(id, key, fp, n, prefix, b0, ...) of every distinct text: its number, 128-bit key, SimHash, size of its set, the set's prefix and parity. Written out."""
     texts = docs.select(text_key(F.col("text")).alias("key"), "text")
-    repeated = cut(texts.groupBy("key").count().where("count > 1").select("key"))
+    repeated = texts.groupBy("key").count().where("count > 1").select("key")
     maybe, once = sieve(texts, repeated, "key")
     distinct = maybe.dropDuplicates(["key"]).unionByName(once)
     frequent = frequent_shingles(texts, size)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, found = [], [], []
+            prints, sizes, found, bits = [], [], [], [np.zeros((0, PARITY), dtype=np.int64)]
             for text in batch.column(1):
                 words = words_of(text.as_py())
                 every = shingle_hashes(words, size)
                 prints.append(print_of(every) if words else 0)
                 hashes = np.unique(every.view(np.int64))
                 sizes.append(len(hashes))
+                bits.append(parity(hashes)[None])
                 if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
                     hashes = np.concatenate([hashes[~late], hashes[late]])
                 found.append(hashes[: prefix_length(sizes[-1], similarity)])
             columns = [batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(found)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "n", "prefix"])
+            columns += [pa.array(c) for c in np.ascontiguousarray(np.concatenate(bits).T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "n", "prefix", *_BITS])
 
-    made_sets = distinct.mapInArrow(made, "key binary, fp long, n int, prefix array<long>")
+    made_sets = distinct.mapInArrow(made, "key binary, fp long, n int, prefix array<long>, " + ", ".join(f"{b} long" for b in _BITS))
     return cut(made_sets.select(F.monotonically_increasing_id().alias("id"), "*"))  # numbers hold from here on: they are written
 
 
-def candidates(shared: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of (u, nu, v, nv), a row for each shared posting, whose number of these allows the similarity.
+def _needed(similarity: float) -> Column:
+    """Elements that sets of nu and nv share at least if they reach the similarity."""
+    return F.ceil((F.col("nu") + F.col("nv")) * F.lit(similarity / (1 + similarity)) - 1e-9)
 
-    What two sets share beyond their common postings lies behind the prefix of one of them.
-    """
-    least, most = F.least("nu", "nv"), F.greatest("nu", "nv")
-    near = shared.where(least >= most * F.lit(similarity) - 1e-9).groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("common"))
-    needed = F.ceil((F.col("nu") + F.col("nv")) * F.lit(similarity / (1 + similarity)) - 1e-9)
-    return near.where(F.col("common") + F.ceil(most * F.lit(similarity) - 1e-9) - 1 >= needed).select("u", "v")
+
+def _alike(similarity: float) -> Column:
+    """Whether parities (b0, ... of u; c0, ... of v) allow the similarity."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(PARITY)])
+    return apart <= F.col("nu") + F.col("nv") - 2 * _needed(similarity)
+
+
+def _early(similarity: float) -> Column:
+    """Whether a posting at places pu and pv, if it is the first that two sets share, leaves enough of both, and their sizes fit."""
+    rest = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
+    return (F.least("nu", "nv") >= F.greatest("nu", "nv") * F.lit(similarity) - 1e-9) & (rest >= _needed(similarity))
 
 
 def _compared(size: int, similarity: float):
@@ -133,33 +156,42 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, simi
     members = pairs.join(parts, "u").select(F.col("v").alias("id"), "u", F.pmod(F.hash("v"), "parts").alias("part"), "v")
     roles = cut(centres.unionByName(members).join(sets.select("id", "key"), "id").select("key", "u", "part", "v"))
     texts, _ = sieve(docs.select(text_key(F.col("text")).alias("key"), "text"), roles, "key")
-    texts = texts.join(roles.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    rows = roles.join(texts, "key").select("u", "v", "text", "part").repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    rows = roles.join(texts.dropDuplicates(["key"]), "key").select("u", "v", "text", "part").repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
     found = cut(rows.select("u", "v", "text").mapInArrow(_compared(size, similarity), "u long, v long"))
     discard(roles)
     discard(pairs)
     return found
 
 
-def links(docs: DataFrame, sets: DataFrame, proposed: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Edges (u, v) between ids of sets that connect all texts of the similarity or more, though not each pair of them."""
-    posted = sets.select("id", "n", F.explode("prefix").alias("s"))
+def grouped(docs: DataFrame, sets: DataFrame, proposed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, root) of the sets that are linked to others: links of the similarity or more connect a group, whose least id is its root."""
+    posted = sets.select("id", "n", F.posexplode("prefix").alias("p", "s"))
     whole = Window.partitionBy("s")
-    lists = posted.select("*", F.count(F.lit(1)).over(whole).alias("members"), F.min(F.struct("id", "n")).over(whole).alias("first"))
-    lists = cut(lists.where("members > 1").select("s", "id", "n", "first"))
+    lists = posted.select("*", F.count(F.lit(1)).over(whole).alias("members"), F.min(F.struct("id", "n", "p")).over(whole).alias("first"))
+    lists = cut(lists.where("members > 1").select("s", "id", "n", "p", "first"))
     star = lists.where(F.col("first.id") != F.col("id"))
-    star = star.select(F.col("first.id").alias("u"), F.col("first.n").alias("nu"), F.col("id").alias("v"), F.col("n").alias("nv"))
-    first = verified(candidates(star, similarity).unionByName(proposed), sets, docs, size, similarity)
-    grouped = cut(components(first).select(F.col("node").alias("id"), F.col("root").alias("known")))
-    left = lists.join(grouped, "id", "left").select("s", "id", "n", F.coalesce("known", "id").alias("known"))
+    star = star.select(F.col("first.id").alias("u"), F.col("first.n").alias("nu"), F.col("first.p").alias("pu"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"))
+    star = star.where(_early(similarity)).select("u", "v").distinct().unionByName(proposed)
+    of_u = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), *_BITS)
+    of_v = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), *[F.col(b).alias(f"c{i}") for i, b in enumerate(_BITS)])
+    star = star.join(of_u, "u").join(of_v, "v").where(_alike(similarity)).select("u", "v")
+    first = components(verified(star, sets, docs, size, similarity))
+    known = first.select(F.col("node").alias("id"), F.col("root").alias("known"))
+    left = lists.select("s", "id", "n", "p").join(known, "id", "left").withColumn("known", F.coalesce("known", "id"))
     several = F.min("known").over(whole) != F.max("known").over(whole)
     length = F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int")
-    left = cut(left.withColumn("several", several).where("several").select("s", "id", "n", "known", length.alias("length")))
+    left = left.withColumn("several", several).where("several").select("s", "id", "n", "p", "known", length.alias("length"))
+    left = cut(left.join(sets.select("id", *_BITS), "id"))
     discard(lists)
-    a = left.select("s", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("known").alias("ku"), F.explode(F.array(F.col("length"), F.col("length") + 1)).alias("length"))
-    b = left.select("s", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("known").alias("kv"), "length")
+    a = left.select("s", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("known").alias("ku"), *_BITS, F.explode(F.array(F.col("length"), F.col("length") + 1)).alias("length"))
+    b = left.select("s", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("known").alias("kv"), *[F.col(b).alias(f"c{i}") for i, b in enumerate(_BITS)], "length")
     shorter = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
-    pairs = a.join(b.hint("merge"), ["s", "length"]).where(shorter & (F.col("ku") != F.col("kv")))
-    more = verified(candidates(pairs, similarity), sets, docs, size, similarity)
+    pairs = a.join(b.hint("merge"), ["s", "length"]).where(shorter & (F.col("ku") != F.col("kv")) & _early(similarity) & _alike(similarity)).select("u", "v").distinct()
+    more = verified(pairs, sets, docs, size, similarity)
     discard(left)
-    return first.unionByName(more)
+    # Groups that `more` joins: components of the few groups it names.
+    root = lambda name: known.select(F.col("id").alias(name), F.col("known").alias(f"root_{name}"))
+    named = more.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    joined = components(named).select(F.col("node").alias("known"), F.col("root").alias("last"))
+    alone = joined.select(F.col("known").alias("id"), F.col("last").alias("root")).join(known.select("id"), "id", "left_anti")
+    return known.join(joined, "known", "left").select("id", F.coalesce("last", "known").alias("root")).unionByName(alone)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from distloom.llm.common import cut, discard, stay, text_key
+from distloom.llm.common import cut, cut_observed, discard, stay, text_key
 
 SEED = 42
 SHINGLE = 3
@@ -178,14 +178,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
+        table, seen = cut_observed(e, n=F.count(F.lit(1)), digest=F.expr("bit_xor(xxhash64(u, v))"))
+        return table, (seen["n"], seen["digest"])
 
-    now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = digest(now)
+    now, before = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
-        then, now = now, cut(stars(now))
-        after = digest(now)
+        then = now
+        now, after = written(stars(then))
         discard(then)
         if after == before:
             break
@@ -219,7 +219,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     from distloom.llm import near_copies
 
     sets = near_copies.shingle_sets(docs, shingle, similarity)
-    linked = components(near_copies.links(docs, sets, proposed(sets), shingle, similarity))
-    roots = cut(sets.join(linked, sets.id == linked.node, "left").select(F.col("key").alias("text_key"), F.coalesce("root", "id").alias("root")))
+    linked = near_copies.grouped(docs, sets, proposed(sets), shingle, similarity)
+    roots = sets.select("id", F.col("key").alias("text_key")).join(linked, "id", "left").select("text_key", F.coalesce("root", "id").alias("root"))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"))
     return stay(docs, cut(rows.join(roots, "text_key")))

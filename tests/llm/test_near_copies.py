@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from distloom.llm import near_copies, simhash
@@ -48,3 +49,12 @@ def test_stage_keeps_one_of_all_near_copies(spark, corpus, edited, monkeypatch,
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == kept(rows)
     assert simhash.keep_one(make_docs(spark, [])).count() == 0
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(1)
+    for n in (1, 20, 300):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        b = np.unique(np.concatenate([a[: n * 3 // 4], rng.integers(-(1 << 62), 1 << 62, n // 3)]))
+        apart = int(np.bitwise_count(near_copies.parity(a) ^ near_copies.parity(b)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and near_copies.parity(a).shape == (near_copies.PARITY,)
