@@ -9,8 +9,9 @@ joined end to end, cut freely at the window size, so that each such task leaves
 The ids come from the byte-level BPE of `vocabulary`. The pieces are written to the shared folder before the
 merge, so a lost executor never makes two halves of the job disagree.
 
-Edge cases: a null or empty text is the end token alone. Repeated rows are separate documents (their pieces
-carry the same doc_id). The string of an added token (`added`) has that token's id, wherever it stands; without
+Edge cases: a null or empty text is the end token alone. Repeated rows, and rows of one doc_id or none, are separate documents
+(their pieces carry the same doc_id). A very long text gives full windows as it is read, and only its rest waits. Of open windows
+with equal room the one opened first is filled. Extra columns are ignored. The string of an added token (`added`) has that token's id, wherever it stands; without
 `added` it is ordinary text. An empty table gives no pieces.
 """
 

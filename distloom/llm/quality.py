@@ -2,10 +2,12 @@
 
 Every rule is evaluated once per document. The ledger keeps its measurements and one bit for each rule
 that failed; a policy is a named mask over these bits, so verdicts of any policy version and ablations
-(what would a policy keep without rule r?) are bitwise operations on the ledger and never read a text again.
+(what would a policy keep without rule r?) are bitwise operations on the ledger and never read a text again. `keep` writes
+the ledger and applies a policy to it; a stored ledger serves any later policy.
 
-Edge cases: a null text has no words and fails `few_words`; an empty text likewise. Repeated rows get one
-ledger row each. Other input columns are ignored. An empty table gives an empty ledger.
+Edge cases: a null text has no words and fails `few_words`; an empty text likewise. Repeated rows, and rows of one doc_id or
+none, get one ledger row each; what a text is told by is the text. Measurements are whole numbers, and a rule's bound itself
+passes. Very long texts are measured whole. Other input columns are ignored by the ledger and kept by `keep`. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from distloom.llm.common import cut, sieve, text_key
+
 #: Rule i sets bit 1 << i where its condition over the measurements holds.
 RULES: dict[str, str] = {
     "few_words": "n_words < 10",
@@ -25,6 +29,9 @@ RULES: dict[str, str] = {
     "symbols": "10 * n_symbols > 3 * n_words",
     "repeated_lines": "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines",
     "long_words": "word_chars > 40 * n_words",
+    "short_words": "word_chars < 2 * n_words",
+    "one_long_line": "n_lines = 1 AND n_words > 5000",
+    "symbol_lines": "n_symbols > 50 * n_lines",
 }
 
 #: Policy version -> the rules that reject.
@@ -32,6 +39,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "symbols", "repeated_lines"),
     "v2": ("few_words", "repeated_windows", "symbols", "repeated_lines", "long_words"),
+    "v3": ("few_words", "repeated_windows", "symbols", "repeated_lines", "long_words", "short_words", "one_long_line", "symbol_lines"),
 }
 CURRENT = "v1"
 
@@ -103,9 +111,9 @@ def mask(policy: str, without: str | None = None) -> int:
     return sum(1 << names.index(r) for r in POLICIES[policy] if r != without)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements, and failures: one bit for each rule of RULES that fails."""
-    measured = _measured(docs.select("doc_id", "text")).select("doc_id", "__ledger.*")
+def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key, the measurements, and failures: one bit for each rule of RULES that fails."""
+    measured = _measured(docs.select(key, "text")).select(key, "__ledger.*")
     return measured.withColumn("failures", _failures())
 
 
@@ -121,10 +129,25 @@ def accepted(failures: Column, policy: str = CURRENT) -> Column:
     return failures.bitwiseAND(F.lit(mask(policy))) == 0
 
 
-def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of docs that the policy accepts, with their own columns."""
-    judged = _measured(docs).select(F.struct(*map(F.col, docs.columns)).alias("row"), "__ledger.*")
-    return judged.where(accepted(_failures(), policy)).select("row.*")
+def sole_rule(failures: Column, policy: str = CURRENT) -> Column:
+    """The one rule without which the policy would keep a document that it rejects; null if there is no such rule."""
+    failed, names = failures.bitwiseAND(F.lit(mask(policy))), list(RULES)
+    cases = [F.when(failed == 1 << names.index(r), F.lit(r)) for r in POLICIES[policy]]
+    return F.coalesce(*cases)
+
+
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger by text_key, written out."""
+    return cut(ledger(docs.select(text_key(F.col("text")).alias("text_key"), "text"), "text_key"))
+
+
+def keep(docs: DataFrame, policy: str = CURRENT, entries: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that the policy accepts by their stored ledger, made here if none is given. Accepted rows stay where they are."""
+    entries = stored_ledger(docs) if entries is None else entries
+    rejected = entries.where(~accepted(F.col("failures"), policy)).select("text_key").distinct()
+    maybe, others = sieve(docs.withColumn("__key", text_key(F.col("text"))), rejected.withColumnRenamed("text_key", "__key"), "__key")
+    passed = maybe.join(rejected, maybe["__key"] == rejected.text_key, "left_anti")
+    return passed.unionByName(others).drop("__key")
 
 
 def ablations(entries: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(documents(spark, sf_dir))
     base = ~quality.accepted(F.col("failures"), "base")
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.accepted(F.col("failures")).alias("kept"), "n_lines", "failures")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.accepted(F.col("failures")).alias("kept"), "n_lines", "failures", quality.sole_rule(F.col("failures")).alias("sole_rule"), quality.accepted(F.col("failures"), "v3").alias("kept_v3"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,11 @@ f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END
              + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
              + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
              + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
-             + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)::BIGINT AS failures FROM m)
+             + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
+             + CASE WHEN n_lines = 1 AND n_words > 5000 THEN 64 ELSE 0 END + CASE WHEN n_symbols > 50 * n_lines THEN 128 ELSE 0 END)::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
-       failures & 15 = 0 AS kept, n_lines, failures FROM f
+       failures & 15 = 0 AS kept, n_lines, failures, CASE failures & 15 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' END AS sole_rule,
+       failures & 255 = 0 AS kept_v3 FROM f
 """
 
 

@@ -37,5 +37,19 @@ def test_keep(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in corpus if d in good)
 
 
+def test_a_stored_ledger_serves_every_policy(spark, corpus):
+    docs = make_docs(spark, [*corpus, (None, corpus[0][1]), (None, corpus[1][1])])
+    entries = quality.stored_ledger(docs)
+    for policy in quality.POLICIES:
+        expected = quality.ledger(docs).where(quality.accepted(quality.F.col("failures"), policy)).count()
+        assert quality.keep(docs, policy, entries).count() == expected
+
+
+def test_sole_rules(spark):
+    texts = [(1, "one"), (2, "a b c d e " * 9), (3, "# * $ % & | < > a b c d"), (4, " ".join(map(str, range(40)))), (5, "# # #")]
+    found = quality.ledger(make_docs(spark, texts)).select("doc_id", quality.sole_rule(quality.F.col("failures")).alias("rule"))
+    assert {r.doc_id: r.rule for r in found.collect()} == {1: "few_words", 2: "repeated_windows", 3: "symbols", 4: None, 5: None}
+
+
 def test_empty(spark):
     assert quality.ledger(make_docs(spark, [])).count() == 0
