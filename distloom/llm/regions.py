@@ -285,19 +285,22 @@ def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return maybe.join(lists, "key", "left").unionByName(others.withColumn("marks", none))
 
 
-def covered(blocks: Iterable[Block], marks: list[dict], window: int, size: int) -> np.ndarray:
-    """Which of `size` units of one text the marks cover. Spans are pairs of first unit, from the region's start, and length; null means the whole region."""
-    gone, by = np.zeros(size, dtype=bool), {m["region"]: m["spans"] for m in marks}
-    for block in blocks:
-        for name, first, last in zip(block.keys(), block.first.tolist(), block.last.tolist(), strict=True):
-            if name not in by:
+def covered(cutter: Cutter, texts: list[str | None], marks: list[list[dict] | None], sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each text with marks: which of its `size` units they cover. Spans are pairs of first unit, from the region's start, and length; null means the whole region."""
+    marked = [i for i, m in enumerate(marks) if m]
+    gone = {i: np.zeros(sizes[i], dtype=bool) for i in marked}
+    by = {i: {m["region"]: m["spans"] for m in marks[i]} for i in marked}
+    for block in cutter.blocks(texts[i] for i in marked):
+        for at, name, first, last in zip(block.text.tolist(), block.keys(), block.first.tolist(), block.last.tolist(), strict=True):
+            own = by[marked[at]]
+            if name not in own:
                 continue
-            spans = by[name]
+            spans, there = own[name], gone[marked[at]]
             if spans is None:
-                gone[first : last + window] = True
+                there[first : last + cutter.window] = True
             else:
-                for at, n in zip(spans[::2], spans[1::2], strict=True):
-                    gone[first + at : first + at + n] = True
+                for start, n in zip(spans[::2], spans[1::2], strict=True):
+                    there[first + start : first + start + n] = True
     return gone
 
 

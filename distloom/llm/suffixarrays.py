@@ -191,15 +191,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = ByteCutter(window, gram)
         for batch in batches:
-            rows = []
-            for text, mark in zip(batch.column(1), batch.column(2), strict=True):
-                text, mark = text.as_py() or "", mark.as_py()
-                kept = text.encode("utf-8", "surrogatepass")
+            rows, texts_here = [], [t.as_py() or "" for t in batch.column(1)]
+            contents = [t.encode("utf-8", "surrogatepass") for t in texts_here]
+            gone = covered(cutter, texts_here, batch.column(2).to_pylist(), list(map(len, contents)))
+            for i, kept in enumerate(contents):
                 size, spans = len(kept), 0
-                if mark:
-                    gone = covered(cutter.blocks([text]), mark, window, size)
-                    kept = np.frombuffer(kept, dtype=np.uint8)[~gone].tobytes()
-                    spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+                if i in gone:
+                    out = gone[i]
+                    kept = np.frombuffer(kept, dtype=np.uint8)[~out].tobytes()
+                    spans = int(out[0]) + int(np.count_nonzero(out[1:] & ~out[:-1]))
                 rows.append((size, size - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             types = [pa.int64()] * 3 + [pa.string(), pa.binary()]

@@ -12,7 +12,7 @@ Nodes at least WINDOW words deep are repeats that no further word extends alike;
 doc_id below it. A suffix loses as many words as its deepest node with a smaller doc_id than its own has. Where even the longest
 prefix, a whole window, has too many suffixes, they are one deep node: its smallest doc_id is found by aggregation.
 
-Words are compared as they stand; hashes of prefixes only deal suffixes out.
+Words are compared as they stand, those of more than LONG_WORD bytes by a 128-bit digest; hashes of prefixes only deal suffixes out.
 
 Edge cases: a null or empty text has no words and removes none. A null doc_id counts as larger than any other.
 Rows that repeat a doc_id remove nothing from each other. Of equal windows in one document none is earlier. Very long texts are cut in
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ GRAM = 4
 #: Words of prefixes; the last is the window.
 PREFIXES = (4, 8, WINDOW)
 GROUP = 20_000
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 _LAST = (1 << 63) - 1
 
 _FOUND = "region binary, spans array<int>"
@@ -74,27 +74,43 @@ def internal_nodes(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     return np.array(depth, dtype=np.int64), np.array(parent, dtype=np.int64), np.array(above, dtype=np.int64)
 
 
-def repeated_depths(suffixes: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
-    """For suffixes (rows of word numbers, zeros after their end): words of the longest prefix, of at least `least`, that also starts in a document smaller than `first`."""
-    flat = np.ascontiguousarray(suffixes.astype(">u4")).view(f"S{4 * suffixes.shape[1]}").ravel()
-    order = np.argsort(flat, kind="stable")
-    ranked = suffixes[order]
-    same = (ranked[1:] == ranked[:-1]) & (ranked[1:] != 0)
-    common = np.concatenate([[0], np.where(same.all(axis=1), suffixes.shape[1], (~same).argmax(axis=1))])
-    depth, parent, above = internal_nodes(common, least)
-    out = np.zeros(len(suffixes), dtype=np.int64)
+#: Between words stands 1, and nothing smaller but the end of a string; 0 and 1 within words become bytes that UTF-8 has not.
+_ORDERED = bytes.maketrans(b"\x00\x01\x20", b"\xf8\xf9\x01")
+
+
+def repeated_depths(suffixes: list[bytes], first: np.ndarray, least: int) -> np.ndarray:
+    """For suffixes (words joined by one space): words of the longest prefix, of at least `least`, that also starts in a document smaller than `first`.
+
+    Sorted as strings, with separators below all else, suffixes of a common prefix of words are neighbours.
+    """
+    texts = np.array([s.translate(_ORDERED) for s in suffixes])
+    order = np.argsort(texts, kind="stable")
+    width = texts.dtype.itemsize
+    ranked = np.zeros((len(texts), width + 1), dtype=np.uint8)  # the last column: every string ends
+    ranked[:, :width] = texts[order].view(np.uint8).reshape(len(texts), width)
+    ends = np.cumsum(ranked == 1, axis=1, dtype=np.int16)
+    differs = ranked[1:] != ranked[:-1]
+    apart = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    rows = np.arange(len(apart))
+    whole = (ranked[1:][rows, apart] <= 1) & (ranked[:-1][rows, apart] <= 1)  # the word before ends in both
+    words = np.where(apart > 0, ends[:-1][rows, np.maximum(apart - 1, 0)], 0) + whole
+    words[apart == width] = ends[:-1][apart == width, width] + 1  # equal strings
+    common = np.concatenate([[0], np.where(words >= least, words, 0)])
+    inner = np.flatnonzero((common > 0) | np.append(common[1:] > 0, False))  # below some node
+    out = np.zeros(len(texts), dtype=np.int64)
+    depth, parent, above = internal_nodes(common[inner], least)
     if not len(depth):
         return out
-    own = first[order]
+    own = first[order[inner]]
     smallest = np.full(len(depth), _LAST)
-    np.minimum.at(smallest, above[above >= 0], own[above >= 0])
+    np.minimum.at(smallest, above, own)
     for d in sorted(set(depth.tolist()), reverse=True):  # children before their parents
         level = np.flatnonzero((depth == d) & (parent >= 0))
         np.minimum.at(smallest, parent[level], smallest[level])
     node = above.copy()
     while len(up := np.flatnonzero((node >= 0) & (smallest[node] >= own))):
         node[up] = parent[node[up]]
-    out[order] = np.where(node >= 0, depth[node], 0)
+    out[order[inner]] = np.where(node >= 0, depth[node], 0)
     return out
 
 
@@ -103,14 +119,7 @@ def _subtrees(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, _CHUNK):
-            texts = [u.split(b" ") for u in table.column("units").to_pylist()]
-            words = list(chain.from_iterable(texts))
-            first_at: dict[bytes, int] = {}
-            numbers = np.array(list(map(first_at.setdefault, words, range(1, len(words) + 1))), dtype=np.uint32)
-            lengths = np.array([len(t) for t in texts])
-            suffixes = np.zeros((len(texts), lengths.max()), dtype=np.uint32)
-            suffixes[np.arange(lengths.max()) < lengths[:, None]] = numbers
-            depths = repeated_depths(suffixes, table.column("d0").to_numpy(), least)
+            depths = repeated_depths(table.column("units").to_pylist(), table.column("d0").to_numpy(), least)
             hit = np.flatnonzero(depths)
             spans = np.stack([table.column("at").to_numpy()[hit], depths[hit]], axis=1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))
@@ -119,6 +128,14 @@ def _subtrees(least: int):
     return run
 
 
+#: Longer words stand in suffixes by their 128-bit digest, so that a suffix has a bounded length.
+LONG_WORD = 64
+
+
+def _short(word: bytes) -> bytes:
+    return word if len(word) <= LONG_WORD else b"\xfa" + xxhash.xxh3_128_hexdigest(word).encode()
+
+
 def _prefixes(window: int, lengths: tuple[int, ...]):
     """For every suffix of (region, d0, units): hashes of its prefixes, counted by batch."""
 
@@ -127,7 +144,7 @@ def _prefixes(window: int, lengths: tuple[int, ...]):
         for batch in batches:
             found = []
             for units in batch.column(0).to_pylist():
-                words = units.split(b" ")
+                words = list(map(_short, units.split(b" ")))
                 found += [digest(b" ".join(words[i : i + k])) for i in range(len(words) - window + 1) for k in lengths]
             table = np.array(found, dtype=np.uint64).view(np.int64).reshape(-1, len(lengths))
             order = np.lexsort(table.T)
@@ -150,6 +167,8 @@ def _suffixes(window: int, lengths: tuple[int, ...]):
             prefixes, rest = [], []
             for region, first, units in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = units.split(b" ")
+                if len(units) > LONG_WORD:
+                    words = [_short(w) for w in words] if max(map(len, words)) > LONG_WORD else words
                 for i in range(len(words) - window + 1):
                     prefixes += [digest(b" ".join(words[i : i + k])) for k in lengths]
                     rest.append((whole(b" ".join(words[i : i + window])), region, first, i, b" ".join(words[i:])))
@@ -175,22 +194,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, pref
     short, longer = prefixes[0], prefixes[1]
     crowded = several.select("units").mapInArrow(_prefixes(window, (short,)), f"p{short} long, n long").groupBy(f"p{short}").agg(F.sum("n").alias("n"))
     crowded = cut(crowded.where(F.col("n") > group).select(f"p{short}"))
-    both = several.select("units").mapInArrow(_prefixes(window, (short, longer)), f"p{short} long, p{longer} long, n long")
-    still = both.join(crowded, f"p{short}", "left_semi").groupBy(f"p{longer}").agg(F.sum("n").alias("n"))
-    still = cut(still.where(F.col("n") > group).select(f"p{longer}"))
-
     made, schema = _suffixes(window, (short, longer))
     suffixes = several.mapInArrow(made, schema)
-    flagged = suffixes.join(crowded.withColumn("crowded", F.lit(True)), f"p{short}", "left").join(still.withColumn("still", F.lit(True)), f"p{longer}", "left")
-    prefix = F.when(F.col("crowded"), F.col(f"p{longer}")).otherwise(F.col(f"p{short}"))
-    dealt = flagged.where("crowded IS NULL OR still IS NULL").select(prefix.alias("prefix"), "region", "d0", "at", "units")
+    if crowded.limit(1).count():
+        both = several.select("units").mapInArrow(_prefixes(window, (short, longer)), f"p{short} long, p{longer} long, n long")
+        still = both.join(crowded, f"p{short}", "left_semi").groupBy(f"p{longer}").agg(F.sum("n").alias("n"))
+        still = cut(still.where(F.col("n") > group).select(f"p{longer}"))
+        flagged = suffixes.join(crowded.withColumn("crowded", F.lit(True)), f"p{short}", "left").join(still.withColumn("still", F.lit(True)), f"p{longer}", "left")
+        prefix = F.when(F.col("crowded"), F.col(f"p{longer}")).otherwise(F.col(f"p{short}"))
+        dealt = flagged.where("crowded IS NULL OR still IS NULL").select(prefix.alias("prefix"), "region", "d0", "at", "units")
+        nodes = suffixes.select(f"p{short}", f"p{longer}", "whole", "region", "d0", "at")
+        nodes = cut(nodes.join(crowded, f"p{short}", "left_semi").join(still, f"p{longer}", "left_semi").select("whole", "region", "d0", "at"))
+        least = cut(nodes.groupBy("whole").agg(F.min("d0").alias("least")))
+        late = nodes.join(least, "whole").where("least < d0").select("region", F.array("at", F.lit(window)).alias("spans"))
+    else:  # no prefix to lengthen
+        dealt, late = suffixes.select(F.col(f"p{short}").alias("prefix"), "region", "d0", "at", "units"), None
     found = dealt.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), _FOUND)
-
-    nodes = several.mapInArrow(made, schema).select(f"p{short}", f"p{longer}", "whole", "region", "d0", "at")
-    nodes = cut(nodes.join(crowded, f"p{short}", "left_semi").join(still, f"p{longer}", "left_semi").select("whole", "region", "d0", "at"))
-    least = cut(nodes.groupBy("whole").agg(F.min("d0").alias("least")))
-    late = nodes.join(least, "whole").where("least < d0").select("region", F.array("at", F.lit(window)).alias("spans"))
-    spans = found.unionByName(late).groupBy("region").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a region has few suffixes
+    found = found if late is None else found.unionByName(late)
+    spans = found.groupBy("region").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a region has few suffixes
 
     decided = cut(distinct.join(spans, "region", "left").where("d1 > d0 OR spans IS NOT NULL").select("region", "d0", "spans"))
     marks = rows.select("key", "region").join(decided, "region")
@@ -206,20 +227,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, prefixes: tup
         cutter = WordCutter(window, gram)
         for batch in batches:
             counts, removed, hashes, kept_texts = [], [], [], []
-            for text, mark in zip(batch.column(1), batch.column(2), strict=True):
-                text, mark = text.as_py() or "", mark.as_py()
-                total = sum(len(words) for _, words in words_in_segments(text))
-                gone = covered(cutter.blocks([text]), mark, window, total) if mark else None
-                digest, parts = hashlib.sha256(), []
+            texts_here = [t.as_py() or "" for t in batch.column(1)]
+            for text in texts_here:
+                counts.append(sum(len(words) for _, words in words_in_segments(text)))
+            gone = covered(cutter, texts_here, batch.column(2).to_pylist(), counts)
+            for i, text in enumerate(texts_here):
+                digest, parts, out = hashlib.sha256(), [], gone.get(i)
                 for base, words in words_in_segments(text):
-                    if gone is not None:
-                        words = [words[i] for i in np.flatnonzero(~gone[base : base + len(words)]).tolist()]
+                    if out is not None:
+                        words = list(compress(words, (~out[base : base + len(words)]).tolist()))
                     if words:
                         part = b" ".join(words) if not parts else b" " + b" ".join(words)
                         digest.update(part)
                         parts.append(part if texts else b"")
-                counts.append(total)
-                removed.append(0 if gone is None else int(np.count_nonzero(gone)))
+                removed.append(0 if out is None else int(np.count_nonzero(out)))
                 hashes.append(digest.hexdigest())
                 kept_texts.append(b"".join(parts))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())]

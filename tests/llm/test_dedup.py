@@ -67,6 +67,13 @@ def test_words_that_plain_hashes_confuse(spark):
     assert [r.n_removed for r in got] == [0, 0]
 
 
+def test_long_words(spark):
+    long = [c * 300 for c in "abcdefghijklmnop"]
+    rows = [(1, " ".join(long)), (2, "x " + " ".join(long[1:])), (3, " ".join(long[:12] + ["a" * 299] + long[13:]))]
+    got = suffixtrees.dedup(make_docs(spark, rows), texts=False).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == words_expected(rows, 13)
+
+
 def test_null_ids_come_last(spark):
     text = " ".join(map(str, range(20)))
     got = suffixtrees.dedup(make_docs(spark, [(None, text), (3, text), (None, text)])).collect()
@@ -75,13 +82,11 @@ def test_null_ids_come_last(spark):
 
 def test_subtrees():
     rng = random.Random(7)
-    for alphabet, n in ((2, 60), (3, 200), (1, 9)):
-        suffixes = np.array([[rng.randrange(1, alphabet + 1) if j < rng.choice((4, 6)) else 0 for j in range(6)] for _ in range(n)], dtype=np.uint32)
-        suffixes[np.cumsum(suffixes == 0, axis=1) > 0] = 0
+    for alphabet, n in ((["a", "ab"], 60), (["x", "y\x01", "y", "é", "\x00"], 200), (["w"], 9), ([f"v{i}" for i in range(300)], 50)):
+        rows = [[rng.choice(alphabet) for _ in range(rng.choice((2, 4, 6)))] for _ in range(n)]
         first = np.array([rng.randrange(5) for _ in range(n)])
-        rows = [tuple(x for x in r if x) for r in suffixes.tolist()]
         for least in (2, 4):
-            got = suffixtrees.repeated_depths(suffixes, first, least)
+            got = suffixtrees.repeated_depths([" ".join(r).encode() for r in rows], first, least)
             for i, row in enumerate(rows):
                 depths = [k for k in range(len(row), least - 1, -1) if any(first[j] < first[i] and rows[j][:k] == row[:k] for j in range(n))]
                 assert got[i] == (depths[0] if depths else 0)
