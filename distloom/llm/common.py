@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from distloom.plans.stored import shared_folder
+
 ASCII_SPACE = r"\x20\x09-\x0D"
 
 
@@ -15,17 +14,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local session has a new one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("distloom.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="distloom-")
-        spark.conf.set("distloom.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: short lineage, and nothing is computed twice."""
     return cut_observed(df)[0]
@@ -34,7 +22,7 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     """What cut returns, and aggregates of df that are taken while it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     seen = Observation() if measures else None
     (df.observe(seen, *[c.alias(n) for n, c in measures.items()]) if seen else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get if seen else {}
