@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from distloom.llm.common import cut, discard
+from distloom.llm.common import cut, cut_observed, discard
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -96,9 +96,10 @@ def balance(sizes: DataFrame, aims: DataFrame, most: float = MOST) -> DataFrame:
         step = F.greatest(F.col("x") - leap, F.least(F.col("x") + leap, step))
         inside = (F.col("low").isNull() | (step > F.col("low"))) & (F.col("high").isNull() | (step < F.col("high")))
         x = F.when(F.col("taken").isNull() | (F.col("gap") <= TOLERANCE), F.col("x")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-        then, state = state, cut(met.select("source", "target", "mean", x.alias("x"), "low", "high", "gap"))
+        then = state
+        state, seen = cut_observed(met.select("source", "target", "mean", x.alias("x"), "low", "high", "gap"), gap=F.max("gap"))
         discard(then)
-        if not state.where(F.col("gap") > TOLERANCE).limit(1).count():
+        if (seen["gap"] or 0.0) <= TOLERANCE:
             break
     discard(counted)
     # Sums of doubles depend on their order in the last digits; rounded, reruns decide alike.

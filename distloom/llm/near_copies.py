@@ -36,8 +36,9 @@ FREQUENT = 4
 MOST_FREQUENT = 200_000
 #: Members of a group that one task compares with the group's centre.
 FAN = 512
-#: Longs of a set's parity bits.
-PARITY = 4
+#: Longs of a set's parity bits, and of their folded form that postings carry.
+PARITY = 16
+FOLDED = 4
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -66,6 +67,11 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 _BITS = [f"b{i}" for i in range(PARITY)]
 
 
+def _folded(name: str) -> list[Column]:
+    """Parities of FOLDED longs: bits that fall together are parities of both."""
+    return [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"b{i}") for i in range(k, PARITY, FOLDED)]).alias(f"{name}{k}") for k in range(FOLDED)]
+
+
 def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of shingles that many texts of a sample hold; at most MOST_FREQUENT reach the driver."""
 
@@ -114,9 +120,9 @@ def _needed(similarity: float) -> Column:
     return F.ceil((F.col("nu") + F.col("nv")) * F.lit(similarity / (1 + similarity)) - 1e-9)
 
 
-def _alike(similarity: float) -> Column:
+def _alike(similarity: float, longs: int) -> Column:
     """Whether parities (b0, ... of u; c0, ... of v) allow the similarity."""
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(PARITY)])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(longs)])
     return apart <= F.col("nu") + F.col("nv") - 2 * _needed(similarity)
 
 
@@ -150,7 +156,9 @@ def _compared(size: int, similarity: float):
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the similarity, written out."""
-    pairs = cut(pairs.distinct())
+    of_u = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), *_BITS)
+    of_v = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), *[F.col(b).alias(f"c{i}") for i, b in enumerate(_BITS)])
+    pairs = cut(pairs.distinct().join(of_u, "u").join(of_v, "v").where(_alike(similarity, PARITY)).select("u", "v"))
     parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts"))
     centres = parts.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"))
     members = pairs.join(parts, "u").select(F.col("v").alias("id"), "u", F.pmod(F.hash("v"), "parts").alias("part"), "v")
@@ -171,22 +179,19 @@ def grouped(docs: DataFrame, sets: DataFrame, proposed: DataFrame, size: int, si
     lists = cut(lists.where("members > 1").select("s", "id", "n", "p", "first"))
     star = lists.where(F.col("first.id") != F.col("id"))
     star = star.select(F.col("first.id").alias("u"), F.col("first.n").alias("nu"), F.col("first.p").alias("pu"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"))
-    star = star.where(_early(similarity)).select("u", "v").distinct().unionByName(proposed)
-    of_u = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), *_BITS)
-    of_v = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), *[F.col(b).alias(f"c{i}") for i, b in enumerate(_BITS)])
-    star = star.join(of_u, "u").join(of_v, "v").where(_alike(similarity)).select("u", "v")
+    star = star.where(_early(similarity)).select("u", "v").unionByName(proposed)
     first = components(verified(star, sets, docs, size, similarity))
     known = first.select(F.col("node").alias("id"), F.col("root").alias("known"))
     left = lists.select("s", "id", "n", "p").join(known, "id", "left").withColumn("known", F.coalesce("known", "id"))
     several = F.min("known").over(whole) != F.max("known").over(whole)
     length = F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int")
     left = left.withColumn("several", several).where("several").select("s", "id", "n", "p", "known", length.alias("length"))
-    left = cut(left.join(sets.select("id", *_BITS), "id"))
+    left = cut(left.join(sets.select("id", *_folded("b")), "id"))
     discard(lists)
-    a = left.select("s", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("known").alias("ku"), *_BITS, F.explode(F.array(F.col("length"), F.col("length") + 1)).alias("length"))
-    b = left.select("s", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("known").alias("kv"), *[F.col(b).alias(f"c{i}") for i, b in enumerate(_BITS)], "length")
+    a = left.select("s", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("known").alias("ku"), *[f"b{i}" for i in range(FOLDED)], F.explode(F.array(F.col("length"), F.col("length") + 1)).alias("length"))
+    b = left.select("s", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("known").alias("kv"), *[F.col(f"b{i}").alias(f"c{i}") for i in range(FOLDED)], "length")
     shorter = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
-    pairs = a.join(b.hint("merge"), ["s", "length"]).where(shorter & (F.col("ku") != F.col("kv")) & _early(similarity) & _alike(similarity)).select("u", "v").distinct()
+    pairs = a.join(b.hint("merge"), ["s", "length"]).where(shorter & (F.col("ku") != F.col("kv")) & _early(similarity) & _alike(similarity, FOLDED)).select("u", "v")
     more = verified(pairs, sets, docs, size, similarity)
     discard(left)
     # Groups that `more` joins: components of the few groups it names.

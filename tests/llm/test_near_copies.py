@@ -56,5 +56,5 @@ def test_parities_never_differ_in_more_bits_than_sets_in_elements():
     for n in (1, 20, 300):
         a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
         b = np.unique(np.concatenate([a[: n * 3 // 4], rng.integers(-(1 << 62), 1 << 62, n // 3)]))
-        apart = int(np.bitwise_count(near_copies.parity(a) ^ near_copies.parity(b)).sum())
+        apart = int(np.bitwise_count((near_copies.parity(a) ^ near_copies.parity(b)).view(np.uint64)).sum())
         assert apart <= len(np.setxor1d(a, b)) and near_copies.parity(a).shape == (near_copies.PARITY,)
