@@ -4,7 +4,7 @@ At 0.8 two SimHashes differ in about ten of 64 bits, beyond any index of equal b
 these pairs: shingle hashes are put in one order for all texts; a set of n posts its n - ceil(similarity * n) + 1 first ones,
 and two sets that reach the similarity share a posting. Any order gives all pairs; here shingles that are
 frequent in a sample of the texts come last, so that few lists are long. Candidates fit in length, share a posting early
-enough for the similarity, differ in no more parity bits than it allows, and are verified by their whole sets: first each member of a list against the list's smallest, together
+enough for the similarity, differ in no more parity bits than it allows, share enough of their prefixes, and are verified by their whole sets: first each member of a list against the list's smallest, together
 with the pairs that the SimHash index proposes; what these link is one group. Then members of different groups that share a
 list and fit in length are compared, so that many copies of one text do not meet each other in all pairs.
 
@@ -126,6 +126,12 @@ def _alike(similarity: float, longs: int) -> Column:
     return apart <= F.col("nu") + F.col("nv") - 2 * _needed(similarity)
 
 
+def _enough(similarity: float) -> Column:
+    """Whether prefixes pu and pv share enough: what two sets share besides lies behind the prefix that ends first."""
+    rest = F.greatest(F.col("nu") - F.size("pu"), F.col("nv") - F.size("pv"))
+    return F.size(F.array_intersect("pu", "pv")) + rest >= _needed(similarity)
+
+
 def _early(similarity: float) -> Column:
     """Whether a posting at places pu and pv, if it is the first that two sets share, leaves enough of both, and their sizes fit."""
     rest = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
@@ -159,6 +165,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, simi
     of_u = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), *_BITS)
     of_v = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), *[F.col(b).alias(f"c{i}") for i, b in enumerate(_BITS)])
     pairs = cut(pairs.distinct().join(of_u, "u").join(of_v, "v").where(_alike(similarity, PARITY)).select("u", "v"))
+    asked, _ = sieve(sets.select("id", "n", "prefix"), pairs.select(F.explode(F.array("u", "v")).alias("id")), "id")
+    of_u = asked.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("prefix").alias("pu"))
+    of_v = asked.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("prefix").alias("pv"))
+    pairs = cut(pairs.join(of_u, "u").join(of_v, "v").where(_enough(similarity)).select("u", "v"))
     parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts"))
     centres = parts.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"))
     members = pairs.join(parts, "u").select(F.col("v").alias("id"), "u", F.pmod(F.hash("v"), "parts").alias("part"), "v")
