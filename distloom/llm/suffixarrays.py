@@ -126,7 +126,7 @@ def _shards(window: int):
             hit = hit[np.lexsort((offset[hit], owner[hit]))]
             o, w = owner[hit], offset[hit]
             new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1] + 1)])[: len(hit)])
-            last = np.append(new[1:], len(hit)) - 1
+            last = np.append(new[1:], len(hit))[: len(new)] - 1
             spans = np.stack([w[new], w[last] - w[new] + window], axis=1).astype(np.int32)  # neighbouring windows as one
             k = len(new)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * 2), pa.array(spans.ravel()))

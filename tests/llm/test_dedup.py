@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from distloom.llm import regions, suffixarrays, suffixtrees
@@ -118,3 +119,14 @@ def test_suffix_array_and_prefixes():
         got = suffixarrays.common_prefixes(words, order, depth)
         for a, b, g in zip(heads, heads[1:], got[1:], strict=False):
             assert g == next((i for i in range(depth) if a[i] != b[i]), depth)
+
+
+def test_shards_without_a_repeated_window():
+    """Regions of one anchor of which no window stands twice, long and short, whole and split."""
+    rng = random.Random(8)
+    for size, parts in ((300, 1), (300, 2), (90, 1)):
+        units = [bytes(rng.randrange(256) for _ in range(size)) for _ in range(2)]
+        rows = {"shard": [1, 1], "region": [b"a", b"b"], "n": [1, 1], "parts": pa.array([parts] * 2, pa.int32()), "units": units}
+        got = pa.Table.from_batches(suffixarrays._shards(200)(iter([pa.RecordBatch.from_pydict(rows)])))
+        windows = 2 * (size - 199) if parts > 1 else 0
+        assert (got.num_rows, got.column("spans").null_count, sum(got.column("again").to_pylist())) == (windows, windows, 0)
