@@ -23,7 +23,7 @@ from distloom.functions import columns as C
 from distloom.functions.images import Window as Around
 from distloom.functions.images import follow, form_at, open_image
 from distloom.functions.lzw import content_of
-from distloom.plans.stored import stored
+from distloom.plans.stored import BATCH, small_batches, stored
 
 PRODUCT = ["dist", "product"]
 KEY = [*PRODUCT, "line_no"]
@@ -193,13 +193,17 @@ def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) ->
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uri, image = None, None
         for batch in batches:
-            out = []
+            out, size = [], 0
             for r in batch.itertuples():
                 if r.uri != uri:
                     if image is not None:
                         image.close()
                     uri, image = r.uri, open_image(r.uri)
                 out.append((r, _payload(image, r, options)))
+                size += sum(len(x) for x in out[-1][1][:2] if x is not None)
+                if size >= BATCH:
+                    yield _unpacked(out, options)
+                    out, size = [], 0
             yield _unpacked(out, options)
         if image is not None:
             image.close()
@@ -268,7 +272,8 @@ def write_unpacked(unpacked: DataFrame, path: str) -> None:
     last = F.row_number().over(Window.partitionBy(*PRODUCT, "out_path").orderBy(F.desc("position")))
     packed = unpacked.where("z_content IS NOT NULL").withColumn("__last", last).where(F.col("__last") == 1).select(*PRODUCT, F.concat("out_path", F.lit(".Z")).alias("out_path"), F.lit("packed").alias("action"), F.lit(None).cast("int").alias("perms"), F.col("z_content").alias("content"))
     packed = packed.join(taken, [*PRODUCT, "out_path"], "left_anti").select(*columns)
-    final_files(unpacked).where("action != 'packed'").select(*columns).unionByName(packed).write.partitionBy("dist").parquet(path)
+    with small_batches(unpacked.sparkSession):
+        final_files(unpacked).where("action != 'packed'").select(*columns).unionByName(packed).write.partitionBy("dist").parquet(path)
 
 
 def export_files(files: DataFrame, folder: str) -> DataFrame:

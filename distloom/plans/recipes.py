@@ -86,6 +86,7 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Literal codes of a `.Z` stream before its table is cleared: with the clear code 31 groups of eight, all nine bits wide.
 LITERALS = 247
+_PLACES = np.arange(8, dtype="<u2")
 
 
 def _packed(data: bytes) -> bytes:
@@ -95,9 +96,12 @@ def _packed(data: bytes) -> bytes:
     rows = np.zeros((blocks, LITERALS + 1), dtype="<u2")
     rows[:, LITERALS] = 256
     rows[:, :LITERALS].flat[: len(codes)] = codes
-    flat = rows.ravel()[: len(codes) + max(0, blocks - 1)]
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
-    return b"\x1f\x9d\x8c" + np.packbits(bits.ravel(), bitorder="little").tobytes()
+    n = len(codes) + max(0, blocks - 1)
+    groups = rows.reshape(-1, 8)  # eight codes of nine bits are nine bytes: code k ends byte k + 1 and begins in byte k
+    out = np.zeros((len(groups), 9), dtype=np.uint8)
+    out[:, :8] = groups << _PLACES
+    out[:, 1:] |= (groups >> (8 - _PLACES)).astype(np.uint8)
+    return b"\x1f\x9d\x8c" + out.tobytes()[: (9 * n + 7) // 8]
 
 
 @F.pandas_udf(BinaryType())
@@ -136,7 +140,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("part", F.floor(F.col("id") / IMAGE_DOCS))
     place = Window.partitionBy("part").orderBy("id", F.md5("raw"))
     docs = docs.withColumn("line_no", F.row_number().over(place) + 1)
-    payload = F.when(F.expr(RAW), F.col("raw")).when(F.expr(BROKEN), F.lit(b"\x1f\x9d\x88")).otherwise(packed("raw"))
+    payload = F.when(F.expr(RAW), F.col("raw")).when(F.expr(BROKEN), F.lit(b"\x1f\x9d\x88")).otherwise(packed(F.when(F.expr(f"NOT ({RAW}) AND NOT ({BROKEN})"), F.col("raw"))))
     fname = F.concat(F.lit("docs/"), F.when(F.expr(TWIN), F.concat(F.lit("./"), (F.col("id") - 1).cast("string"))).otherwise(F.col("id").cast("string")), F.lit(".txt"))
     docs = docs.withColumns({"payload": payload, "fname": fname})
     name = F.encode(F.concat(F.expr(FORM), F.col("fname")), "ISO-8859-1")

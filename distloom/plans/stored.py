@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch of rows that crosses to Python.
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder of spark.checkpoint.dir, which driver and executors share; where none is set, a local session has its own."""
@@ -19,8 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While an action runs inside, a batch ends at BATCH bytes, whatever the size of the rows; the session's own setting holds again afterwards."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
