@@ -24,29 +24,37 @@ def is_blank(line: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """Runs of anything but ASCII white space."""
-    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
+    odd = (line == "") | line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for space in "\t\n\x0b\x0c\r":
+        odd |= line.contains(space)
+    return F.when(odd, F.filter(F.split(line, r"\s+"), lambda t: t != "")).when(line.isNotNull(), F.split(line, " "))
 
 
 def octal(c: Column) -> Column:
     """Base-8 int; what is no such number, or does not fit 32 bits, is 0."""
+    plain = (F.length(c) <= 10) & (c != "") & (F.translate(c, "01234567", "") == "")  # most are; no pattern is matched then
     digits = F.regexp_replace(c, "^[+-]?0*", "")
     value = F.conv(F.when(digits == "", "0").otherwise(digits), 8, 10).cast("long")
     signed = F.when(c.startswith("-"), -value).otherwise(value)
     fits = c.rlike("^[+-]?[0-7]+$") & (F.length(digits) <= 11)
     number = F.when(fits, signed)
-    return F.coalesce(F.when(number.between(-(1 << 31), (1 << 31) - 1), number), F.lit(0)).cast("int")
+    other = F.coalesce(F.when(number.between(-(1 << 31), (1 << 31) - 1), number), F.lit(0))
+    return F.when(plain, F.conv(c, 8, 10).cast("long")).otherwise(other).cast("int")
 
 
 def whole_number(c: Column) -> Column:
     """Base-10 long; anything else is 0."""
     t = trimmed(c)
-    return F.coalesce(F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint")), F.lit(0).cast("long"))
+    plain = (F.length(c) <= 18) & (c != "") & (F.translate(c, "0123456789", "") == "")
+    return F.when(plain, c.try_cast("bigint")).otherwise(F.coalesce(F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint")), F.lit(0).cast("long")))
 
 
 def subproduct(subgroup: Column) -> Column:
     """The first two non-empty dotted parts joined again; null if there are fewer."""
     parts = F.filter(F.split(subgroup, "[.]"), lambda t: t != "")
-    return F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 1, 2), "."))
+    whole = ~subgroup.startswith(".") & ~subgroup.endswith(".") & ~subgroup.contains("..")  # no part is empty
+    other = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 1, 2), "."))
+    return F.when(subgroup.contains("."), F.when(whole, F.substring_index(subgroup, ".", 2)).otherwise(other))
 
 
 def looks_like_subgroup(token: Column) -> Column:
@@ -60,8 +68,17 @@ def attributes(text: Column) -> Column:
 
 def attribute(items: Column, key: str) -> Column:
     """The value of the last attribute of that key (any case) that has one; null if none has."""
-    own = F.filter(items, lambda i: F.lower(F.substring_index(i, "(", 1)).eqNullSafe(key) & i.contains("("))
-    item = F.try_element_at(own, F.lit(-1))
+    return item_value(attribute_item(items, key), key)
+
+
+def attribute_item(items: Column, key: str) -> Column:
+    """The last attribute of that key (any case) that has a value, as it stands."""
+    own = F.filter(items, lambda i: F.lower(F.left(i, F.lit(len(key) + 1))) == f"{key}(")
+    return F.try_element_at(own, F.lit(-1))
+
+
+def item_value(item: Column, key: str) -> Column:
+    """The value of an attribute of that key."""
     body = F.substring(item, len(key) + 2, 1 << 30)
     closed = item.endswith(")") & ~item.endswith(":)")
     return F.when(closed, F.left(body, F.length(body) - 1)).otherwise(trimmed(body))

@@ -17,6 +17,8 @@ HEADER = 13  # bytes before the first record of an image
 KEY = ["dist", "product", "line_no"]
 #: Lines of one stretch of an image that one task sums up.
 STRETCH = 1 << 16
+#: Columns from which offsets, paths, warnings and errors come.
+_NEEDED = ["ftype", "fname", "subproduct", "payload_size", "status", "no_image"]
 
 
 @dataclass(frozen=True)
@@ -29,14 +31,17 @@ class Index:
 def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     """One row a non-blank line: its fields, and `status`: null if accepted, else the warning.
 
-    Whether a token names an image is an equi-join of the few tokens that may, by dist and name, with the dist's files; the engine
-    broadcasts these where they are small. `no_image` tells lines whose subproduct no file of the dist is.
+    Which token names an image is asked once for all lines of a dist whose tokens may name the same images: an equi-join of
+    these few rows with the dist's files. The answers are written, so that the engine knows their size and broadcasts
+    them where they are small. `no_image` tells lines whose subproduct no file of the dist is.
     """
     rows = lines.where(~C.is_blank(F.col("line"))).select(*KEY, C.tokens(F.col("line")).alias("t"))
     rows = rows.withColumn("tail", F.when(F.size("t") >= 7, F.slice("t", 7, 1 << 30)).otherwise(F.array().cast(C.NO_STRINGS)))
-    named = rows.select(*KEY, F.posexplode(F.transform("tail", C.subproduct)).alias("at", "rel_path")).where("rel_path IS NOT NULL")
-    known = named.join(files.select("dist", "rel_path").distinct(), ["dist", "rel_path"], "left_semi").groupBy(*KEY).agg((F.min("at") + 1).alias("known"))
-    rows = rows.join(known, KEY, "left")
+    rows = rows.withColumn("names", F.transform("tail", C.subproduct))
+    asked = ["dist", "names"]
+    named = rows.select(*asked).distinct().select(*asked, F.posexplode_outer("names").alias("at", "rel_path")).where("rel_path IS NOT NULL")
+    known = named.join(files.select("dist", "rel_path").distinct(), ["dist", "rel_path"], "left_semi").groupBy(*asked).agg((F.min("at") + 1).alias("known"))
+    rows = rows.join(stored(known), asked, "left")
     shaped = F.array_position(F.transform("tail", C.looks_like_subgroup), F.lit(True)).cast("int")
     rows = rows.withColumn("at", F.coalesce("known", shaped))
     rows = rows.withColumn("subgroup", F.when(F.col("at") > 0, F.try_element_at("tail", F.col("at"))))
@@ -67,7 +72,10 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
 def with_attributes(rows: DataFrame) -> DataFrame:
     """Adds mach, symval, size, cmpsize and payload_size."""
     rows = rows.withColumn("items", C.attributes(F.col("attrs_raw")))
-    value = lambda key: C.attribute(F.col("items"), key)
+    keys = ("mach", "symval", "size", "cmpsize")
+    held = F.lower("attrs_raw")
+    rows = rows.withColumns({f"item_{key}": F.when(held.contains(f"{key}("), C.attribute_item(F.col("items"), key)) for key in keys})  # a step of its own: each is found once
+    value = lambda key: C.item_value(F.col(f"item_{key}"), key)
     rows = rows.withColumns({
         "mach": F.coalesce(C.trimmed(value("mach")), F.lit("")),
         "symval": F.coalesce(value("symval"), F.lit("")),
@@ -75,7 +83,7 @@ def with_attributes(rows: DataFrame) -> DataFrame:
         "cmpsize": F.coalesce(C.whole_number(value("cmpsize")), F.lit(0)),
     })
     payload = F.when(F.col("ftype") == "f", F.when(F.col("cmpsize") > 0, F.col("cmpsize")).otherwise(F.col("size"))).otherwise(0)
-    return rows.withColumn("payload_size", payload.cast("long")).drop("items")
+    return rows.withColumn("payload_size", payload.cast("long")).drop("items", *[f"item_{key}" for key in keys])
 
 
 def with_offsets(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -104,13 +112,18 @@ def with_paths(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base_name_lower", F.lower("base_name"))
 
 
-def build_index(lines: DataFrame, files: DataFrame, requested: DataFrame | None = None) -> Index:
+def build_index(lines: DataFrame, files: DataFrame, requested: DataFrame | None = None, wanted: list[str] | None = None) -> Index:
     """Entries, warnings and errors of all products. Lines are parsed once, and the result is written out.
 
+    wanted: columns of entries, if not all; attributes that neither these nor the offsets need are then not read from the lines.
+
     A product's first accepted line whose image is missing is an error, and the product then has neither
     entries nor warnings. A requested (dist, product, uri) without lines is an error too.
     """
-    parsed = stored(with_paths(with_attributes(parse_lines(lines, files))))
+    parsed = with_attributes(parse_lines(lines, files))
+    if wanted is not None:
+        parsed = parsed.select(*[c for c in parsed.columns if c in {*KEY, *_NEEDED, *wanted}])
+    parsed = stored(parsed)
     fatal = parsed.where("status IS NULL AND no_image").groupBy("dist", "product").agg(F.min(F.struct("line_no", "subproduct")).alias("x"))
     fatal = fatal.select("dist", "product", "x.*")
     message = F.concat(F.lit("Missing subproduct file '"), F.col("subproduct"), F.lit("' referenced by "), F.col("product"), F.lit(".idb:"), F.col("line_no").cast("string"))
@@ -120,7 +133,8 @@ def build_index(lines: DataFrame, files: DataFrame, requested: DataFrame | None
         unread = requested.join(lines.select("dist", "product").distinct(), ["dist", "product"], "left_anti")
         errors = errors.unionByName(unread.select("dist", "product", F.lit(0).cast("int").alias("line_no"), F.concat(F.lit("Cannot open idb: "), F.col("uri")).alias("message")))
     accepted = whole.where("status IS NULL").drop("status", "no_image")
-    entries = with_offsets(accepted)
+    entries = with_paths(with_offsets(accepted))
+    entries = entries.select(*(wanted or [*[c for c in entries.columns if c != "offset"], "offset"]))
     warnings = whole.where("status IS NOT NULL").select(*KEY, F.col("status").alias("message"))
     return Index(entries, warnings, errors)
 

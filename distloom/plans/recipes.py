@@ -64,6 +64,11 @@ def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dist", "product", "line_no", line.alias("line"))
 
 
+def lineitem_files(spark: SparkSession) -> DataFrame:
+    """The images of lineitem_lines."""
+    return spark.sql(LINEITEM).select("dist", F.concat_ws(".", "product", "image").alias("rel_path")).distinct()
+
+
 #: Columns of an index over `lineitem`; the text of this query also runs in other engines.
 LINEITEM = """
 SELECT concat('d', cast(l_orderkey % 8 AS string)) AS dist, concat('p', cast(l_suppkey % 20 AS string)) AS product,

@@ -43,9 +43,7 @@ def scan_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def large_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = stored(recipes.lineitem_lines(spark, sf_dir))
-    fields = F.split("line", " ")
-    files = lines.select("dist", C.subproduct(fields[6]).alias("rel_path")).distinct()
-    return build_index(lines, files).entries.select("dist", "product", "line_no", "subproduct", "payload_size", "offset")
+    return build_index(lines, stored(recipes.lineitem_files(spark)), wanted=["dist", "product", "line_no", "subproduct", "payload_size", "offset"]).entries
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Golden cases of the column functions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,21 @@ def test_stars_stay_within_a_part(spark):
 
 def test_permissions(spark):
     assert spark.range(1).select(C.permissions(F.lit(0o104755))).first()[0] == 0o755
+
+
+def test_plain_and_odd_tokens_agree(spark):
+    lines = ["a b", " a  b ", "a\tb", "a\x0bb\r", "", " ", "a", "a\xa0b c"]
+    assert values(spark, lines, C.tokens) == [[t for t in re.split(r"[ \t\n\x0b\x0c\r]+", x) if t] for x in lines]
+    groups = ["a.b.c", "a.b", "a..b.c", ".a.b", "a.", "a.b.", "..", "ab", ""]
+    assert values(spark, groups, C.subproduct) == ["a.b", "a.b", "a.b", "a.b", None, "a.b", None, None, None]
+
+
+def test_large_index_reads_only_what_it_shows(spark):
+    """Wanted columns alone are written, and come out as in the whole index."""
+    from distloom.plans.index import build_index
+    from tests.test_index import TOY, files, lines
+
+    wanted = ["product", "line_no", "offset", "base_name"]
+    some, every = build_index(lines(spark, TOY), files(spark), wanted=wanted), build_index(lines(spark, TOY), files(spark))
+    assert some.entries.columns == wanted and sorted(some.entries.collect()) == sorted(every.entries.select(wanted).collect())
+    assert sorted(some.warnings.collect()) == sorted(every.warnings.collect())
