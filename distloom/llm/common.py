@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from distloom.plans.stored import shared_folder
+from distloom.plans.stored import shared_folder, small_batches
 
 ASCII_SPACE = r"\x20\x09-\x0D"
 
@@ -24,7 +24,8 @@ def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     spark = df.sparkSession
     path = shared_folder(spark)
     seen = Observation() if measures else None
-    (df.observe(seen, *[c.alias(n) for n, c in measures.items()]) if seen else df).write.parquet(path)
+    with small_batches(spark):
+        (df.observe(seen, *[c.alias(n) for n, c in measures.items()]) if seen else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get if seen else {}
 
 

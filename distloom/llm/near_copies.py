@@ -181,6 +181,14 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, simi
     return found
 
 
+def _contested(left: DataFrame) -> DataFrame:
+    """The postings (s, known, length, ...) whose list holds a member of another group of nearly its own length; only these can make a pair."""
+    whole = Window.partitionBy("s")
+    near = whole.orderBy("length").rangeBetween(-1, 1)
+    several = lambda over: F.min("known").over(over) != F.max("known").over(over)
+    return left.withColumn("several", several(whole)).where("several").withColumn("several", several(near)).where("several").drop("several")
+
+
 def grouped(docs: DataFrame, sets: DataFrame, proposed: DataFrame, size: int, similarity: float) -> DataFrame:
     """(id, root) of the sets that are linked to others: links of the similarity or more connect a group, whose least id is its root."""
     posted = sets.select("id", "n", F.posexplode("prefix").alias("p", "s"))
@@ -193,9 +201,8 @@ def grouped(docs: DataFrame, sets: DataFrame, proposed: DataFrame, size: int, si
     first = components(verified(star, sets, docs, size, similarity))
     known = first.select(F.col("node").alias("id"), F.col("root").alias("known"))
     left = lists.select("s", "id", "n", "p").join(known, "id", "left").withColumn("known", F.coalesce("known", "id"))
-    several = F.min("known").over(whole) != F.max("known").over(whole)
     length = F.floor(F.log("n") / F.lit(-math.log(similarity)) + 1e-9).cast("int")
-    left = left.withColumn("several", several).where("several").select("s", "id", "n", "p", "known", length.alias("length"))
+    left = _contested(left.withColumn("length", length)).select("s", "id", "n", "p", "known", "length")
     left = cut(left.join(sets.select("id", *_folded("b")), "id"))
     discard(lists)
     a = left.select("s", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("known").alias("ku"), *[f"b{i}" for i in range(FOLDED)], F.explode(F.array(F.col("length"), F.col("length") + 1)).alias("length"))

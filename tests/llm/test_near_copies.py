@@ -58,3 +58,10 @@ def test_parities_never_differ_in_more_bits_than_sets_in_elements():
         b = np.unique(np.concatenate([a[: n * 3 // 4], rng.integers(-(1 << 62), 1 << 62, n // 3)]))
         apart = int(np.bitwise_count((near_copies.parity(a) ^ near_copies.parity(b)).view(np.uint64)).sum())
         assert apart <= len(np.setxor1d(a, b)) and near_copies.parity(a).shape == (near_copies.PARITY,)
+
+
+def test_postings_meet_only_groups_of_their_length(spark):
+    """A long text beside a group of short ones, one short stranger of it, and a list of one group alone."""
+    rows = [(1, i, 5, 10) for i in range(4)] + [(1, 9, 9, 99)] + [(2, i, 5, 10) for i in range(4)] + [(2, 7, 6, 70)] + [(3, i, i, 10) for i in range(4)]
+    left = spark.createDataFrame(rows, "s long, id long, length int, known long")
+    assert sorted((r.s, r.id) for r in near_copies._contested(left).collect()) == [(2, 0), (2, 1), (2, 2), (2, 3), (2, 7)]
