@@ -1,8 +1,8 @@
 """The unpack job: selected entries to content, modes, links and outcomes.
 
 Images are files that are read by range, or small ones whose bytes lie in the image table. Bytes of the second kind
-cross to Python once for each step, beside all requests for the image, never with each request. For files all headers are first
-tested at their own offsets, spread freely; only from the first miss of an image on are its requests followed in order,
+cross to Python once, beside all requests for the image: records are found and payloads decoded in the same pass. For files
+all headers are first tested at their own offsets, spread freely; only from the first miss of an image on are its requests followed in order,
 since drift carries over. Payloads are then read and decoded in one pass, neighbours together, so content is born in
 the last step and never shuffled.
 
@@ -14,8 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ class Options:
     resync_forward: int = 16 << 20
     resync_chunk: int = 1 << 20
     link_fallback: bool = False
+    #: Payloads are read and decoded as ever, but of them only the errors are returned.
+    no_content: bool = False
 
 
 def requests(selected: DataFrame) -> DataFrame:
@@ -73,27 +78,49 @@ def _places(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.where("content IS NULL").select(*IMAGE, "uri"), named.where("content IS NOT NULL").select(*IMAGE, "content")
 
 
-def _followed(image, rows: pd.DataFrame, options: Options) -> pd.DataFrame:
-    """The rows RESOLVED of one image: its requests of each product in order, each product from no drift."""
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), _ARROW[kind]) for c, (_, kind) in zip(columns, kinds, strict=True)], [name for name, _ in kinds])
+
+
+def _followed(image, rows: list, options: Options) -> Iterator[tuple]:
+    """Each request of one image, with place, form, drift and error: rows are in order of product and position, each product from no drift."""
     around = Around(options.resync_back, options.resync_forward, options.resync_chunk)
-    out = []
-    for _, own in rows.sort_values("position").groupby("product", sort=False):
-        wanted = list(zip(own.fname, own.offset.astype(int), strict=True))
-        for (place, form, drift), r in zip(follow(image, wanted, around), own.itertuples(), strict=True):
-            error = None if form is not None else f"Out of sync at {r.offset} (delta={drift})"
-            out.append((r.dist, r.product, r.line_no, r.subproduct, place, form and form.decode("latin-1"), drift, error))
-    return pd.DataFrame(out, columns=_RESOLVED).astype({"want_offset": "Int64", "delta": "Int64"})
+    for _, own in groupby(rows, key=lambda r: r.product):
+        own = list(own)
+        for r, (place, form, drift) in zip(own, follow(image, [(r.fname, int(r.offset)) for r in own], around), strict=True):
+            yield r, place, form and form.decode("latin-1"), drift, None if form is not None else f"Out of sync at {r.offset} (delta={drift})"
+
+
+def _resolved(image, rows: list, options: Options) -> Iterator[tuple]:
+    """The rows RESOLVED of one image."""
+    for r, place, form, drift, error in _followed(image, rows, options):
+        yield r.dist, r.product, r.line_no, r.subproduct, place, form, drift, error
 
 
 def _beside(rows: DataFrame, contents: DataFrame, made: Callable, schema: str) -> DataFrame:
-    """made(image, rows) for all requests of each image whose bytes are in the table."""
+    """made(image, requests) for all requests of each image whose bytes are in the table: one row an image holds both."""
+    order = ["product", "position"]
+    asked = rows.groupBy(*IMAGE).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in {*IMAGE, *order}]))).alias("asked"))
 
-    def run(key: tuple, asked: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
-        return made(open_image(None, image.content.iloc[0]), asked)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for dist, subproduct, asked, content in zip(*(batch.column(c) for c in (*IMAGE, "asked", "content")), strict=True):
+                place = {"dist": dist.as_py(), "subproduct": subproduct.as_py()}
+                for row in made(open_image(None, content.as_py()), [SimpleNamespace(**place, **r) for r in asked.as_py()]):
+                    out.append(row)
+                    size += sum(len(x) for x in row if isinstance(x, bytes))
+                    if size >= BATCH:
+                        yield _batch(out, schema)
+                        out, size = [], 0
+            yield _batch(out, schema)
 
-    rows = rows.join(contents.select(*IMAGE), IMAGE, "left_semi")
-    own = contents.select(*[F.col(c).alias(f"of_{c}") for c in IMAGE], "content")
-    return rows.groupBy(*IMAGE).cogroup(own.join(rows.select(*[F.col(c).alias(f"of_{c}") for c in IMAGE]), ["of_dist", "of_subproduct"], "left_semi").groupBy("of_dist", "of_subproduct")).applyInPandas(run, schema)
+    return contents.join(asked, IMAGE).select(*IMAGE, "asked", "content").mapInArrow(run, schema)
 
 
 def _at_offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,23 +145,22 @@ def _by_place(rows: DataFrame, at: str) -> DataFrame:
     return rows.withColumn("__span", F.floor(F.col(at) / SPAN)).repartition(*IMAGE, "__span").sortWithinPartitions(*IMAGE, at).drop("__span")
 
 
-def resolve_offsets(asked: DataFrame, images: DataFrame, options: Options = Options()) -> DataFrame:
-    """Where the record of each requested file with a payload lies: see RESOLVED.
+def _valid(asked: DataFrame) -> DataFrame:
+    """Requests that may have a record."""
+    return _needs_image(asked).where("payload_size >= 0 AND offset >= 0")
 
-    images: dist, rel_path, uri, and optionally content. delta is the drift that holds after the record.
-    """
-    files, contents = _places(images)
-    rows = _needs_image(asked).select(*KEY, "subproduct", "fname", "offset", "payload_size", "position")
+
+def _refused(asked: DataFrame, images: DataFrame) -> DataFrame:
+    """The rows RESOLVED of requests without an image, and of those that cannot have a record."""
+    rows, known = _needs_image(asked), images.select("dist", F.col("rel_path").alias("subproduct")).distinct()
     failed = lambda df, error: df.select(*KEY, "subproduct", F.lit(None).cast("long").alias("want_offset"), F.lit(None).cast("string").alias("name_variant"), F.lit(None).cast("long").alias("delta"), error.alias("error"))
-    absent = failed(rows.join(images.select("dist", F.col("rel_path").alias("subproduct")), IMAGE, "left_anti"), F.concat(F.lit("Cannot open subproduct file: "), "dist", F.lit("/"), "subproduct"))
-    there = rows.join(images.select("dist", F.col("rel_path").alias("subproduct")).distinct(), IMAGE, "left_semi")
-    valid = "payload_size >= 0 AND offset >= 0"
-    invalid = failed(there.where(f"NOT ({valid})"), F.lit("Invalid payload metadata"))
-    rows = rows.where(valid)
+    absent = failed(rows.join(known, IMAGE, "left_anti"), F.concat(F.lit("Cannot open subproduct file: "), "dist", F.lit("/"), "subproduct"))
+    return absent.unionByName(failed(rows.where("NOT (payload_size >= 0 AND offset >= 0)").join(known, IMAGE, "left_semi"), F.lit("Invalid payload metadata")))
 
-    inside = _beside(rows, contents, lambda image, own: _followed(image, own, options), RESOLVED)
 
-    tested = _by_place(rows.join(files, IMAGE), "offset").select(*KEY, "subproduct", "fname", "offset", "position", "uri")
+def _in_files(asked: DataFrame, files: DataFrame, options: Options) -> DataFrame:
+    """The rows RESOLVED of requests for images that are files."""
+    tested = _by_place(_valid(asked).select(*KEY, "subproduct", "fname", "offset", "position").join(files, IMAGE), "offset").select(*KEY, "subproduct", "fname", "offset", "position", "uri")
     schema = "dist string, product string, line_no int, subproduct string, fname string, offset long, position int, uri string, form string"
     tested = stored(tested.mapInPandas(_at_offsets, schema))
     stream = [*PRODUCT, "subproduct"]
@@ -144,26 +170,45 @@ def resolve_offsets(asked: DataFrame, images: DataFrame, options: Options = Opti
 
     def ordered(rows: pd.DataFrame) -> pd.DataFrame:
         with open_image(rows.uri.iloc[0]) as image:
-            return _followed(image, rows, options)
+            found = pd.DataFrame(_resolved(image, list(rows.sort_values("position").itertuples()), options), columns=_RESOLVED)
+        return found.astype({"want_offset": "Int64", "delta": "Int64"})
 
-    drifted = tested.where("position >= from").drop("form", "from").groupBy(*stream).applyInPandas(ordered, RESOLVED)
-    return absent.unionByName(invalid).unionByName(inside).unionByName(straight).unionByName(drifted)
+    return straight.unionByName(tested.where("position >= from").drop("form", "from").groupBy(*stream).applyInPandas(ordered, RESOLVED))
+
+
+def resolve_offsets(asked: DataFrame, images: DataFrame, options: Options = Options()) -> DataFrame:
+    """Where the record of each requested file with a payload lies: see RESOLVED.
+
+    images: dist, rel_path, uri, and optionally content. delta is the drift that holds after the record.
+    """
+    files, contents = _places(images)
+    rows = _valid(asked).select(*KEY, "subproduct", "fname", "offset", "position")
+    inside = _beside(rows, contents, lambda image, own: _resolved(image, own, options), RESOLVED)
+    return _refused(asked, images).unionByName(inside).unionByName(_in_files(asked, files, options))
 
 
 UNPACKED = "dist string, product string, line_no int, position int, out_path string, action string, perms int, content binary, z_content binary, error string"
 _UNPACKED = [c.split()[0] for c in UNPACKED.split(", ")]
 
 
-def _payload(image, r, options: Options) -> tuple:
-    """content, z_content and error of one located record."""
-    image.seek(int(r.want_offset) + 2 + len(r.name_variant))
+def _payload(image, r, place: int, form: str, options: Options) -> tuple:
+    """content, z_content and error of the record that begins at a place."""
+    image.seek(int(place) + 2 + len(form))
     payload = image.read(int(r.payload_size))
     if len(payload) < r.payload_size:
         return None, None, f"Short read for {r.fname}"
-    if options.no_decompress:
-        return None, payload, None
-    content, failed = content_of(payload)
-    return content, payload if options.keep_z else None, f"LZW decompress failed: {r.fname}" if failed else None
+    content, failed = (None, False) if options.no_decompress else content_of(payload)
+    error = f"LZW decompress failed: {r.fname}" if failed else None
+    if options.no_content:
+        return None, None, error
+    return content, payload if options.no_decompress or options.keep_z else None, error
+
+
+def _found(image, rows: list, options: Options) -> Iterator[tuple]:
+    """The rows UNPACKED of one image whose records are yet to be found."""
+    action = "packed" if options.no_decompress else "file"
+    for r, place, form, _, error in _followed(image, rows, options):
+        yield r.dist, r.product, r.line_no, r.position, r.out_path, action, r.perms, *((None, None, error) if error else _payload(image, r, place, form, options))
 
 
 def _unpacked(rows: list, options: Options) -> pd.DataFrame:
@@ -183,12 +228,12 @@ def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) ->
     path = F.when(is_link & F.lit(options.link_fallback), F.concat("out_path", F.lit(".link.txt"))).otherwise(F.col("out_path"))
     mode = F.when(is_link, F.when(F.lit(options.link_fallback), F.lit(0o644))).otherwise(perms)
     made = simple.select(*KEY, "position", path.alias("out_path"), action.alias("action"), mode.alias("perms"), content.alias("content"), binary.alias("z_content"), text.alias("error"))
-    located = stored(resolve_offsets(asked, images, options).drop("delta"))
+    files, contents = _places(images)
+    located = stored(_refused(asked, images).unionByName(_in_files(asked, files, options)).drop("delta"))
     wanted = _needs_image(asked).select(*KEY, "position", "out_path", "fname", "payload_size", perms.alias("perms"))
     rows = wanted.join(located, KEY)
     failed = rows.where("error IS NOT NULL").select(*KEY, "position", "out_path", F.lit("packed" if options.no_decompress else "file").alias("action"), "perms", binary.alias("content"), binary.alias("z_content"), "error")
     rows = rows.where("error IS NULL").drop("error")
-    files, contents = _places(images)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uri, image = None, None
@@ -199,7 +244,7 @@ def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) ->
                     if image is not None:
                         image.close()
                     uri, image = r.uri, open_image(r.uri)
-                out.append((r, _payload(image, r, options)))
+                out.append((r, _payload(image, r, r.want_offset, r.name_variant, options)))
                 size += sum(len(x) for x in out[-1][1][:2] if x is not None)
                 if size >= BATCH:
                     yield _unpacked(out, options)
@@ -209,7 +254,8 @@ def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) ->
             image.close()
 
     from_files = _by_place(rows.join(files, IMAGE), "want_offset").mapInPandas(read, UNPACKED)
-    inside = _beside(rows, contents, lambda image, own: _unpacked([(r, _payload(image, r, options)) for r in own.itertuples()], options), UNPACKED)
+    own = _valid(asked).select(*KEY, "subproduct", "position", "out_path", "fname", "offset", "payload_size", perms.alias("perms"))
+    inside = _beside(own, contents, lambda image, rows: _found(image, rows, options), UNPACKED)
     return made.unionByName(failed).unionByName(from_files).unionByName(inside)
 
 

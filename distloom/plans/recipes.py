@@ -157,20 +157,27 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_images(records: DataFrame) -> DataFrame:
-    """(dist, rel_path, uri, content): 13 header bytes and the records in line order; some images lack their last byte."""
+def document_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an image: dist, product, content (13 header bytes and the records in line order; some images lack their last byte), and the index lines of its records."""
+    records = document_records(spark, sf_dir)
+    line = F.concat(F.lit("f 0644 root sys "), "fname", F.lit(" src/"), "fname", F.lit(" "), "product", F.lit(".sw.base size("), "size", F.lit(") cmpsize("), "packed", F.lit(")"))
     body = F.expr("listagg(record) WITHIN GROUP (ORDER BY line_no)")
-    made = records.groupBy("dist", "product", "part").agg(F.concat(F.lit(b"im001V405P00\n"), body).alias("body"))
+    rows = records.select("dist", "product", "part", "line_no", "record", line.alias("line"))
+    made = rows.groupBy("dist", "product", "part").agg(F.concat(F.lit(b"im001V405P00\n"), body).alias("body"), F.collect_list(F.struct("line_no", "line")).alias("lines"))
     content = F.when(F.expr(CUT), F.substring("body", F.lit(1), F.length("body") - 1)).otherwise(F.col("body"))
-    return made.select("dist", F.concat("product", F.lit(".sw")).alias("rel_path"), F.lit("").alias("uri"), content.alias("content"))
+    return made.select("dist", "product", content.alias("content"), "lines")
+
 
+def document_images(made: DataFrame) -> DataFrame:
+    """(dist, rel_path, uri, content) of document_archive."""
+    return made.select("dist", F.concat("product", F.lit(".sw")).alias("rel_path"), F.lit("").alias("uri"), "content")
 
-def document_lines(records: DataFrame) -> DataFrame:
+
+def document_lines(made: DataFrame) -> DataFrame:
     """Index lines of the records, and the PLAIN ones of each product."""
-    line = F.concat(F.lit("f 0644 root sys "), "fname", F.lit(" src/"), "fname", F.lit(" "), "product", F.lit(".sw.base size("), "size", F.lit(") cmpsize("), "packed", F.lit(")"))
-    own = records.select("dist", "product", "line_no", line.alias("line"))
+    own = made.select("dist", "product", F.explode("lines").alias("x")).select("dist", "product", "x.line_no", "x.line")
     more = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(fields).alias("fields"), F.lit(rest).alias("rest")) for n, fields, rest in PLAIN])).alias("x")
-    plain = records.select("dist", "product").distinct().select("dist", "product", more)
+    plain = made.select("dist", "product", more)
     return own.unionByName(plain.select("dist", "product", F.col("x.n").alias("line_no"), F.concat(F.col("x.fields"), F.lit(" "), "product", F.lit(".sw.base "), F.col("x.rest")).alias("line")))
 
 
