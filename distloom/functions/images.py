@@ -12,13 +12,18 @@ from typing import BinaryIO
 LEAST_CHUNK = 4096
 
 
+def find_store(uri: str) -> tuple:
+    """The Arrow filesystem of a uri, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/*", "/", uri))
+
+
 def open_image(uri: str | None, content: bytes | None = None) -> BinaryIO:
     """A seekable file: the given content, or the file at uri in any store that Arrow's filesystems reach."""
     if content is not None:
         return io.BytesIO(content)
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(re.sub("^file:/*", "/", uri))
+    store, path = find_store(uri)
     return store.open_input_file(path)
 
 

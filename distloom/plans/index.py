@@ -112,6 +112,23 @@ def with_paths(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base_name_lower", F.lower("base_name"))
 
 
+def _errors(parsed: DataFrame, lines: DataFrame, requested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Each product's first accepted line whose image is missing, and the errors: these, and requested products without lines."""
+    fatal = parsed.where("status IS NULL AND no_image").groupBy("dist", "product").agg(F.min(F.struct("line_no", "subproduct")).alias("x"))
+    fatal = fatal.select("dist", "product", "x.*")
+    message = F.concat(F.lit("Missing subproduct file '"), F.col("subproduct"), F.lit("' referenced by "), F.col("product"), F.lit(".idb:"), F.col("line_no").cast("string"))
+    errors = fatal.select(*KEY, message.alias("message"))
+    if requested is not None:
+        unread = requested.join(lines.select("dist", "product").distinct(), ["dist", "product"], "left_anti")
+        errors = errors.unionByName(unread.select("dist", "product", F.lit(0).cast("int").alias("line_no"), F.concat(F.lit("Cannot open idb: "), F.col("uri")).alias("message")))
+    return fatal, errors
+
+
+def index_errors(lines: DataFrame, files: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """The errors of build_index alone; attributes, which they do not need, are not read from the lines."""
+    return _errors(stored(parse_lines(lines, files).select(*KEY, "subproduct", "status", "no_image")), lines, requested)[1]
+
+
 def build_index(lines: DataFrame, files: DataFrame, requested: DataFrame | None = None, wanted: list[str] | None = None) -> Index:
     """Entries, warnings and errors of all products. Lines are parsed once, and the result is written out.
 
@@ -124,14 +141,8 @@ def build_index(lines: DataFrame, files: DataFrame, requested: DataFrame | None
     if wanted is not None:
         parsed = parsed.select(*[c for c in parsed.columns if c in {*KEY, *_NEEDED, *wanted}])
     parsed = stored(parsed)
-    fatal = parsed.where("status IS NULL AND no_image").groupBy("dist", "product").agg(F.min(F.struct("line_no", "subproduct")).alias("x"))
-    fatal = fatal.select("dist", "product", "x.*")
-    message = F.concat(F.lit("Missing subproduct file '"), F.col("subproduct"), F.lit("' referenced by "), F.col("product"), F.lit(".idb:"), F.col("line_no").cast("string"))
-    errors = fatal.select(*KEY, message.alias("message"))
+    fatal, errors = _errors(parsed, lines, requested)
     whole = parsed.join(fatal.select("dist", "product"), ["dist", "product"], "left_anti")
-    if requested is not None:
-        unread = requested.join(lines.select("dist", "product").distinct(), ["dist", "product"], "left_anti")
-        errors = errors.unionByName(unread.select("dist", "product", F.lit(0).cast("int").alias("line_no"), F.concat(F.lit("Cannot open idb: "), F.col("uri")).alias("message")))
     accepted = whole.where("status IS NULL").drop("status", "no_image")
     entries = with_paths(with_offsets(accepted))
     entries = entries.select(*(wanted or [*[c for c in entries.columns if c != "offset"], "offset"]))

@@ -1,7 +1,7 @@
 """Reading dist directories: index files, their lines, and what else lies beside them.
 
-Directories are listed through Hadoop's file system, which, unlike Spark's readers, shows files whose names begin
-with `_` or `.`; such index files are read by Arrow, all others by `binaryFile`.
+The driver finds the directories, through Hadoop's file system; tasks list them and read index files through Arrow's,
+which, unlike Spark's readers, show files whose names begin with `_` or `.`.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from distloom.functions.images import open_image
+from distloom.functions.images import find_store, open_image
+from distloom.plans.stored import BATCH
 
 _INDEX = r"(?i)/([^/]+)\.idb$"
 
@@ -21,16 +22,34 @@ def _place(path: Column) -> list[Column]:
     return [F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("dist"), F.regexp_extract(path, _INDEX, 1).alias("product")]
 
 
+def _inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(uri, length) of the files directly in directories. As Hadoop does, a local store's checksum files are passed over."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri in batch.uri:
+            store, path = find_store(uri)
+            found = [f for f in store.get_file_info(fs.FileSelector(path)) if f.type != fs.FileType.Directory]
+            if isinstance(store, fs.LocalFileSystem):
+                found = [f for f in found if not (f.base_name.startswith(".") and f.base_name.endswith(".crc"))]
+            yield pd.DataFrame({"uri": [f"{uri}/{f.base_name}" for f in found], "length": [f.size for f in found]}).astype({"uri": object, "length": "int64"})
+
+
 def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(uri, length) of the files directly in the given directories, or of the given files (globs allowed): metadata only."""
-    hadoop, found = spark._jvm.org.apache.hadoop.fs, []
+    """(uri, length) of the files directly in the given directories, or of the given files (globs allowed): metadata only. Each directory is listed by a task."""
+    hadoop, folders, files = spark._jvm.org.apache.hadoop.fs, [], []
     for path in [paths] if isinstance(paths, str) else paths:
         place = hadoop.Path(path)
         store = place.getFileSystem(spark._jsc.hadoopConfiguration())
         for top in store.globStatus(place) or []:
-            inside = store.listStatus(top.getPath()) if top.isDirectory() else [top]
-            found += [(f.getPath().toString(), f.getLen()) for f in inside if not f.isDirectory()]
-    return spark.createDataFrame(found, "uri string, length long")
+            uri = top.getPath().toString()
+            if top.isDirectory():
+                folders.append((uri,))
+            else:
+                files.append((uri, top.getLen()))
+    schema = "uri string, length long"
+    inside = spark.createDataFrame(folders, "uri string").repartition(max(1, len(folders))).mapInPandas(_inside, schema)
+    return inside.unionByName(spark.createDataFrame(files, schema)) if files else inside
 
 
 def dist_files(spark: SparkSession, dists: str | list[str]) -> DataFrame:
@@ -54,22 +73,21 @@ def index_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Bytes are Latin-1; a line ends at LF or CRLF; numbers start at 1; what follows the last line end is a line
     only if it is not empty.
     """
-    uris = [r.uri for r in discover_products(spark, paths).select("uri").collect()]  # metadata, as a reader's own listing
-    hidden = [u for u in uris if u.rpartition("/")[2].startswith("_")]
-    plain = [u for u in uris if u not in set(hidden)]
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            contents = []
+            uris, contents, size = [], [], 0
             for uri in batch.uri:
                 with open_image(uri) as file:
                     contents.append(file.read())
-            yield pd.DataFrame({"path": batch.uri, "content": contents})
-
-    schema = "path string, content binary"
-    found = spark.createDataFrame([(u,) for u in hidden], "uri string").mapInPandas(read, schema)
-    if plain:
-        found = found.unionByName(spark.read.format("binaryFile").load(plain).select("path", "content"))
+                uris.append(uri)
+                size += len(contents[-1])
+                if size >= BATCH:
+                    yield pd.DataFrame({"path": uris, "content": contents})
+                    uris, contents, size = [], [], 0
+            yield pd.DataFrame({"path": uris, "content": contents})
+
+    uris = discover_products(spark, paths).select("uri")
+    found = uris.repartition(spark.sparkContext.defaultParallelism, "uri").mapInPandas(read, "path string, content binary")
     texts = found.select(*_place(F.col("path")), F.decode("content", "ISO-8859-1").alias("text"))
     lines = texts.select("dist", "product", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "line"))
     return lines.select("dist", "product", (F.col("at") + 1).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
