@@ -4,7 +4,8 @@ Images are files that are read by range, or small ones whose bytes lie in the im
 cross to Python once, beside all requests for the image: records are found and payloads decoded in the same pass. For files
 all headers are first tested at their own offsets, spread freely; only from the first miss of an image on are its requests followed in order,
 since drift carries over. Payloads are then read and decoded in one pass, neighbours together, so content is born in
-the last step and never shuffled.
+the last step and never shuffled. The content sink settles first, without contents, what it is to hold, and then reads
+these payloads again by their places.
 
 A `.Z` copy is written under its own name only where asked for, and never takes the place of an entry of that
 name. A failed decode leaves none unless `keep_z` is set.
@@ -13,20 +14,20 @@ name. A failed decode leaves none unless `keep_z` is set.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 from types import SimpleNamespace
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from distloom.functions import columns as C
 from distloom.functions.images import Window as Around
-from distloom.functions.images import follow, form_at, open_image
+from distloom.functions.images import follow, form_at, open_image, read_range
 from distloom.functions.lzw import content_of
-from distloom.plans.stored import BATCH, small_batches, stored
+from distloom.plans.stored import BATCH, stored, writing
 
 PRODUCT = ["dist", "product"]
 KEY = [*PRODUCT, "line_no"]
@@ -187,38 +188,65 @@ def resolve_offsets(asked: DataFrame, images: DataFrame, options: Options = Opti
     return _refused(asked, images).unionByName(inside).unionByName(_in_files(asked, files, options))
 
 
-UNPACKED = "dist string, product string, line_no int, position int, out_path string, action string, perms int, content binary, z_content binary, error string"
-_UNPACKED = [c.split()[0] for c in UNPACKED.split(", ")]
+#: place: where the payload begins, if all of it is there.
+UNPACKED = "dist string, product string, line_no int, position int, out_path string, action string, perms int, content binary, z_content binary, error string, place long"
 
 
-def _payload(image, r, place: int, form: str, options: Options) -> tuple:
-    """content, z_content and error of the record that begins at a place."""
-    image.seek(int(place) + 2 + len(form))
-    payload = image.read(int(r.payload_size))
+def _payload(image, r, record: int, form: str, options: Options) -> tuple:
+    """content, z_content, error and place of the payload whose record begins at a place."""
+    place = int(record) + 2 + len(form)
+    payload = read_range(image, place, place + int(r.payload_size))
     if len(payload) < r.payload_size:
-        return None, None, f"Short read for {r.fname}"
+        return None, None, f"Short read for {r.fname}", None
     content, failed = (None, False) if options.no_decompress else content_of(payload)
     error = f"LZW decompress failed: {r.fname}" if failed else None
     if options.no_content:
-        return None, None, error
-    return content, payload if options.no_decompress or options.keep_z else None, error
+        return None, None, error, place
+    return content, payload if options.no_decompress or options.keep_z else None, error, place
+
+
+def _row(r, found: tuple, options: Options) -> tuple:
+    return r.dist, r.product, r.line_no, r.position, r.out_path, "packed" if options.no_decompress else "file", r.perms, *found
 
 
 def _found(image, rows: list, options: Options) -> Iterator[tuple]:
     """The rows UNPACKED of one image whose records are yet to be found."""
-    action = "packed" if options.no_decompress else "file"
-    for r, place, form, _, error in _followed(image, rows, options):
-        yield r.dist, r.product, r.line_no, r.position, r.out_path, action, r.perms, *((None, None, error) if error else _payload(image, r, place, form, options))
+    for r, record, form, _, error in _followed(image, rows, options):
+        yield _row(r, (None, None, error, None) if error else _payload(image, r, record, form, options), options)
 
 
-def _unpacked(rows: list, options: Options) -> pd.DataFrame:
-    action = "packed" if options.no_decompress else "file"
-    return pd.DataFrame([(r.dist, r.product, r.line_no, r.position, r.out_path, action, r.perms, *found) for r, found in rows], columns=_UNPACKED)
+def _by_range(rows: DataFrame, files: DataFrame, at: str, made: Callable, schema: str) -> DataFrame:
+    """made(image, request) for all requests whose image is a file: read by range, neighbours together."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame(out, columns=columns)
+        return found.astype({"place": "Int64"}) if "place" in columns else found
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uri, image = None, None
+        for batch in batches:
+            out, size = [], 0
+            for r in batch.itertuples():
+                if r.uri != uri:
+                    if image is not None:
+                        image.close()
+                    uri, image = r.uri, open_image(r.uri)
+                out.append(made(image, r))
+                size += sum(len(x) for x in out[-1] if isinstance(x, bytes))
+                if size >= BATCH:
+                    yield frame(out)
+                    out, size = [], 0
+            yield frame(out)
+        if image is not None:
+            image.close()
+
+    return _by_place(rows.join(files, IMAGE), at).mapInPandas(read, schema)
 
 
 def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) -> DataFrame:
     """One row for each request (see UNPACKED): directories, links, empty files, and files read and decoded."""
-    text, binary = F.lit(None).cast("string"), F.lit(None).cast("binary")
+    text, binary, place = F.lit(None).cast("string"), F.lit(None).cast("binary"), F.lit(None).cast("long").alias("place")
     perms = C.permissions(F.col("mode"))
     simple = asked.where("ftype IN ('d', 'l') OR ftype = 'f' AND payload_size = 0")
     is_link = F.col("ftype") == "l"
@@ -227,33 +255,15 @@ def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) ->
     content = F.when(is_link, link).when(F.col("ftype") == "f", F.lit(b""))
     path = F.when(is_link & F.lit(options.link_fallback), F.concat("out_path", F.lit(".link.txt"))).otherwise(F.col("out_path"))
     mode = F.when(is_link, F.when(F.lit(options.link_fallback), F.lit(0o644))).otherwise(perms)
-    made = simple.select(*KEY, "position", path.alias("out_path"), action.alias("action"), mode.alias("perms"), content.alias("content"), binary.alias("z_content"), text.alias("error"))
+    made = simple.select(*KEY, "position", path.alias("out_path"), action.alias("action"), mode.alias("perms"), content.alias("content"), binary.alias("z_content"), text.alias("error"), place)
     files, contents = _places(images)
     located = stored(_refused(asked, images).unionByName(_in_files(asked, files, options)).drop("delta"))
     wanted = _needs_image(asked).select(*KEY, "position", "out_path", "fname", "payload_size", perms.alias("perms"))
     rows = wanted.join(located, KEY)
-    failed = rows.where("error IS NOT NULL").select(*KEY, "position", "out_path", F.lit("packed" if options.no_decompress else "file").alias("action"), "perms", binary.alias("content"), binary.alias("z_content"), "error")
+    failed = rows.where("error IS NOT NULL").select(*KEY, "position", "out_path", F.lit("packed" if options.no_decompress else "file").alias("action"), "perms", binary.alias("content"), binary.alias("z_content"), "error", place)
     rows = rows.where("error IS NULL").drop("error")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uri, image = None, None
-        for batch in batches:
-            out, size = [], 0
-            for r in batch.itertuples():
-                if r.uri != uri:
-                    if image is not None:
-                        image.close()
-                    uri, image = r.uri, open_image(r.uri)
-                out.append((r, _payload(image, r, r.want_offset, r.name_variant, options)))
-                size += sum(len(x) for x in out[-1][1][:2] if x is not None)
-                if size >= BATCH:
-                    yield _unpacked(out, options)
-                    out, size = [], 0
-            yield _unpacked(out, options)
-        if image is not None:
-            image.close()
-
-    from_files = _by_place(rows.join(files, IMAGE), "want_offset").mapInPandas(read, UNPACKED)
+    from_files = _by_range(rows, files, "want_offset", lambda image, r: _row(r, _payload(image, r, r.want_offset, r.name_variant, options), options), UNPACKED)
     own = _valid(asked).select(*KEY, "subproduct", "position", "out_path", "fname", "offset", "payload_size", perms.alias("perms"))
     inside = _beside(own, contents, lambda image, rows: _found(image, rows, options), UNPACKED)
     return made.unionByName(failed).unionByName(from_files).unionByName(inside)
@@ -311,15 +321,50 @@ def first_errors(results: DataFrame, n: int = 5) -> DataFrame:
     return failed.withColumn("rank", order).where(F.col("rank") <= n).select(*PRODUCT, "rank", "message")
 
 
+def _to_write(done: DataFrame, has_copy: Column) -> tuple[DataFrame, DataFrame]:
+    """What the content sink holds: the final files, and the packed copies that are rows of their own: of each path the last, if no entry has its name."""
+    taken = done.where("error IS NULL").select(*PRODUCT, F.col("out_path")).distinct()
+    last = F.row_number().over(Window.partitionBy(*PRODUCT, "out_path").orderBy(F.desc("position")))
+    packed = done.where(has_copy).withColumn("__last", last).where(F.col("__last") == 1).drop("__last")
+    packed = packed.withColumns({"out_path": F.concat("out_path", F.lit(".Z")), "action": F.lit("packed"), "perms": F.lit(None).cast("int")})
+    return final_files(done).where("action != 'packed'"), packed.join(taken, [*PRODUCT, "out_path"], "left_anti")
+
+
+WRITTEN = "dist string, product string, out_path string, action string, perms int, content binary"
+_WRITTEN = [c.split()[0] for c in WRITTEN.split(", ")]
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    with writing(rows.sparkSession):
+        rows.select(*_WRITTEN).write.partitionBy("dist").parquet(path)
+
+
 def write_unpacked(unpacked: DataFrame, path: str) -> None:
     """The content sink: Parquet with out_path, perms, content, link targets, and `.Z` copies as rows of their own."""
-    columns = [*PRODUCT, "out_path", "action", "perms", "content"]
-    taken = unpacked.where("error IS NULL").select(*PRODUCT, F.col("out_path")).distinct()
-    last = F.row_number().over(Window.partitionBy(*PRODUCT, "out_path").orderBy(F.desc("position")))
-    packed = unpacked.where("z_content IS NOT NULL").withColumn("__last", last).where(F.col("__last") == 1).select(*PRODUCT, F.concat("out_path", F.lit(".Z")).alias("out_path"), F.lit("packed").alias("action"), F.lit(None).cast("int").alias("perms"), F.col("z_content").alias("content"))
-    packed = packed.join(taken, [*PRODUCT, "out_path"], "left_anti").select(*columns)
-    with small_batches(unpacked.sparkSession):
-        final_files(unpacked).where("action != 'packed'").select(*columns).unionByName(packed).write.partitionBy("dist").parquet(path)
+    files, packed = _to_write(unpacked, F.col("z_content").isNotNull())
+    _write(files.select(*_WRITTEN).unionByName(packed.withColumn("content", F.col("z_content")).select(*_WRITTEN)), path)
+
+
+def _written(image, r) -> tuple:
+    """The row WRITTEN of a payload that is known to be there."""
+    payload = read_range(image, int(r.place), int(r.place + r.payload_size))
+    return r.dist, r.product, r.out_path, r.action, r.perms, payload if r.action == "packed" else content_of(payload)[0]
+
+
+def unpack_to(asked: DataFrame, images: DataFrame, path: str, options: Options = Options()) -> None:
+    """The content sink of all requests, clashes included, without storing or shuffling contents.
+
+    Errors, clashes and final files are found first, by decoding without keeping; what is to be written is then read and decoded again.
+    """
+    done = stored(with_clashes(stored(unpack(asked, images, replace(options, no_content=True)).drop("z_content"))))
+    kept = F.col("place").isNotNull() & F.lit(options.keep_z or options.no_decompress)
+    files, packed = _to_write(done, kept)
+    rows = files.unionByName(packed).join(asked.select(*KEY, "subproduct", "payload_size"), KEY)
+    rows = stored(rows.select(*IMAGE, "product", "position", "out_path", "action", "perms", "content", "place", "payload_size"))
+    plain, rows = rows.where("place IS NULL"), rows.where("place IS NOT NULL").drop("content")
+    in_files, in_table = _places(images)
+    inside = _beside(rows, in_table, lambda image, own: (_written(image, r) for r in own), WRITTEN)
+    _write(plain.select(*_WRITTEN).unionByName(inside).unionByName(_by_range(rows, in_files, "place", _written, WRITTEN)), path)
 
 
 def export_files(files: DataFrame, folder: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from distloom.plans.stored import buckets
+
 #: Columns of an index over `part`; the text of this query also runs in other engines.
 PART = """
 SELECT dist, product, image, subsystem, ftype, mode, size, cmpsize, odd, p_partkey,
@@ -116,6 +118,8 @@ def packed(data: pd.Series) -> pd.Series:
 
 #: Documents of one image.
 IMAGE_DOCS = 64
+#: What names an image; records and images are dealt by it.
+IMAGE = ["dist", "rel_path"]
 
 #: What is the matter with a document's record, by its id; the text of these expressions also runs in other engines.
 RAW = "id % 3 = 0"  # stored as it is
@@ -143,34 +147,36 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     docs = docs.withColumn("part", F.floor(F.col("id") / IMAGE_DOCS))
-    place = Window.partitionBy("part").orderBy("id", F.md5("raw"))
-    docs = docs.withColumn("line_no", F.row_number().over(place) + 1)
+    product = F.concat(F.when(F.expr(UNDERSCORE), "_p").otherwise("p"), F.col("part").cast("string"))
+    docs = docs.withColumns({"dist": F.concat(F.lit("b"), F.pmod("part", F.lit(8)).cast("string")), "product": product, "rel_path": F.concat(product, F.lit(".sw"))})
     payload = F.when(F.expr(RAW), F.col("raw")).when(F.expr(BROKEN), F.lit(b"\x1f\x9d\x88")).otherwise(packed(F.when(F.expr(f"NOT ({RAW}) AND NOT ({BROKEN})"), F.col("raw"))))
+    docs = docs.withColumns({"payload": payload, "size": F.octet_length("raw"), "md5": F.md5("raw")}).drop("raw").repartition(buckets(spark), *IMAGE)
+    place = Window.partitionBy(*IMAGE, "part").orderBy("id", "md5")
+    docs = docs.withColumn("line_no", F.row_number().over(place) + 1)
     fname = F.concat(F.lit("docs/"), F.when(F.expr(TWIN), F.concat(F.lit("./"), (F.col("id") - 1).cast("string"))).otherwise(F.col("id").cast("string")), F.lit(".txt"))
-    docs = docs.withColumns({"payload": payload, "fname": fname})
+    docs = docs.withColumn("fname", fname)
     name = F.encode(F.concat(F.expr(FORM), F.col("fname")), "ISO-8859-1")
     record = F.concat(F.when(F.expr(JUNK), F.lit(b"junk!")).otherwise(F.lit(b"")), F.unhex(F.lpad(F.hex(F.length(name)), 4, "0")), name, "payload")
     return docs.select(
-        F.concat(F.lit("b"), F.pmod("part", F.lit(8)).cast("string")).alias("dist"), F.concat(F.when(F.expr(UNDERSCORE), "_p").otherwise("p"), F.col("part").cast("string")).alias("product"),
-        "part", "doc_id", "id", "line_no", "fname", F.octet_length("raw").alias("size"), F.when(F.expr(RAW), 0).otherwise(F.length("payload")).alias("packed"),
+        "dist", "product", "rel_path", "part", "doc_id", "id", "line_no", "fname", "size", F.when(F.expr(RAW), 0).otherwise(F.length("payload")).alias("packed"),
         F.when(F.expr(MISSING), F.lit(b"")).otherwise(record).alias("record"),
     )
 
 
 def document_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an image: dist, product, content (13 header bytes and the records in line order; some images lack their last byte), and the index lines of its records."""
+    """One row an image: dist, product, rel_path, content (13 header bytes and the records in line order; some images lack their last byte), and the index lines of its records."""
     records = document_records(spark, sf_dir)
     line = F.concat(F.lit("f 0644 root sys "), "fname", F.lit(" src/"), "fname", F.lit(" "), "product", F.lit(".sw.base size("), "size", F.lit(") cmpsize("), "packed", F.lit(")"))
     body = F.expr("listagg(record) WITHIN GROUP (ORDER BY line_no)")
-    rows = records.select("dist", "product", "part", "line_no", "record", line.alias("line"))
-    made = rows.groupBy("dist", "product", "part").agg(F.concat(F.lit(b"im001V405P00\n"), body).alias("body"), F.collect_list(F.struct("line_no", "line")).alias("lines"))
+    rows = records.select("dist", "product", "rel_path", "part", "line_no", "record", line.alias("line"))
+    made = rows.groupBy("dist", "product", "rel_path", "part").agg(F.concat(F.lit(b"im001V405P00\n"), body).alias("body"), F.collect_list(F.struct("line_no", "line")).alias("lines"))
     content = F.when(F.expr(CUT), F.substring("body", F.lit(1), F.length("body") - 1)).otherwise(F.col("body"))
-    return made.select("dist", "product", content.alias("content"), "lines")
+    return made.select("dist", "product", "rel_path", content.alias("content"), "lines")
 
 
 def document_images(made: DataFrame) -> DataFrame:
     """(dist, rel_path, uri, content) of document_archive."""
-    return made.select("dist", F.concat("product", F.lit(".sw")).alias("rel_path"), F.lit("").alias("uri"), "content")
+    return made.select("dist", "rel_path", F.lit("").alias("uri"), "content")
 
 
 def document_lines(made: DataFrame) -> DataFrame:
