@@ -188,8 +188,9 @@ def resolve_offsets(asked: DataFrame, images: DataFrame, options: Options = Opti
     return _refused(asked, images).unionByName(inside).unionByName(_in_files(asked, files, options))
 
 
+UNPACKED = "dist string, product string, line_no int, position int, out_path string, action string, perms int, content binary, z_content binary, error string"
 #: place: where the payload begins, if all of it is there.
-UNPACKED = "dist string, product string, line_no int, position int, out_path string, action string, perms int, content binary, z_content binary, error string, place long"
+PLACED = f"{UNPACKED}, place long"
 
 
 def _payload(image, r, record: int, form: str, options: Options) -> tuple:
@@ -210,7 +211,7 @@ def _row(r, found: tuple, options: Options) -> tuple:
 
 
 def _found(image, rows: list, options: Options) -> Iterator[tuple]:
-    """The rows UNPACKED of one image whose records are yet to be found."""
+    """The rows PLACED of one image whose records are yet to be found."""
     for r, record, form, _, error in _followed(image, rows, options):
         yield _row(r, (None, None, error, None) if error else _payload(image, r, record, form, options), options)
 
@@ -246,6 +247,11 @@ def _by_range(rows: DataFrame, files: DataFrame, at: str, made: Callable, schema
 
 def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) -> DataFrame:
     """One row for each request (see UNPACKED): directories, links, empty files, and files read and decoded."""
+    return _placed(asked, images, options).drop("place")
+
+
+def _placed(asked: DataFrame, images: DataFrame, options: Options) -> DataFrame:
+    """The rows of unpack, and where their payloads lie (see PLACED)."""
     text, binary, place = F.lit(None).cast("string"), F.lit(None).cast("binary"), F.lit(None).cast("long").alias("place")
     perms = C.permissions(F.col("mode"))
     simple = asked.where("ftype IN ('d', 'l') OR ftype = 'f' AND payload_size = 0")
@@ -263,9 +269,9 @@ def unpack(asked: DataFrame, images: DataFrame, options: Options = Options()) ->
     failed = rows.where("error IS NOT NULL").select(*KEY, "position", "out_path", F.lit("packed" if options.no_decompress else "file").alias("action"), "perms", binary.alias("content"), binary.alias("z_content"), "error", place)
     rows = rows.where("error IS NULL").drop("error")
 
-    from_files = _by_range(rows, files, "want_offset", lambda image, r: _row(r, _payload(image, r, r.want_offset, r.name_variant, options), options), UNPACKED)
+    from_files = _by_range(rows, files, "want_offset", lambda image, r: _row(r, _payload(image, r, r.want_offset, r.name_variant, options), options), PLACED)
     own = _valid(asked).select(*KEY, "subproduct", "position", "out_path", "fname", "offset", "payload_size", perms.alias("perms"))
-    inside = _beside(own, contents, lambda image, rows: _found(image, rows, options), UNPACKED)
+    inside = _beside(own, contents, lambda image, rows: _found(image, rows, options), PLACED)
     return made.unionByName(failed).unionByName(from_files).unionByName(inside)
 
 
@@ -356,7 +362,7 @@ def unpack_to(asked: DataFrame, images: DataFrame, path: str, options: Options =
 
     Errors, clashes and final files are found first, by decoding without keeping; what is to be written is then read and decoded again.
     """
-    done = stored(with_clashes(stored(unpack(asked, images, replace(options, no_content=True)).drop("z_content"))))
+    done = stored(with_clashes(stored(_placed(asked, images, replace(options, no_content=True)).drop("z_content"))))
     kept = F.col("place").isNotNull() & F.lit(options.keep_z or options.no_decompress)
     files, packed = _to_write(done, kept)
     rows = files.unionByName(packed).join(asked.select(*KEY, "subproduct", "payload_size"), KEY)
